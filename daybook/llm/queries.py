@@ -1,11 +1,13 @@
 """Queries of this subpackage, with their SQL where SQL can express them."""
 
+from daybook.llm.ngram_join import op3_ngram_join
 from daybook.llm.packing import op8_packing
 from daybook.llm.topk import TOPK_SQL, op9_topk
 from daybook.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_ngram_join": op3_ngram_join,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
 }
