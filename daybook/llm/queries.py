@@ -4,11 +4,13 @@ from daybook.llm.ngram_join import op3_ngram_join
 from daybook.llm.packing import op8_packing
 from daybook.llm.topk import TOPK_SQL, op9_topk
 from daybook.llm.toxicity import op6_toxicity
+from daybook.llm.vector_dedup import op5_vector_dedup
 from daybook.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_ngram_join": op3_ngram_join,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
