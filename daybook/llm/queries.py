@@ -1,5 +1,6 @@
 """Queries of this subpackage, with their SQL where SQL can express them."""
 
+from daybook.llm.line_dedup import op10_line_dedup
 from daybook.llm.ngram_join import op3_ngram_join
 from daybook.llm.packing import op8_packing
 from daybook.llm.topk import TOPK_SQL, op9_topk
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
