@@ -1,5 +1,6 @@
 """Queries of this subpackage, with their SQL where SQL can express them."""
 
+from daybook.llm.html_text import op4_html_text
 from daybook.llm.line_dedup import op10_line_dedup
 from daybook.llm.ngram_join import op3_ngram_join
 from daybook.llm.packing import op8_packing
@@ -11,6 +12,7 @@ from daybook.llm.warc import op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_ngram_join": op3_ngram_join,
+    "op4_html_text": op4_html_text,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
