@@ -144,17 +144,27 @@ def scorer_of(terms: tuple[tuple[str, float], ...]) -> Scorer:
     return Scorer(list(terms))
 
 
+def _certain(found: DataFrame, p: float, size: int) -> list:
+    """Rows (word, clean, bad) whose share of bad ones is far above p, most certain first."""
+    n = F.col("clean") + F.col("bad")
+    sigmas = (F.col("bad") - n * p) / F.sqrt(n * p * (1 - p))
+    chosen = found.where(F.col("bad") >= TERM_DOCS).withColumn("sigmas", sigmas).where(F.col("sigmas") >= TERM_SIGMAS)
+    return chosen.orderBy(F.desc("sigmas"), "word").limit(size).collect()
+
+
 def learn_terms(train: DataFrame, size: int = TERMS) -> list[tuple[str, float]]:
     """(term, weight) of words that stand in toxic documents far more often than by chance.
 
-    train: (text, toxic). weight: smoothed log odds, at most ``size`` terms, most certain first.
+    train: (text, toxic). A word is first judged by its documents; of what is left, by its
+    different contexts (the words before and behind), since copies of one toxic document
+    repeat all its words. weight: smoothed log odds of contexts; at most ``size`` terms.
     """
 
-    def run(batches):
+    def by_document(batches):
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for w in {w.strip(STRIPPED) for w in raw_words(text)}:
+                for w in {w.strip(STRIPPED) for w in set(raw_words(text))}:
                     if len(w) > 2:
                         counts.setdefault(w, [0, 0])[toxic] += 1
             if len(counts) > KNOWN_WORDS:
@@ -169,13 +179,23 @@ def learn_terms(train: DataFrame, size: int = TERMS) -> list[tuple[str, float]]:
     if not base["bad"] or base["bad"] == base["n"]:
         return []
     p = base["bad"] / base["n"]
+    found = train.select("text", "toxic").mapInArrow(by_document, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
+    candidates = frozenset(r["word"] for r in _certain(found, p, 10 * size))
+
+    def by_context(batches):
+        for batch in batches:
+            seen = set()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                words = [w.strip(STRIPPED) for w in raw_words(text)]
+                for i, w in enumerate(words):
+                    if w in candidates:
+                        seen.add((w, " ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2]), toxic))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["word", "context", "toxic"])
+
+    contexts = train.select("text", "toxic").mapInArrow(by_context, "word string, context string, toxic int").distinct()
+    counted = contexts.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
     odds = math.log(p / (1 - p))
-    found = train.select("text", "toxic").mapInArrow(run, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    n = F.col("clean") + F.col("bad")
-    sigmas = (F.col("bad") - n * p) / F.sqrt(n * p * (1 - p))
-    chosen = found.where(F.col("bad") >= TERM_DOCS).withColumn("sigmas", sigmas).where(F.col("sigmas") >= TERM_SIGMAS)
-    rows = chosen.orderBy(F.desc("sigmas"), "word").limit(size).collect()
-    return [(r["word"], max(0.1, math.log((r["bad"] + 0.5) / (r["clean"] + 0.5)) - odds)) for r in rows]
+    return [(r["word"], max(0.1, math.log((r["bad"] + 0.5) / (r["clean"] + 0.5)) - odds)) for r in _certain(counted, p, size)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
