@@ -4,7 +4,8 @@ Sets A and B with J(A, B) >= t share a token among the first n - ceil(t n) + 1 o
 in any global order. Order 0 makes candidates by a join on those prefix tokens; candidates
 must then share prefix tokens under orders 1 and 2 also before their whole sets are compared.
 In all three, tokens that many documents share come last, so a passage that is found
-everywhere makes few candidates; in which order tokens stand never changes the result.
+everywhere makes few candidates; in which order tokens stand never changes the result. A last
+filter compares parity bitmaps, whose Hamming distance never exceeds the sets' symmetric difference.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,14 @@ from daybook.llm.common import connected_components, stage
 from daybook.llm.shingles import ODD, mix, shingle_sets
 
 #: At most so many tokens are known as frequent; they only come last in the orders.
-FREQUENT_TOKENS = 1 << 17
-#: A token is reported as frequent where it stands in so many of about COUNTED tokens.
-LOCAL_COUNT, COUNTED = 8, 4_000_000
+FREQUENT_TOKENS = 1 << 18
+#: A task reports tokens that it meets twice among COUNTED; reported FREQUENT times, a token is frequent.
+COUNTED, FREQUENT = 4_000_000, 16
 #: Larger buckets are compared in tiles of numpy arrays, smaller ones by a join.
 SMALL_BUCKET = 64
+HALF = np.uint64(1 << 63)
 TILE_ROWS = 1024
-BLOOM_BITS = 1 << 23
+BLOOM_BITS = 1 << 25
 
 
 def ceil_share(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -44,7 +47,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
     def frequent(held):
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts >= LOCAL_COUNT
+        many = counts >= 2
         k = int(many.sum())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[many].astype(np.int64)), pa.array(tokens[many].view(np.int64)), pa.array(np.zeros(k, np.int64))], schema=schema)
 
@@ -56,8 +59,8 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(s))
                 fp1.append(int(mix(s * ODD[3]).sum(dtype=np.uint64).view(np.int64)))
                 fp2.append(int(mix(s ^ ODD[4]).sum(dtype=np.uint64).view(np.int64)))
-                held.append(s)
-                size += len(s)
+                held.append(s[: np.searchsorted(s, HALF)])  # where order 0 finds its prefixes
+                size += len(held[-1])
                 if size >= COUNTED:
                     yield frequent(held)
                     held, size = [], 0
@@ -70,24 +73,40 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
 def frequent_tokens(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT_TOKENS most frequent of the reported tokens, sorted, and their counts."""
-    top = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toPandas()
+    top = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toPandas()
     tokens = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], top["n"].to_numpy(dtype=np.int64)[order]
 
 
-def prefixes(docs: DataFrame, words: int, t: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, p0, p1, p2): each set's prefix under the three orders; p1 and p2 as 32-bit digests."""
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap of about one bit a token, each the parity of the tokens that fall there."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((mix(tokens ^ ODD[10]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference; the larger bitmap is folded to the smaller's size."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def prefixes(docs: DataFrame, words: int, t: Fraction, frequent: tuple[np.ndarray, np.ndarray], copies: np.ndarray) -> DataFrame:
+    """(id, n, maybe, p0, p1, p2, parity): each set's prefix under the three orders; p1 and p2 as 16-bit
+    digests. maybe: the id may be in ``copies``, a packed bit array."""
     tokens, counts = frequent
     mask = np.uint64((1 << 22) - 1)
     maybe = np.zeros(1 << 22, dtype=bool)
     maybe[(tokens & mask).astype(np.int64)] = True
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("p0", pa.list_(pa.int64())), ("p1", pa.binary()), ("p2", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("maybe", pa.bool_()), ("p0", pa.list_(pa.int64())), ("p1", pa.binary()), ("p2", pa.binary()), ("parity", pa.binary())])
 
     def run(batches):
+        bits = np.unpackbits(copies).astype(bool)
         for batch in batches:
-            rows = []
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
+            rows, ids = [], batch.column(0).to_numpy(zero_copy_only=False)
+            for i, m, s in zip(ids.tolist(), in_bloom(bits, ids).tolist(), shingle_sets(batch.column(1), words), strict=True):
                 if not len(s):
                     continue
                 length = len(s) - int(ceil_share(np.int64(len(s)), t)) + 1
@@ -104,14 +123,14 @@ def prefixes(docs: DataFrame, words: int, t: Fraction, frequent: tuple[np.ndarra
                 else:
                     first = [np.arange(len(s))] * 3
                 p0 = first[0][np.argsort(ranks[0][first[0]], kind="stable")]
-                rows.append((i, len(s), s[p0].view(np.int64), *((mix(s[f]) >> np.uint64(32)).astype("<u4").tobytes() for f in first[1:])))
+                rows.append((i, len(s), m, s[p0].view(np.int64), *((mix(s[f]) >> np.uint64(48)).astype("<u2").tobytes() for f in first[1:]), parity(s)))
                 if len(rows) == 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n int, p0 array<long>, p1 binary, p2 binary")
+    return docs.mapInArrow(run, "id long, n int, maybe boolean, p0 array<long>, p1 binary, p2 binary, parity binary")
 
 
 def _fits(na, pa_, nb, pb, t: Fraction):
@@ -124,19 +143,22 @@ def _fits(na, pa_, nb, pb, t: Fraction):
     return (low(na, nb) * den >= high(na, nb) * num) & (most * (den + num) >= (na + nb) * num)
 
 
-def share_prefixes(pairs: DataFrame, digests: DataFrame) -> DataFrame:
-    """The pairs (a, b) that have a common prefix token under orders 1 and 2 also."""
+def share_prefixes(pairs: DataFrame, digests: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that have common prefix tokens under orders 1 and 2 also, and whose parity
+    bitmaps allow the similarity."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x1, x2, y1, y2 in zip(*(batch.column(c).to_pylist() for c in ("x1", "x2", "y1", "y2")), strict=True):
-                read = lambda v: np.frombuffer(v, dtype="<u4")
-                keep.append(bool(np.isin(read(x1), read(y1)).any() and np.isin(read(x2), read(y2)).any()))
+            for n, m, x, y, x1, x2, y1, y2 in zip(*(batch.column(c).to_pylist() for c in ("xn", "yn", "x", "y", "x1", "x2", "y1", "y2")), strict=True):
+                read = lambda v: np.frombuffer(v, dtype="<u2")
+                near = least_difference(x, y) * (t.denominator + t.numerator) <= (n + m) * (t.denominator - t.numerator)
+                keep.append(bool(near and np.isin(read(x1), read(y1)).any() and np.isin(read(x2), read(y2)).any()))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda k, v: digests.select(F.col("id").alias(k), F.col("p1").alias(f"{v}1"), F.col("p2").alias(f"{v}2"))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x1", "x2", "y1", "y2").mapInArrow(run, "a long, b long")
+    of = lambda k, v: digests.select(F.col("id").alias(k), F.col("n").alias(f"{v}n"), F.col("parity").alias(v), F.col("p1").alias(f"{v}1"), F.col("p2").alias(f"{v}2"))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return both.select("a", "b", "xn", "yn", "x", "y", "x1", "x2", "y1", "y2").mapInArrow(run, "a long, b long")
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
@@ -149,6 +171,8 @@ def bloom_of(ids: DataFrame) -> np.ndarray:
     def run(batches):
         bits = np.zeros(BLOOM_BITS, dtype=bool)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             bits[places(batch.column(0).to_numpy(zero_copy_only=False))] = True
         parts = [(k, np.packbits(bits[k * chunk : (k + 1) * chunk]).tobytes()) for k in range(64) if bits[k * chunk : (k + 1) * chunk].any()]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["chunk", "bits"])
@@ -161,7 +185,7 @@ def bloom_of(ids: DataFrame) -> np.ndarray:
         frames["bits"] = [bits.tobytes()]
         return frames
 
-    parts = ids.coalesce(8).mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
+    parts = ids.mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
     bits = np.zeros(BLOOM_BITS, dtype=bool)
     for r in parts:
         bits[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
@@ -226,53 +250,83 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = stage(every.join(classes, fp, "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "member")
     copies = member.where("id <> rep").select("id")
     named = rows.where("id IS NOT NULL")
-    digests = stage(prefixes(named, words, t, frequent).join(copies, "id", "left_anti"), "digests")
+    made = stage(prefixes(named, words, t, frequent, np.packbits(bloom_of(copies))), "digests")
+    digests = made.where("NOT maybe").unionByName(made.where("maybe").join(copies, "id", "left_anti"))
 
     entries = digests.select("id", "n", F.posexplode("p0").alias("pos", "token"))
-    buckets = stage(
-        entries.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "pos")).alias("least")).where("c > 1"),
-        "buckets",
+    common = stage(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    buckets = stage(_held(entries, "token", bloom_of(common.select("token"))).join(common, "token"), "entries")
+    pivots = stage(buckets.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("least")).select("token", F.col("least.id").alias("pid"), F.col("least.n").alias("pn"), F.col("least.pos").alias("ppos")), "pivots")
+    stars = (
+        buckets.join(pivots, "token")
+        .where(F.col("id") != F.col("pid"))
+        .where(_fits(F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"), t))
+        .select(F.col("id").alias("a"), F.col("pid").alias("b"))
+        .distinct()
     )
-    shared = stage(entries.join(buckets, "token").select("token", "id", "n", "pos", "c", F.col("least.id").alias("pid"), F.col("least.n").alias("pn"), F.col("least.pos").alias("ppos")), "shared")
-    stars = shared.where(F.col("id") != F.col("pid")).where(_fits(F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"), t)).select(F.col("id").alias("a"), F.col("pid").alias("b")).distinct()
-    small = digests.select("id", "p1", "p2")
-    found = stage(verify(stage(share_prefixes(stage(stars, "stars"), small), "candidates"), named, words, t), "links")
+    stars = stage(stars, "stars")
+    found = stage(verify(stage(share_prefixes(stars, made, t), "candidates"), named, words, t), "links")
     components = stage(connected_components(found), "components")
 
     label = components.select(F.col("node").alias("id"), "component")
-    labelled = stage(shared.select("token", "id", "n", "pos", "c").join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "labelled")
+    labelled = stage(buckets.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "labelled")
     open_ = stage(labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "open")
     live = labelled.join(open_, "token", "left_semi")
     x, y = live.where(F.col("c") <= SMALL_BUCKET).alias("x"), live.where(F.col("c") <= SMALL_BUCKET).alias("y")
     few = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), t)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = _tiled_pairs(live.where(F.col("c") > SMALL_BUCKET), t)
-    rest = stage(few.unionByName(many).distinct(), "rest")
+    many = _tiled_pairs(live.where(F.col("c") > SMALL_BUCKET), made.select("id", "parity"), t)
+    rest = stage(few.unionByName(many).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = stage(verify(stage(share_prefixes(rest, small), "candidates"), named, words, t), "links")
+        more = stage(verify(stage(share_prefixes(rest, made, t), "candidates"), named, words, t), "links")
         if not more.isEmpty():
             components = stage(connected_components(found.unionByName(more)), "components")
     to = components.select(F.col("node").alias("rep"), "component")
     return member.join(to, "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def _tiled_pairs(live: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of different labels in large buckets: blocks of about TILE_ROWS rows meet in tiles."""
+def _held(df: DataFrame, col: str, bits: np.ndarray) -> DataFrame:
+    """The rows whose ``col`` may be in the bit array: what a join would drop goes before its shuffle."""
+    packed, at = np.packbits(bits), df.columns.index(col)
+
+    def run(batches):
+        bits = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bloom(bits, batch.column(at).to_numpy(zero_copy_only=False))))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _tiled_pairs(live: DataFrame, bitmaps: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of different labels in large buckets: blocks of about TILE_ROWS rows meet in tiles, and only
+    pairs whose parity bitmaps allow the similarity leave them."""
     blocks = F.ceil(F.col("c") / TILE_ROWS).cast("int")
-    dealt = live.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = live.join(bitmaps, "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def tile(f):
         i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
         left, right = f[f["own"] == i], f[f["own"] == j]
-        out = []
-        rn, rp, rl, ri = (right[c].to_numpy(dtype=np.int64) for c in ("n", "pos", "label", "id"))
-        for n, p, lab, k in left[["n", "pos", "label", "id"]].itertuples(index=False):
-            ok = (rl != lab) & (ri < k if i == j else ri != k) & _fits(np.full(len(rn), n), np.full(len(rn), p), rn, rp, t)
-            out.append(np.stack([np.maximum(k, ri[ok]), np.minimum(k, ri[ok])], axis=1))
-        import pandas as pd
-
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
+        out = [np.empty((0, 2), np.int64)]
+        for _, some in right.groupby(right["parity"].map(len)):
+            rn, rp, rl, ri = (some[c].to_numpy(dtype=np.int64) for c in ("n", "pos", "label", "id"))
+            whole = np.frombuffer(b"".join(some["parity"]), np.uint8).reshape(len(some), -1)
+            folded = {whole.shape[1]: whole}
+            for n, p, lab, k, mine in left[["n", "pos", "label", "id", "parity"]].itertuples(index=False):
+                ok = np.flatnonzero((rl != lab) & (ri < k if i == j else ri != k) & _fits(np.full(len(rn), n), np.full(len(rn), p), rn, rp, t))
+                if not len(ok):
+                    continue
+                own, size = np.frombuffer(mine, np.uint8), whole.shape[1]
+                while len(own) > size:
+                    own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+                while size > len(own):
+                    if size // 2 not in folded:
+                        folded[size // 2] = folded[size][:, : size // 2] ^ folded[size][:, size // 2 :]
+                    size //= 2
+                apart = np.bitwise_count(folded[size][ok] ^ own).sum(axis=1, dtype=np.int64)
+                ok = ok[apart * (t.denominator + t.numerator) <= (rn[ok] + n) * (t.denominator - t.numerator)]
+                out.append(np.stack([np.maximum(k, ri[ok]), np.minimum(k, ri[ok])], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     return tiles.groupBy("token", "i", "j").applyInPandas(tile, "a long, b long")
 
