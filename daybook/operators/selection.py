@@ -71,10 +71,10 @@ def elastic_net(df: DataFrame, cols: Sequence[str], y: str, strength: float = 0.
     from pyspark.ml.regression import LinearRegression
 
     ready = VectorAssembler(inputCols=list(cols), outputCol="x").transform(df.select(*cols, F.col(y).alias("label")).fillna(0.0))
-    weights = [abs(w) for w in LinearRegression(featuresCol="x", regParam=strength, elasticNetParam=mix, standardization=True).fit(ready).coefficients]
+    weights = [abs(float(w)) for w in LinearRegression(featuresCol="x", regParam=strength, elasticNetParam=mix, standardization=True).fit(ready).coefficients]
     total = sum(weights) or 1.0
     best = max(range(len(cols)), key=lambda i: weights[i])
-    return df.sparkSession.createDataFrame([(c, w / total, w > eps or i == best) for i, (c, w) in enumerate(zip(cols, weights, strict=True))], "feature string, importance double, selected boolean")
+    return df.sparkSession.createDataFrame([(c, w / total, bool(w > eps or i == best)) for i, (c, w) in enumerate(zip(cols, weights, strict=True))], "feature string, importance double, selected boolean")
 
 
 def top_features(ranked: DataFrame, k: int) -> list[str]:

@@ -13,7 +13,9 @@ WEATHER_FIELDS = ("temperature_2m_mean", "temperature_2m_min", "temperature_2m_m
 def parse_weather(df: DataFrame, key: str = "location_id", payload: str = "payload") -> DataFrame:
     """Column arrays of a daily block become a row per location and day; shorter arrays give nulls."""
     schema = "daily struct<time array<string>, " + ", ".join(f"{f} array<double>" for f in WEATHER_FIELDS) + ">"
-    day = df.select(key, F.from_json(payload, schema).alias("p")).select(key, F.explode(F.arrays_zip(*[F.col(f"p.daily.{f}").alias(f) for f in ("time", *WEATHER_FIELDS)])).alias("d"))
+    there = lambda f: F.coalesce(F.col(f"p.daily.{f}"), F.array().cast("array<double>" if f != "time" else "array<string>")).alias(f)
+    cols = ("time", *WEATHER_FIELDS)
+    day = df.select(key, F.from_json(payload, schema).alias("p")).select(key, *map(there, cols)).select(key, F.explode(F.arrays_zip(*cols)).alias("d"))
     return day.select(key, F.col("d.time").try_cast("date").alias("dt"), *[F.col(f"d.{f}").alias(f) for f in WEATHER_FIELDS])
 
 
