@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = frequent_tokens(both.where("kind = 1").select(F.col("fp1").alias("token"), "n"))
     fp = ["n", "fp1", "fp2"]
     classes = stage(every.where("n > 0 AND id IS NOT NULL").groupBy(fp).agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select(*fp, "rep"), "classes")
-    member = stage(every.join(classes, fp, "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "member")
+    member = stage(every.join(classes, fp, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "member")
     copies = member.where("id <> rep").select("id")
     named = rows.where("id IS NOT NULL")
     made = stage(prefixes(named, words, t, frequent, np.packbits(bloom_of(copies))), "digests")

@@ -76,7 +76,7 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_c
 
     def tile(key, qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or cs.empty:
-            return pd.DataFrame({"query_id": [], "shard": [], "scores": [], "ids": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "shard", "scores", "ids")})
         whole = lambda f: np.floor(np.stack(f["v"].to_numpy()).astype(np.float64).reshape(len(f), -1) * scale)
         got = tile_top_k(qs["vec_id"].to_numpy(), whole(qs), cs["vec_id"].to_numpy(), whole(cs), k)
         return pd.DataFrame({"query_id": [x[0] for x in got], "shard": int(key[0]), "scores": [x[1] for x in got], "ids": [x[2] for x in got]})
