@@ -213,11 +213,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     """
 
     def newton(z, goal):
-        penalty = np.append(np.full(z.shape[1] - 1, ridge), 1e-3)
-        v = np.append(goal, 0.0)
+        goal, penalty = np.append(goal, 0.0), np.append(np.full(z.shape[1] - 1, ridge), 1e-3)
+
+        def loss(v):
+            m = z @ v
+            return np.sum(np.logaddexp(0, m) - y * m) + 0.5 * np.sum(penalty * (v - goal) ** 2)
+
+        share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+        v = np.append(np.zeros(z.shape[1] - 1), math.log(share / (1 - share)))
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
-            v = v - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * (v - np.append(goal, 0.0)))
+            p = 1 / (1 + np.exp(-np.clip(z @ v, -500, 500)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * (v - goal))
+            size = 1.0
+            while size > 1e-6 and loss(v - size * step) > loss(v):
+                size /= 2
+            v = v - size * step
         return v
 
     ones = np.ones((len(x), 1))
