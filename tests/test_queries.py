@@ -23,7 +23,7 @@ def test_entry_points_work_without_llm():
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
-    from daybook.plans import bundle_queries, evaluation_queries, panel_queries  # noqa: F401
+    from daybook.plans import bundle_queries, evaluation_queries, panel_queries, source_queries  # noqa: F401
     from daybook.plans.registry import ORACLES, QUERIES
 
     con = duckdb.connect()
