@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     def keep(f):
         QUERIES[name] = lambda spark, sf_dir: plain(f(spark, sf_dir))
         if sql:
-            ORACLES[name] = with_ctes(ctes, sql)
+            # shares are doubles on both sides: DuckDB would take a literal as a decimal and round elsewhere
+            ORACLES[name] = re.sub(r"(floor|ceil)\((\w+(?:\(\*\))?) \* (0\.\d+)\)", r"\1(\2 * CAST(\3 AS DOUBLE))", with_ctes(ctes, sql))
         return f
 
     return keep
