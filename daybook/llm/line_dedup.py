@@ -19,8 +19,12 @@ BANDS, ROWS = 10, 4
 #: Lines with at least SPARSE blanks are signed by the shingles at their words' beginnings, lines with fewer than
 #: DENSE by all; in between by both, so that similar lines, whose counts are near, share a way.
 SPARSE, DENSE = 32, 40
-#: Pairs of each row in a bucket: with the bucket's smallest line and with so many before it.
+#: In the first round, pairs of each row in a bucket: with the bucket's smallest line and with so many before it.
 NEIGHBOURS = 4
+#: In the second round, rows of one side of a tile of a bucket.
+TILE_ROWS = 256
+#: 64-bit words of a set's parity bitmap.
+PARITY = 8
 #: A side is broadcast where it was counted to have at most so many rows; else both are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -67,23 +71,21 @@ def band_keys(distinct: DataFrame) -> DataFrame:
     return signed.select("lid", F.explode(F.array(*keys)).alias("key"))
 
 
-def near_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """(lid, component) of distinct lines with a near-duplicate; component is the smallest lid reachable.
+def hashes(line: Column) -> Column:
+    """The set of a line's shingles, as 64-bit hashes."""
+    return F.array_distinct(F.transform(shingles(line), lambda g: F.xxhash64(g)))
 
-    lines: (line, lid), repeats allowed. Similarity: Jaccard of the sets of shingles. In a
-    bucket each line meets the smallest and the NEIGHBOURS before it, so pairs stay
-    proportional to lines; buckets of up to NEIGHBOURS + 1 lines lose no pair.
-    """
-    distinct = lines.groupBy("lid").agg(F.any_value("line").alias("line"))
-    bucket = Window.partitionBy("key").orderBy("lid")
-    met = [F.first("lid").over(bucket)] + [F.lag("lid", k).over(bucket) for k in range(1, NEIGHBOURS + 1)]
-    pairs = band_keys(distinct).select("lid", F.array(*met).alias("met")).select("lid", F.explode(F.array_distinct("met")).alias("other"))
-    pairs = pairs.where("other IS NOT NULL AND other <> lid").distinct()
-    pairs = stage(pairs, "pairs")
+
+def texts_of(lines: DataFrame, lids: DataFrame) -> DataFrame:
+    """(lid, line), staged: one row for each of ``lids``, a staged table."""
+    return stage(lines.join(small_side(lids), "lid", "left_semi").groupBy("lid").agg(F.any_value("line").alias("line")), "texts")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of those of the staged pairs (lid, other) whose sets of shingles are similar; staged."""
     needed = stage(pairs.select(F.explode(F.array("lid", "other")).alias("lid")).distinct(), "needed")
-    texts = stage(lines.join(small_side(needed), "lid", "left_semi").groupBy("lid").agg(F.any_value("line").alias("line")), "texts")
+    texts = texts_of(lines, needed)
     both = pairs.join(texts, "lid").join(texts.toDF("other", "other_line"), "other")  # texts are an eighth of their shingles
-    of = lambda c: F.array_distinct(F.transform(shingles(F.col(c)), lambda g: F.xxhash64(g)))
 
     def is_near(s):
         a, b = F.size(s["a"]), F.size(s["b"])
@@ -91,8 +93,60 @@ def near_lines(lines: DataFrame, threshold: float) -> DataFrame:
         return (F.least(a, b) >= threshold * F.greatest(a, b)) & (shared >= threshold * (a + b - shared))
 
     # bound as a lambda's argument, both sets are made once, whatever the optimiser does with the filter
-    near = both.where(F.exists(F.array(F.struct(of("line").alias("a"), of("other_line").alias("b"))), is_near))
-    return connected_components(near.select(F.col("lid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "lid")
+    near = both.where(F.exists(F.array(F.struct(hashes(F.col("line")).alias("a"), hashes(F.col("other_line")).alias("b"))), is_near))
+    return stage(near.select(F.col("lid").alias("a"), F.col("other").alias("b")), "links")
+
+
+def unmet_pairs(large: DataFrame, components: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(lid, other), staged: the pairs of different components that share a bucket of ``large`` and did not meet there.
+
+    large: (key, lid, place), place: from 1 in the order of lid. Blocks of TILE_ROWS rows of a bucket meet in
+    tiles, each a key of a join, so a bucket is dealt to as many tasks as it needs. A tile gives only pairs whose
+    sizes and parity bitmaps allow the similarity: bitmaps never differ in more bits than sets do in elements.
+    """
+    labelled = stage(large.join(components, "lid", "left").withColumn("label", F.coalesce("component", "lid")).drop("component"), "labelled")
+    counted = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("c"))
+    live = stage(labelled.join(counted.where("lo <> hi").select("key", "c"), "key"), "live")
+    texts = texts_of(lines, stage(live.select("lid").distinct(), "needed"))
+    bits = texts.select("lid", F.explode(hashes(F.col("line"))).alias("h"))
+    bit = F.expr("shiftleft(1L, CAST(h & 63 AS int))")
+    words = [F.coalesce(F.bit_xor(F.when(F.shiftrightunsigned("h", 6) % PARITY == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(PARITY)]
+    maps = stage(bits.groupBy("lid").agg(F.count("*").alias("n"), *words), "maps")
+    block = lambda c: F.floor((F.col(c) - 1) / TILE_ROWS).cast("int")
+    dealt = stage(live.withColumn("own", block("place")).withColumn("last", block("c")).join(maps, "lid"), "dealt")
+    x = dealt.withColumnRenamed("own", "i").withColumn("j", F.explode(F.sequence("i", "last"))).alias("x")
+    y = dealt.withColumnRenamed("own", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).alias("y")
+    of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    tile = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    unmet = (F.col("x.place") > 1) & (F.col("y.place") - F.col("x.place") > NEIGHBOURS) & (F.col("x.label") != F.col("y.label"))
+    (a, b), apart = of("n"), sum((F.bit_count(u.bitwiseXOR(v)) for u, v in (of(f"w{k}") for k in range(PARITY))), F.lit(0))
+    allowed = (F.least(a, b) >= threshold * F.greatest(a, b)) & (apart * (1 + threshold) <= (a + b) * (1 - threshold) + 1e-6)
+    return stage(x.join(y, tile & unmet & allowed).select(F.col("y.lid").alias("lid"), F.col("x.lid").alias("other")).distinct(), "rest")
+
+
+def near_lines(lines: DataFrame, threshold: float) -> DataFrame:
+    """(lid, component) of distinct lines with a near-duplicate; component is the smallest lid reachable.
+
+    lines: (line, lid), repeats allowed. Similarity: Jaccard of the sets of shingles. In a
+    bucket each line first meets the smallest and the NEIGHBOURS before it: in a large group of
+    similar lines, that alone joins almost all. Pairs in a larger bucket that are still in different
+    components are compared in a second round, so every pair in a bucket is decided.
+    """
+    distinct = lines.groupBy("lid").agg(F.any_value("line").alias("line"))
+    bucket = Window.partitionBy("key").orderBy("lid")
+    met = [F.first("lid").over(bucket)] + [F.lag("lid", k).over(bucket) for k in range(1, NEIGHBOURS + 1)]
+    placed = band_keys(distinct).select("key", "lid", F.row_number().over(bucket).alias("place"), F.lead("lid").over(bucket).alias("next"), F.array(*met).alias("met"))
+    entries = stage(placed.where("place > 1 OR next IS NOT NULL").drop("next"), "entries")
+    pairs = entries.select("lid", F.explode(F.array_distinct("met")).alias("other"))
+    pairs = stage(pairs.where("other IS NOT NULL AND other <> lid").distinct(), "pairs")
+    links = verified(pairs, lines, threshold)
+    components = stage(connected_components(links).withColumnRenamed("node", "lid"), "components")
+    keys = stage(entries.where(F.col("place") == NEIGHBOURS + 2).select("key"), "keys")
+    rest = unmet_pairs(entries.select("key", "lid", "place").join(keys, "key", "left_semi"), components, lines, threshold)
+    if rest.isEmpty():
+        return components
+    more = verified(rest, lines, threshold)
+    return components if more.isEmpty() else connected_components(links.unionByName(more)).withColumnRenamed("node", "lid")
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:

@@ -412,3 +412,20 @@ def test_line_similarity_is_decided_exactly(spark):
     got = dict(rows_of(line_dedup.near_lines(df, 0.8)))
     missed = [k for k in keys if got.get(k, k) != want[k]]
     assert len(missed) <= 0.02 * len(keys) and all(got[k] == want[k] for k in got if k not in missed)
+
+
+def test_similar_lines_are_found_among_many_lines_of_one_template(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, lines = word(170), []
+    for _ in range(300):
+        own = word(30)
+        lines += [head + own + word(9), head + own + word(9)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line"))
+    sets = {x["lid"]: {x["line"][k : k + 8] for k in range(len(x["line"]) - 7)} for x in df.collect()}
+    keys = sorted(sets)
+    links = [(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) == 300
+    want = union_find(keys, links)
+    got = dict(rows_of(line_dedup.near_lines(df, 0.8)))
+    assert len(got) == 600 and all(got[k] == want[k] for k in keys)
