@@ -16,9 +16,6 @@ from daybook.llm.common import connected_components, stage
 SHINGLE = 8
 #: At a similarity of 0.8 a pair agrees in one of the bands with a probability of 0.995.
 BANDS, ROWS = 10, 4
-#: Lines with at least SPARSE blanks are signed by the shingles at their words' beginnings, lines with fewer than
-#: DENSE by all; in between by both, so that similar lines, whose counts are near, share a way.
-SPARSE, DENSE = 32, 40
 #: In the first round, pairs of each row in a bucket: with the bucket's smallest line and with so many before it.
 NEIGHBOURS = 4
 #: In the second round, rows of one side of a tile of a bucket.
@@ -60,14 +57,10 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def band_keys(distinct: DataFrame) -> DataFrame:
-    """(lid, key): a key for each band of each distinct line's signatures."""
-    blanks = F.length("line") - F.length(F.translate("line", " ", ""))
-    starts = F.regexp_extract_all("line", F.lit(f"(?s)(?<![^ ])(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    ways = F.array(F.when(blanks < DENSE, F.struct(F.lit(0).alias("way"), shingles(F.col("line")).alias("grams"))), F.when(blanks >= SPARSE, F.struct(F.lit(1).alias("way"), starts.alias("grams"))))
-    grams = distinct.select("lid", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("w")).select("lid", "w.way", F.explode("w.grams").alias("gram"))
-    hashed = grams.select("lid", "way", F.xxhash64("gram").alias("h"))
-    signed = hashed.groupBy("lid", "way").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(targets())])
-    keys = [F.xxhash64("way", F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    """(lid, key): a key for each band of each distinct line's signature, which all its shingles make."""
+    hashed = distinct.select("lid", F.explode(shingles(F.col("line"))).alias("gram")).select("lid", F.xxhash64("gram").alias("h"))
+    signed = hashed.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(targets())])
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select("lid", F.explode(F.array(*keys)).alias("key"))
 
 

@@ -429,3 +429,15 @@ def test_similar_lines_are_found_among_many_lines_of_one_template(spark):
     want = union_find(keys, links)
     got = dict(rows_of(line_dedup.near_lines(df, 0.8)))
     assert len(got) == 600 and all(got[k] == want[k] for k in keys)
+
+
+def test_similar_lines_of_different_word_counts_are_found(spark):
+    r = random.Random(10)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    long = " ".join(word(6) for _ in range(32))
+    phrase = " ".join(word(6) for _ in range(4))
+    lines = [long, " ".join([long, *(word(4) for _ in range(9))]), " ".join([phrase] * 8), " ".join([phrase] * 11)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line"))
+    got = dict(rows_of(line_dedup.near_lines(df, 0.8)))
+    ids = [x["lid"] for x in df.collect()]
+    assert got == {ids[0]: min(ids[:2]), ids[1]: min(ids[:2]), ids[2]: min(ids[2:]), ids[3]: min(ids[2:])}
