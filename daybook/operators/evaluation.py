@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -374,26 +375,37 @@ def ls_walk_forward(df: DataFrame, lo: float = 0.5, hi: float = 1.5, min_rows: i
 
 
 def cancel_returns(lines: DataFrame, product: str, order: Sequence[str], quantity: str) -> DataFrame:
-    """A negative line takes back the latest positive quantities of its product; what is left above 0 stays."""
+    """A negative line takes back the latest positive quantities of its product; what is left above 0 stays.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(list(order), kind="stable").reset_index(drop=True)
-        left, stack = f[quantity].astype(float).to_numpy().copy(), []
-        for i, q in enumerate(left):
-            if q > 0:
-                stack.append(i)
-            elif q < 0:
-                back = -q
-                while back > 0 and stack:
-                    use = min(back, left[stack[-1]])
-                    left[stack[-1]] -= use
-                    back -= use
-                    if left[stack[-1]] <= 0:
-                        stack.pop()
-                left[i] = 0.0
-        return f.assign(**{quantity: left})[left > 0]
-
-    return lines.groupBy(product).applyInPandas(run, lines.schema)
+    A product's open quantity H rises and falls with its lines but never below 0, and a line keeps what of its
+    rise no later H undercuts. The ordered lines are dealt by range, so a product is cut into blocks; each block
+    gives its sum and its least running sum, then its least H, and windows over blocks alone carry these on.
+    """
+    sc = lines.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # only where the session names none, as in local tests
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    by = [F.col(c).asc_nulls_last() for c in order]
+    block = Window.partitionBy(product, "__block")
+    onward = block.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = lines.withColumn("__q", F.coalesce(F.nanvl(F.col(quantity).cast("double"), F.lit(0.0)), F.lit(0.0))).repartitionByRange(F.col(product).asc(), *by)
+    run = dealt.withColumn("__block", F.spark_partition_id()).withColumns({"__sum": F.sum("__q").over(onward), "__at": F.row_number().over(block.orderBy(*by))})
+    run = run.withColumn("__least", F.min("__sum").over(block.orderBy("__at"))).checkpoint()  # blocks are read twice and must not move
+    blocks = Window.partitionBy(product).orderBy("__block")
+    before, after = blocks.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(product).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def joined(df: DataFrame, per: DataFrame) -> DataFrame:
+        per = per.withColumnsRenamed({product: "__p", "__block": "__b"})
+        return df.join(per, F.col(product).eqNullSafe(F.col("__p")) & (F.col("__block") == F.col("__b"))).drop("__p", "__b")
+
+    sums = run.groupBy(product, "__block").agg(F.sum("__q").alias("total"), F.min("__sum").alias("low"))
+    sums = sums.withColumn("__start", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    sums = sums.withColumn("__lowest", F.least(F.lit(0.0), F.min(F.col("__start") + F.col("low")).over(before))).drop("total", "low")
+    high = joined(run, sums).withColumn("__h", F.col("__start") + F.col("__sum") - F.least("__lowest", F.col("__start") + F.col("__least"))).drop("__start", "__lowest", "__least", "__sum")
+    later = high.groupBy(product, "__block").agg(F.min("__h").alias("low")).withColumn("__later", F.min("low").over(after)).drop("low")
+    back = joined(high.withColumn("__rest", F.min("__h").over(block.orderBy(F.desc("__at")))), later).withColumn("__rest", F.least("__rest", "__later"))
+    left = F.when(F.col("__rest") >= F.col("__h"), F.col("__q")).otherwise(F.col("__rest") - (F.col("__h") - F.col("__q")))
+    kind = lines.schema[quantity].dataType
+    return back.where((F.col("__q") > 0) & (left > 0)).select(*[left.cast(kind).alias(c) if c == quantity else F.col(c) for c in lines.columns])
 
 
 # ---------------------------------------------------------------- checks: rows that break a rule

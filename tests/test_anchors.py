@@ -1,6 +1,7 @@
 """Numeric anchors of single operators on small frames."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,31 @@ def test_returns_cancel_the_latest_lines(spark):
     assert one(E.cancel_returns(df, "p", ["n"], "q").orderBy("n").select("n", "q")) == [(6, 2.0)]
 
 
+def test_returns_cancel_across_blocks_of_a_product(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "a", "a", None]), n, float(r.choice([-3, -2, 1, 2, 3, 3]) if n % 900 > 300 else r.choice([-2, 1, 1])), "x") for n in range(3000)] + [("b", 1, -5.0, "x"), ("b", 2, None, "x"), ("b", 3, 2.0, "x")]
+    want = []
+    for p in ("a", "b", None):
+        stack = []
+        for _, n, q, _ in (x for x in rows if x[0] == p and x[2]):
+            if q > 0:
+                stack.append([n, q])
+            while q < 0 and stack:
+                use = min(-q, stack[-1][1])
+                q, stack[-1][1] = q + use, stack[-1][1] - use
+                if not stack[-1][1]:
+                    stack.pop()
+        want += [(p, n, q, "x") for n, q in stack]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "p string, n int, q double, note string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = E.cancel_returns(df, "p", ["n"], "q")
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and len(want) > 20
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("name", ["ewm_span_3", "expanding_median", "trimmed_mean_7", "rolling_median_7", "same_weekday_mean_4"])
 def test_baselines_equal_a_loop(spark, name):
     import numpy as np
