@@ -10,6 +10,7 @@ next gzip member or version line, goes on there and reports the bytes it left be
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -93,10 +94,26 @@ def to_records(df: DataFrame, id_col: str, url_col: str, payload_col: str, date:
 
 
 def write_warc(df: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, records_per_file: int = 4096, compression: str = "gzip") -> None:
-    """Write every row as one WARC record; a file holds at most ``records_per_file``."""
+    """Write every row as one WARC record; a file holds at most ``records_per_file``.
+
+    With gzip each record is a member of its own. Members go through the text sink as strings of their bytes;
+    the sink's separator gives each its last byte, which is 0, as the length of a record below 16 MB ends with it
+    and a longer record is followed by an empty member.
+    """
     rows = mark_revisits(df.select(id_col, url_col, payload_col), id_col, payload_col, min_bytes)
     records = to_records(rows, id_col, url_col, payload_col)
-    records.write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    sep = "\r\n\r\n"
+    if compression == "gzip":
+        records, sep, compression = records.mapInArrow(_members, "member binary").select(F.col("member").cast("string")), "\0", "none"
+    records.write.option("lineSep", sep).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def _members(batches):
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):  # a few at a time, as records may be long
+            out = [gzip.compress(r.encode() + END, mtime=0) for r in batch.column(0).slice(k, 256).to_pylist()]
+            out = [m if m[-1] == 0 else m + gzip.compress(b"", mtime=0) for m in out]
+            yield pa.RecordBatch.from_arrays([pa.array([m[:-1] for m in out], pa.binary())], names=["member"])
 
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -128,55 +145,84 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(END)[2]
 
 
-def _salvage_plain(data: bytes, origin: int | None = None) -> Iterator[tuple]:
+def _next_version(data: bytes, at: int) -> int:
+    """The next version line at a line's start."""
+    later = VERSION.search(data, at)
+    while later and later.start() and data[later.start() - 1 : later.start()] != b"\n":
+        later = VERSION.search(data, later.start() + 1)
+    return later.start() if later else len(data)
+
+
+def _walk(data: bytes) -> Iterator[tuple]:
+    """Records and gaps of what a member gave, at their places in it."""
     at = 0
     while at < len(data):
         try:
             headers, block, end = _parse(data, at)
         except ValueError as why:
-            later = VERSION.search(data, at + 1)
-            while later and data[later.start() - 1 : later.start()] != b"\n":
-                later = VERSION.search(data, later.start() + 1)
-            end = later.start() if later else len(data)
-            yield "gap", at if origin is None else origin, end if origin is None else origin, str(why), None, None
+            end = _next_version(data, at + 1)
+            yield "gap", at, end, str(why), None, None
         else:
-            yield "record", at if origin is None else origin, end if origin is None else origin, None, headers, block
+            yield "record", at, end, None, headers, block
         at = end
 
 
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` gives, its end, and why it broke; up to the very byte where it broke."""
+    inflate, parts, k = zlib.decompressobj(31), [], at
+    while not inflate.eof and k < len(data):
+        before, some = inflate.copy(), data[k : k + 65536]
+        try:
+            parts.append(inflate.decompress(some))
+        except zlib.error as e:
+            try:
+                for x in some:
+                    parts.append(before.decompress(bytes([x])))
+            except zlib.error:
+                pass
+            return b"".join(parts), len(data), str(e)
+        k += len(some)
+    return b"".join(parts), k - len(inflate.unused_data), "" if inflate.eof else "member without end"
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """(kind, start, end, reason, headers, block) of all records and gaps of one archive.
 
-    kind: record or gap. A plain archive is walked record by record; after a failed check
-    the next version line at a line's start is searched. A compressed one is walked member
-    by member; a member that does not inflate is a gap up to the next member that begins
-    well, and records that it gave whole before it broke are still recovered. For
-    compressed archives start and end are those of the member in the file.
+    kind: record or gap. Plain records and gzip members may follow each other in any order. After
+    a failed check the nearer of the next member that begins well and the next version line at a line's start is
+    searched. Records that a member gave whole before it broke are still recovered. start and end are places
+    in the file, for what a member holds those of the member; the reason of a gap inside a member names its
+    bytes in what the member gave.
     """
-    if not data.startswith(MEMBER):
-        yield from _salvage_plain(data)
-        return
-    at = 0
+    at, nexts = 0, [-1, -1]
+
+    def resync(start: int) -> int:
+        for k, search in enumerate((_next_member, _next_version)):
+            if nexts[k] < start:  # each search goes on from where it found something
+                nexts[k] = search(data, start)
+        return min(nexts)
+
     while at < len(data):
-        inflate, parts, why = zlib.decompressobj(31), [], ""
-        try:
-            parts.append(inflate.decompress(data[at:]))
-            if not inflate.eof:
-                why = "member without end"
-        except zlib.error as e:
-            why = str(e)
-            parts, inflate_again = [], zlib.decompressobj(31)
-            try:  # what came out before the error
-                for k in range(at, len(data), 4096):
-                    parts.append(inflate_again.decompress(data[k : k + 4096]))
-            except zlib.error:
-                pass
-        end = len(data) - len(inflate.unused_data) if not why else _next_member(data, at + 1)
-        for kind, _, _, reason, headers, block in _salvage_plain(b"".join(parts)):
-            if kind == "record" or not why:
-                yield kind, at, end, reason, headers, block
+        if not data.startswith(MEMBER, at):
+            try:
+                headers, block, end = _parse(data, at)
+            except ValueError as e:
+                end = resync(at + 1)
+                yield "gap", at, end, str(e), None, None
+            else:
+                yield "record", at, end, None, headers, block
+            at = end
+            continue
+        inner, end, why = _inflate(data, at)
+        end = resync(at + 1) if why else end
+        lost = len(inner)
+        for kind, a, b, reason, headers, block in _walk(inner):
+            if kind == "record" or not why or b < len(inner):
+                yield kind, at, end, reason and f"{reason}: bytes {a} to {b} of the member", headers, block
+            else:
+                lost = a
         if why:
-            yield "gap", at, end, why, None, None
+            yield "gap", at, end, f"{why}: from byte {lost} of the member", None, None
         at = end
 
 

@@ -94,6 +94,31 @@ def test_salvage_of_gzip_members():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_goes_on_across_members_and_plain_parts():
+    ids = lambda data: [h["warc-record-id"][9:-1] for kind, *_, h, _ in warc.salvage(data) if kind == "record"]
+    plain = [_record(i, b"body %d" % i) for i in range(6)]
+    members = [gzip.compress(x) for x in plain]
+    assert ids(b"\0" + members[0][1:] + members[1] + members[2]) == ["1", "2"]
+    assert ids(b"junk" + members[0] + members[1]) == ["0", "1"]
+    mixed = plain[0] + members[1] + plain[2].replace(b"body", b"bodX") + members[3] + b"junk\n" + plain[4] + members[5]
+    assert ids(mixed) == ["0", "1", "3", "4", "5"]
+    two = gzip.compress(plain[0].replace(b"body", b"bodX") + plain[1])
+    gap = next(x for x in warc.salvage(two) if x[0] == "gap")
+    assert f"bytes 0 to {len(plain[0])} of" in gap[3] and ids(two) == ["1"]
+
+
+def test_damage_in_a_written_archive_costs_one_record(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://{i}", f"<p>{i}</p>" * 50) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, f"{tmp_path}/w", "page_id", "url", "html")
+    found = [f for f in (tmp_path / "w").glob("part-*")]
+    data = max((f.read_bytes() for f in found), key=len)
+    whole = [x for x in warc.salvage(data) if x[0] == "record"]
+    assert gzip.decompress(data).count(b"WARC/1.1") == len(whole) > 1
+    at = (whole[0][1] + whole[0][2]) // 2
+    left = [x for x in warc.salvage(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]) if x[0] == "record"]
+    assert [x[4]["warc-record-id"] for x in left][-len(whole) + 1 :] == [x[4]["warc-record-id"] for x in whole[1:]]
+
+
 # ---------------------------------------------------------------- 2
 
 
