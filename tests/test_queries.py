@@ -38,3 +38,16 @@ def test_query_equals_its_sql(spark, name):
     at = [sql.columns.index(c) for c in cols]
     theirs = sorted(str([plain(r[i]) for i in at]) for r in sql.fetchall())
     assert mine == theirs
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_walk_forward_predicts_every_date_of_the_holdout(spark):
+    from pyspark.sql import functions as F
+
+    from daybook.plans import source_queries as Q
+    from daybook.plans.registry import QUERIES
+
+    days = [r["dt"] for r in Q.series(spark, SF).select("dt").distinct().orderBy("dt").collect()]
+    last = Q.series(spark, SF).agg(F.add_months(F.max("dt"), -3)).first()[0]
+    got = {r["dt"] for r in QUERIES["walk_forward_predict"](spark, SF).select("dt").distinct().collect()}
+    assert set(map(str, got)) == {str(d) for d in days if d > last} and len(got) > 60
