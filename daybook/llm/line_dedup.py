@@ -7,175 +7,267 @@ distributed union-find of ``common``; the first line of each component stays.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from daybook.llm.common import connected_components, stage
+from daybook.llm.common import connected_components, forget, stage
 
-SHINGLE = 8
-#: At a similarity of 0.8 a pair agrees in one of the bands with a probability of 0.995.
-BANDS, ROWS = 10, 4
-#: In the first round, pairs of each row in a bucket: with the bucket's smallest line and with so many before it.
-NEIGHBOURS = 4
-#: In the second round, rows of one side of a tile of a bucket.
+#: Characters (UTF-16 units) of a shingle, and bytes of a unit.
+SHINGLE, UNIT = 8, 2
+#: Shingles in a row of work: the loop over them is compiled, and one aggregation step serves all.
+BLOCK = 16
+#: MinHash values of a line. A band joins four of them, any two bands share one at most; at a similarity
+#: of 0.8 a pair agrees in one of the bands with a probability of 0.993.
+VALUES, BANDS = 20, 16
+#: Rows of one side of a tile of a bucket.
 TILE_ROWS = 256
+#: Crowded buckets get so many rounds of stars while a round leaves at most this share of their rows open.
+STAR_ROUNDS, STILL_OPEN = 8, 0.9
 #: 64-bit words of a set's parity bitmap.
 PARITY = 8
-#: A side is broadcast where it was counted to have at most so many rows; else both are shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def shingles(line: Column) -> Column:
-    """All substrings of SHINGLE characters; a shorter line is its own only one."""
-    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+#: A side is broadcast where it was counted to have at most so many numbers; else both are shuffled.
+BROADCAST_NUMBERS = 2_000_000
+#: What a blank line consists of, besides nothing.
+BLANKS = " \t\r\x0b\x0c"
 
 
 def targets() -> list[int]:
-    """A fixed pseudo-random number for each of the BANDS * ROWS hashes.
+    """A fixed pseudo-random number for each of the VALUES hashes.
 
     The least of h XOR target over a set's hashes h is a MinHash: each element is
     equally likely to be nearest to the target.
     """
     out, x = [], 0x2545F4914F6CDD1D
-    for _ in range(BANDS * ROWS):
+    for _ in range(VALUES):
         for shift in (13, -7, 17):
             x ^= (x << shift if shift > 0 else x >> -shift) & (2**64 - 1)
         out.append(x - 2**63)
     return out
 
 
+def bands() -> list[list[int]]:
+    """The places of the four values of each band: shifts of one set whose differences are all different."""
+    return [[(b * VALUES // BANDS + step) % VALUES for step in (0, 1, 4, 9)] for b in range(BANDS)]
+
+
 def small_side(df: DataFrame) -> DataFrame:
-    """``df``, a staged table, marked for broadcast if its row count allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a staged table of numbers, marked for broadcast if its size allows."""
+    return F.broadcast(df) if df.count() * len(df.columns) <= BROADCAST_NUMBERS else df
 
 
-def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, pos, line, lid) of all lines that are not blank; lid: a 64-bit hash of the line."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return lines.where(F.trim("line") != "").withColumn("lid", F.xxhash64("line"))
+def line_id(line: Column, salt: int = 0) -> Column:
+    return F.xxhash64(line) if not salt else F.xxhash64(F.lit(salt), line)
 
 
-def band_keys(distinct: DataFrame) -> DataFrame:
-    """(lid, key): a key for each band of each distinct line's signature, which all its shingles make."""
-    hashed = distinct.select("lid", F.explode(shingles(F.col("line"))).alias("gram")).select("lid", F.xxhash64("gram").alias("h"))
-    signed = hashed.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(targets())])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("lid", F.explode(F.array(*keys)).alias("key"))
+def split_lines(docs: DataFrame, id_col: str, text_col: str, clashes: list[DataFrame]) -> DataFrame:
+    """(doc, rid, pos, line, lid) of all lines that are not blank. rid: a hash of the whole text; lid: a
+    hash of the line, taken anew where ``clashes`` list it."""
+    text = F.col(text_col)
+    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("rid"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = lines.where("doc IS NOT NULL").where(F.btrim("line", F.lit(BLANKS)) != "").withColumn("lid", line_id(F.col("line")))
+    for salt, clash in enumerate(clashes, 1):
+        marked = clash.select("lid", F.lit(True).alias("clash"))
+        lines = lines.join(marked, "lid", "left").withColumn("lid", F.when(F.col("clash"), line_id(F.col("line"), salt)).otherwise(F.col("lid"))).drop("clash")
+    return lines
 
 
-def hashes(line: Column) -> Column:
-    """The set of a line's shingles, as 64-bit hashes."""
-    return F.array_distinct(F.transform(shingles(line), lambda g: F.xxhash64(g)))
+def in_blocks(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, at, h0, h1, ...): the 64-bit hashes of all shingles of each ``line``, BLOCK to a row; at: 1 in
+    a line's first row. The last row repeats the last shingle; a line of fewer characters is its own only one."""
+    width = SHINGLE * UNIT
+    units = lines.select(*keep, F.encode("line", "UTF-16BE").alias("units")).withColumn("last", F.expr(f"greatest(length(units) - {width - 1}, 1)"))
+    rows = units.select(*keep, "units", "last", F.explode(F.expr(f"sequence(1, last, {UNIT * BLOCK})")).alias("at"))
+    return rows.select(*keep, "at", *[F.xxhash64(F.expr(f"substring(units, least(at + {UNIT * k}, last), {width})")).alias(f"h{k}") for k in range(BLOCK)])
 
 
-def texts_of(lines: DataFrame, lids: DataFrame) -> DataFrame:
-    """(lid, line), staged: one row for each of ``lids``, a staged table."""
-    return stage(lines.join(small_side(lids), "lid", "left_semi").groupBy("lid").agg(F.any_value("line").alias("line")), "texts")
+def signed(distinct: DataFrame) -> DataFrame:
+    """(lid, c, keys): a key for each band of each line's signature; c: how many lines have this lid."""
+    block = [F.col(f"h{k}") for k in range(BLOCK)]
+    least = [F.min(F.least(*[h.bitwiseXOR(F.lit(c)) for h in block])).alias(f"m{k}") for k, c in enumerate(targets())]
+    values = in_blocks(distinct, ["lid"]).groupBy("lid").agg(F.count_if(F.col("at") == 1).alias("c"), *least)
+    return values.select("lid", "c", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in places]) for b, places in enumerate(bands())]).alias("keys"))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of those of the staged pairs (lid, other) whose sets of shingles are similar; staged."""
-    needed = stage(pairs.select(F.explode(F.array("lid", "other")).alias("lid")).distinct(), "needed")
-    texts = texts_of(lines, needed)
-    both = pairs.join(texts, "lid").join(texts.toDF("other", "other_line"), "other")  # texts are an eighth of their shingles
+def sets_of(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, hashes): the set of shingles of each ``line``, one line for each value of ``keep``."""
+    rows = in_blocks(lines, keep).select(*keep, F.array(*[f"h{k}" for k in range(BLOCK)]).alias("block"))
+    return rows.groupBy(*keep).agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("hashes"))
 
-    def is_near(s):
-        a, b = F.size(s["a"]), F.size(s["b"])
-        shared = F.size(F.array_intersect(s["a"], s["b"]))
-        return (F.least(a, b) >= threshold * F.greatest(a, b)) & (shared >= threshold * (a + b - shared))
 
-    # bound as a lambda's argument, both sets are made once, whatever the optimiser does with the filter
-    near = both.where(F.exists(F.array(F.struct(hashes(F.col("line")).alias("a"), hashes(F.col("other_line")).alias("b"))), is_near))
-    return stage(near.select(F.col("lid").alias("a"), F.col("other").alias("b")), "links")
+def texts_of(distinct: DataFrame, lids: DataFrame) -> DataFrame:
+    """(lid, line), staged: the lines of ``lids``, a staged table."""
+    return stage(distinct.select("lid", "line").join(small_side(lids), "lid", "left_semi"), "texts")
 
 
-def unmet_pairs(large: DataFrame, components: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(lid, other), staged: the pairs of different components that share a bucket of ``large`` and did not meet there.
+def verified(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of those of the staged pairs (a, b) whose sets of shingles are similar; staged.
 
-    large: (key, lid, place), place: from 1 in the order of lid. Blocks of TILE_ROWS rows of a bucket meet in
-    tiles, each a key of a join, so a bucket is dealt to as many tasks as it needs. A tile gives only pairs whose
-    sizes and parity bitmaps allow the similarity: bitmaps never differ in more bits than sets do in elements.
+    Texts, an eighth of their sets, meet first and are dealt out by pairs, so that a line with many
+    partners is dealt to many tasks; each pair's two sets are made there.
     """
+    needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "needed")
+    texts = texts_of(distinct, needed)
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = both.repartition(tasks, "a", "b").select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("line")), F.struct(F.lit(1).alias("side"), F.col("y").alias("line")))).alias("s"))
+    rows = in_blocks(sides.select("a", "b", "s.side", "s.line"), ["a", "b", "side"]).select("a", "b", "side", F.array(*[f"h{k}" for k in range(BLOCK)]).alias("block"))
+    side = lambda k: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == k, F.col("block"))))).alias(f"s{k}")
+    sizes = rows.groupBy("a", "b").agg(side(0), side(1)).select("a", "b", F.size("s0").alias("m"), F.size("s1").alias("n"), F.size(F.array_intersect("s0", "s1")).alias("shared"))
+    links = stage(sizes.where(F.col("shared") >= threshold * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b"), "links")
+    forget(needed, texts)
+    return links
+
+
+def open_rows(large: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, lid, c, label), staged: the rows of ``large`` in buckets that hold several components."""
     labelled = stage(large.join(components, "lid", "left").withColumn("label", F.coalesce("component", "lid")).drop("component"), "labelled")
-    counted = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("c"))
-    live = stage(labelled.join(counted.where("lo <> hi").select("key", "c"), "key"), "live")
-    texts = texts_of(lines, stage(live.select("lid").distinct(), "needed"))
-    bits = texts.select("lid", F.explode(hashes(F.col("line"))).alias("h"))
+    several = stage(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "several")
+    live = stage(labelled.join(several, "key", "left_semi"), "live")
+    forget(labelled, several)
+    return live
+
+
+def star_pairs(live: DataFrame, turn: int) -> DataFrame:
+    """(a, b), staged: all rows of a bucket with one of it, another one each turn, unless one component has both."""
+    pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "lid").alias("h"), F.col("lid").alias("pivot"), F.col("label").alias("its"))).alias("p"))
+    pivots = stage(pivots.select("key", "p.pivot", "p.its"), "pivots")
+    pairs = stage(live.join(pivots, "key").where("label <> its").select(F.greatest("lid", "pivot").alias("a"), F.least("lid", "pivot").alias("b")).distinct(), "pairs")
+    forget(pivots)
+    return pairs
+
+
+def unmet_pairs(live: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), staged: the pairs of different components that share a bucket of ``live``, from ``open_rows``.
+
+    Blocks of about TILE_ROWS rows of a bucket meet in tiles, each a key of a join, so a bucket is dealt
+    to as many tasks as it needs. A tile gives only pairs whose sizes and parity bitmaps allow
+    the similarity: bitmaps never differ in more bits than sets do in elements.
+    """
+    needed = stage(live.select("lid").distinct(), "needed")
+    texts = texts_of(distinct, needed)
+    bits = sets_of(texts, ["lid"]).select("lid", F.explode("hashes").alias("h"))
     bit = F.expr("shiftleft(1L, CAST(h & 63 AS int))")
     words = [F.coalesce(F.bit_xor(F.when(F.shiftrightunsigned("h", 6) % PARITY == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(PARITY)]
     maps = stage(bits.groupBy("lid").agg(F.count("*").alias("n"), *words), "maps")
-    block = lambda c: F.floor((F.col(c) - 1) / TILE_ROWS).cast("int")
-    dealt = stage(live.withColumn("own", block("place")).withColumn("last", block("c")).join(maps, "lid"), "dealt")
+    blocks = F.ceil(F.col("c") / TILE_ROWS).cast("int")
+    dealt = stage(live.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("lid"), F.col("last") + 1).cast("int")).join(maps, "lid"), "dealt")
     x = dealt.withColumnRenamed("own", "i").withColumn("j", F.explode(F.sequence("i", "last"))).alias("x")
     y = dealt.withColumnRenamed("own", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).alias("y")
     of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
     tile = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    unmet = (F.col("x.place") > 1) & (F.col("y.place") - F.col("x.place") > NEIGHBOURS) & (F.col("x.label") != F.col("y.label"))
+    unmet = ((F.col("x.i") < F.col("x.j")) | (F.col("x.lid") > F.col("y.lid"))) & (F.col("x.label") != F.col("y.label"))
     (a, b), apart = of("n"), sum((F.bit_count(u.bitwiseXOR(v)) for u, v in (of(f"w{k}") for k in range(PARITY))), F.lit(0))
     allowed = (F.least(a, b) >= threshold * F.greatest(a, b)) & (apart * (1 + threshold) <= (a + b) * (1 - threshold) + 1e-6)
-    return stage(x.join(y, tile & unmet & allowed).select(F.col("y.lid").alias("lid"), F.col("x.lid").alias("other")).distinct(), "rest")
+    rest = stage(x.join(y, tile & unmet & allowed).select(F.greatest("x.lid", "y.lid").alias("a"), F.least("x.lid", "y.lid").alias("b")).distinct(), "rest")
+    forget(needed, texts, maps, dealt)
+    return rest
+
+
+def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
+    """(lid, component), staged: distinct lines with a near-duplicate; component is the smallest lid reachable.
+
+    distinct: (lid, line), keyed: (lid, keys), both staged. Similarity: Jaccard of the sets of shingles.
+    In a bucket each line first meets the smallest, then, while buckets hold several components, one
+    line after another: so large groups of similar lines are joined with few pairs. All pairs of
+    different components that are left in a bucket are compared at last, so every pair in a bucket is
+    decided.
+    """
+    entries = keyed.select("lid", F.explode("keys").alias("key"))
+    buckets = stage(entries.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.count("*").alias("c")).where("c > 1"), "buckets")
+    crowded = stage(buckets.where("c > 2").select("key", "least", "c"), "crowded")
+    large = stage(entries.join(small_side(crowded), "key").select("key", "lid", "least", "c"), "large")
+    stars = buckets.where("c = 2").select(F.col("most").alias("a"), F.col("least").alias("b")).unionByName(large.where("lid <> least").select(F.col("lid").alias("a"), F.col("least").alias("b")))
+    pairs = stage(stars.distinct(), "pairs")
+    links = [verified(pairs, distinct, threshold)]
+    components = connected_components(links[0])
+    live = open_rows(large.select("key", "lid", "c"), components.withColumnRenamed("node", "lid"))
+    forget(buckets, crowded, large, pairs)
+    rows, turn = live.count(), 0
+    while rows:
+        pairs = star_pairs(live, turn) if turn < STAR_ROUNDS else unmet_pairs(live, distinct, threshold)
+        more = verified(pairs, distinct, threshold)
+        forget(pairs)
+        before, found = rows, not more.isEmpty()
+        if found:
+            links.append(more)
+            forget(components)
+            components = connected_components(functools.reduce(DataFrame.unionByName, links))
+        if turn >= STAR_ROUNDS:
+            break
+        if found:
+            still = open_rows(live.drop("label"), components.withColumnRenamed("node", "lid"))
+            forget(live)
+            live, rows = still, still.count()
+        turn = turn + 1 if rows <= STILL_OPEN * before else STAR_ROUNDS
+    forget(live, *links)
+    out = components.withColumnRenamed("node", "lid")
+    out.staged_in = components.__dict__.pop("staged_in")
+    return out
 
 
-def near_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """(lid, component) of distinct lines with a near-duplicate; component is the smallest lid reachable.
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines (doc, rid, pos, line, lid); staged, the different ones (lid, line, n, first_doc) and (lid, c, keys).
 
-    lines: (line, lid), repeats allowed. Similarity: Jaccard of the sets of shingles. In a
-    bucket each line first meets the smallest and the NEIGHBOURS before it: in a large group of
-    similar lines, that alone joins almost all. Pairs in a larger bucket that are still in different
-    components are compared in a second round, so every pair in a bucket is decided.
+    Hashes name lines. Where two different lines have one hash, those of them are
+    hashed anew until all are apart.
     """
-    distinct = lines.groupBy("lid").agg(F.any_value("line").alias("line"))
-    bucket = Window.partitionBy("key").orderBy("lid")
-    met = [F.first("lid").over(bucket)] + [F.lag("lid", k).over(bucket) for k in range(1, NEIGHBOURS + 1)]
-    placed = band_keys(distinct).select("key", "lid", F.row_number().over(bucket).alias("place"), F.lead("lid").over(bucket).alias("next"), F.array(*met).alias("met"))
-    entries = stage(placed.where("place > 1 OR next IS NOT NULL").drop("next"), "entries")
-    pairs = entries.select("lid", F.explode(F.array_distinct("met")).alias("other"))
-    pairs = stage(pairs.where("other IS NOT NULL AND other <> lid").distinct(), "pairs")
-    links = verified(pairs, lines, threshold)
-    components = stage(connected_components(links).withColumnRenamed("node", "lid"), "components")
-    keys = stage(entries.where(F.col("place") == NEIGHBOURS + 2).select("key"), "keys")
-    rest = unmet_pairs(entries.select("key", "lid", "place").join(keys, "key", "left_semi"), components, lines, threshold)
-    if rest.isEmpty():
-        return components
-    more = verified(rest, lines, threshold)
-    return components if more.isEmpty() else connected_components(links.unionByName(more)).withColumnRenamed("node", "lid")
+    clashes: list[DataFrame] = []
+    while True:
+        lines = split_lines(docs, id_col, text_col, clashes)
+        distinct = stage(lines.groupBy("lid", "line").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")), "distinct")
+        keyed = stage(signed(distinct), "keyed")
+        clash = stage(keyed.where("c > 1").select("lid"), "clash")
+        if clash.isEmpty():
+            forget(clash)
+            return lines, distinct, keyed
+        forget(distinct, keyed)
+        clashes.append(clash)
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:
-    """(doc, drops): for documents that lose lines, the places of these lines from 0.
+    """(doc, rid, drops), staged: for documents that lose lines, the places of these lines from 0.
 
     Of each component of equal and similar lines the first one stays: in the document with the
     smallest id, at the first place there.
     """
-    lines = split_lines(docs, id_col, text_col).where("doc IS NOT NULL")
-    components = stage(near_lines(lines.select("lid", "line"), threshold), "components")
-    counted = lines.groupBy("lid").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))
-    groups = counted.join(components, "lid", "left").where("n > 1 OR component IS NOT NULL").select("lid", F.coalesce("component", "lid").alias("component"), "first_doc")
+    lines, distinct, keyed = distinct_lines(docs, id_col, text_col)
+    components = near_lines(distinct, keyed, threshold)
+    groups = distinct.join(components, "lid", "left").where("n > 1 OR component IS NOT NULL").select("lid", F.coalesce("component", "lid").alias("component"), "first_doc")
     groups = stage(groups, "groups")
-    keepers = groups.groupBy("component").agg(F.min("first_doc").alias("keeper"))
-    groups = stage(groups.join(keepers, "component").select("lid", "component", "keeper"), "keepers")
-    there = stage(lines.select("doc", "pos", "lid").join(small_side(groups), "lid").select("doc", "pos", "component", "keeper"), "there")
-    first = there.where("doc = keeper").groupBy("doc", "component").agg(F.min("pos").alias("kept"))
-    own = there.where("doc = keeper").join(first, ["doc", "component"]).where("pos > kept").select("doc", "pos")
-    gone = there.where("doc <> keeper").select("doc", "pos").unionByName(own)
-    return gone.groupBy("doc").agg(F.collect_set("pos").alias("drops"))
+    forget(distinct, keyed, components)
+    keepers = stage(groups.groupBy("component").agg(F.min("first_doc").alias("keeper")), "keepers")
+    kept_in = stage(groups.select("lid", "component").join(keepers, "component"), "kept_in")
+    there = stage(lines.select("doc", "rid", "pos", "lid").join(small_side(kept_in), "lid").select("doc", "rid", "pos", "component", "keeper"), "there")
+    at_home = there.where("doc = keeper")
+    first = at_home.groupBy("component").agg(F.min(F.struct("rid", "pos")).alias("kept"))
+    own = at_home.join(stage(first, "first"), "component").where((F.col("rid") != F.col("kept.rid")) | (F.col("pos") != F.col("kept.pos"))).select("doc", "rid", "pos")
+    gone = there.where("doc <> keeper").select("doc", "rid", "pos").unionByName(own)
+    drops = stage(gone.groupBy("doc", "rid").agg(F.collect_set("pos").alias("drops")), "drops")
+    forget(groups, keepers, kept_in, there)
+    return drops
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` with near-duplicate lines taken out of ``text_col``, and n_lines and n_dropped added.
 
-    Lines are parted by \\n; blank ones are neither compared nor dropped. Null and empty texts
-    stay as they are, with 0 or 1 lines. Rows that repeat an id are one document: each
-    keeps what the document keeps. Rows with a null id neither drop nor displace lines.
-    Line ids are 64-bit hashes of whole lines.
+    Lines are parted by \\n; blank ones (white space, \\r included) are neither compared nor dropped.
+    Null and empty texts stay as they are, with 0 or 1 lines. Equal rows keep the same
+    lines; rows that repeat an id with different texts come in the order of their texts' hashes.
+    Rows with a null id neither drop nor displace lines. Columns n_lines and n_dropped
+    of ``docs`` are replaced; other extra columns stay, whatever their names.
     """
-    drops = stage(dropped_lines(docs, id_col, text_col, threshold), "drops")
-    marked = docs.join(small_side(drops.withColumnRenamed("doc", id_col)), id_col, "left")
-    parts = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("drops"), i)), "\n")
+    drops = dropped_lines(docs, id_col, text_col, threshold)
+    numbers = drops.agg(F.sum(F.size("drops") + 2)).first()[0] or 0
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("rid"))
+    marked = rows.join(F.broadcast(drops) if numbers <= BROADCAST_NUMBERS else drops, ["doc", "rid"], "left")
+    of = lambda c: F.col("row").getField(c)
+    parts = F.split(of(text_col), "\n")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops"), lambda i: F.get(parts, i)), "\n")
+    added = ("n_lines", "n_dropped")
     return marked.select(
-        *[F.when(F.col("drops").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col("drops").isNull(), of(c)).otherwise(left).alias(c) if c == text_col else of(c).alias(c) for c in docs.columns if c not in added],
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm.common import connected_components, stage
+from daybook.llm.common import connected_components, forget, lean, stage
 from daybook.llm.shingles import ODD, mix, shingle_sets
 
 #: At most so many tokens are known as frequent; they only come last in the orders.
 FREQUENT_TOKENS = 1 << 18
 #: A task reports tokens that it meets twice among COUNTED; reported FREQUENT times, a token is frequent.
-COUNTED, FREQUENT = 4_000_000, 16
+COUNTED, FREQUENT = 2_000_000, 16
 #: Larger buckets are compared in tiles of numpy arrays, smaller ones by a join.
 SMALL_BUCKET = 64
 HALF = np.uint64(1 << 63)
@@ -41,6 +41,11 @@ def is_near(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, t
     return t.denominator * inter >= t.numerator * (a + b - inter)
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, the same in any order."""
+    return tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in (s * ODD[3], s ^ ODD[4]))
+
+
 def profiles(docs: DataFrame, words: int) -> DataFrame:
     """kind 0: (id, n, fp1, fp2) of every document; kind 1: (fp1 = token, n = its local count)."""
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64())])
@@ -57,8 +62,9 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             n, fp1, fp2 = [], [], []
             for s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
-                fp1.append(int(mix(s * ODD[3]).sum(dtype=np.uint64).view(np.int64)))
-                fp2.append(int(mix(s ^ ODD[4]).sum(dtype=np.uint64).view(np.int64)))
+                x, y = fingerprint(s)
+                fp1.append(x)
+                fp2.append(y)
                 held.append(s[: np.searchsorted(s, HALF)])  # where order 0 finds its prefixes
                 size += len(held[-1])
                 if size >= COUNTED:
@@ -68,7 +74,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, fp1 long, fp2 long")
+    return docs.mapInArrow(lean(run), "kind int, id long, n long, fp1 long, fp2 long")
 
 
 def frequent_tokens(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -93,44 +99,63 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def late_places(tokens: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Each frequent token's place behind all others, for the three orders: by count, then by its rank there."""
+    out = []
+    for rank in (tokens, mix(tokens ^ ODD[5]), mix(tokens ^ ODD[6])):
+        place = np.empty(len(tokens), dtype=np.int64)
+        place[np.lexsort((rank, counts))] = np.arange(len(tokens))
+        out.append(place)
+    return out
+
+
+def first_of(rank: np.ndarray, at: np.ndarray, late: np.ndarray, length: int) -> np.ndarray:
+    """Places of the ``length`` first tokens of a set, those at ``at`` come behind all others, by ``late``.
+
+    Ranks are one-to-one images of the tokens, so the order is strict: all sets agree on it.
+    """
+    if not len(at):
+        return np.argpartition(rank, length - 1)[:length] if length < len(rank) else np.arange(len(rank))
+    early = np.ones(len(rank), dtype=bool)
+    early[at] = False
+    early = np.flatnonzero(early)
+    if length <= len(early):
+        return early[np.argpartition(rank[early], length - 1)[:length]]
+    return np.concatenate([early, at[np.argsort(late)[: length - len(early)]]])
+
+
 def prefixes(docs: DataFrame, words: int, t: Fraction, frequent: tuple[np.ndarray, np.ndarray], copies: np.ndarray) -> DataFrame:
-    """(id, n, maybe, p0, p1, p2, parity): each set's prefix under the three orders; p1 and p2 as 16-bit
-    digests. maybe: the id may be in ``copies``, a packed bit array."""
+    """(id, n, fp1, fp2, maybe, p0, p1, p2, parity): each set's prefix under the three orders; p1 and p2 as
+    16-bit digests. maybe: the id may be in ``copies``, a packed bit array."""
     tokens, counts = frequent
+    late = late_places(tokens, counts)
     mask = np.uint64((1 << 22) - 1)
-    maybe = np.zeros(1 << 22, dtype=bool)
-    maybe[(tokens & mask).astype(np.int64)] = True
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("maybe", pa.bool_()), ("p0", pa.list_(pa.int64())), ("p1", pa.binary()), ("p2", pa.binary()), ("parity", pa.binary())])
+    listed = np.zeros(1 << 22, dtype=bool)
+    listed[(tokens & mask).astype(np.int64)] = True
+    known = np.packbits(listed)
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("maybe", pa.bool_()), ("p0", pa.list_(pa.int64())), ("p1", pa.binary()), ("p2", pa.binary()), ("parity", pa.binary())])
 
     def run(batches):
-        bits = np.unpackbits(copies).astype(bool)
         for batch in batches:
             rows, ids = [], batch.column(0).to_numpy(zero_copy_only=False)
-            for i, m, s in zip(ids.tolist(), in_bloom(bits, ids).tolist(), shingle_sets(batch.column(1), words), strict=True):
+            for i, m, s in zip(ids.tolist(), in_bloom(copies, ids).tolist(), shingle_sets(batch.column(1), words), strict=True):
                 if not len(s):
                     continue
                 length = len(s) - int(ceil_share(np.int64(len(s)), t)) + 1
-                ranks = [s >> np.uint64(1), mix(s ^ ODD[5]) >> np.uint64(1), mix(s ^ ODD[6]) >> np.uint64(1)]
-                at = np.flatnonzero(maybe[(s & mask).astype(np.int64)])
+                at, where = np.flatnonzero(bit_at(known, (s & mask).astype(np.int64))), np.empty(0, np.int64)
                 if len(at):
                     where = np.minimum(np.searchsorted(tokens, s[at]), len(tokens) - 1)
                     hit = tokens[where] == s[at]
-                    at, late = at[hit], (np.uint64(1) << np.uint64(63)) + (counts[where[hit]].astype(np.uint64) << np.uint64(30))
-                    for r in ranks:
-                        r[at] = late + (r[at] >> np.uint64(34))
-                if length < len(s):
-                    first = [np.argpartition(r, length - 1)[:length] for r in ranks]
-                else:
-                    first = [np.arange(len(s))] * 3
-                p0 = first[0][np.argsort(ranks[0][first[0]], kind="stable")]
-                rows.append((i, len(s), m, s[p0].view(np.int64), *((mix(s[f]) >> np.uint64(48)).astype("<u2").tobytes() for f in first[1:]), parity(s)))
-                if len(rows) == 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
+                    at, where = at[hit], where[hit]
+                first = [first_of(rank, at, places[where], length) for rank, places in zip((s, mix(s ^ ODD[5]), mix(s ^ ODD[6])), late, strict=True)]
+                behind = np.full(len(s), -1, dtype=np.int64)
+                behind[at] = late[0][where]
+                p0 = first[0][np.lexsort((s[first[0]], behind[first[0]]))]
+                rows.append((i, len(s), *fingerprint(s), m, s[p0].view(np.int64), *((mix(s[f]) >> np.uint64(48)).astype("<u2").tobytes() for f in first[1:]), parity(s)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n int, maybe boolean, p0 array<long>, p1 binary, p2 binary, parity binary")
+    return docs.mapInArrow(lean(run, 1 << 20), "id long, n int, fp1 long, fp2 long, maybe boolean, p0 array<long>, p1 binary, p2 binary, parity binary")
 
 
 def _fits(na, pa_, nb, pb, t: Fraction):
@@ -158,70 +183,80 @@ def share_prefixes(pairs: DataFrame, digests: DataFrame, t: Fraction) -> DataFra
 
     of = lambda k, v: digests.select(F.col("id").alias(k), F.col("n").alias(f"{v}n"), F.col("parity").alias(v), F.col("p1").alias(f"{v}1"), F.col("p2").alias(f"{v}2"))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
-    return both.select("a", "b", "xn", "yn", "x", "y", "x1", "x2", "y1", "y2").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "xn", "yn", "x", "y", "x1", "x2", "y1", "y2").mapInArrow(lean(run, 1 << 20), "a long, b long")
 
 
-def bloom_of(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that holds all ids; partial ones are joined chunk by chunk."""
-    chunk = BLOOM_BITS // 64
+def places(x: np.ndarray) -> list[np.ndarray]:
+    return [(mix(x.view(np.uint64) ^ ODD[k]) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for k in (7, 8, 9)]
+
+
+def bit_at(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bits of a packed array at these places."""
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
-    def places(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([mix(x.view(np.uint64) ^ ODD[k]) & np.uint64(BLOOM_BITS - 1) for k in (7, 8, 9)]).astype(np.int64)
+
+def bloom_of(ids: DataFrame) -> np.ndarray:
+    """A packed bit array of fixed size that holds all ids; partial ones are joined chunk by chunk."""
+    chunk = BLOOM_BITS // 8 // 64
 
     def run(batches):
-        bits = np.zeros(BLOOM_BITS, dtype=bool)
+        bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits[places(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        parts = [(k, np.packbits(bits[k * chunk : (k + 1) * chunk]).tobytes()) for k in range(64) if bits[k * chunk : (k + 1) * chunk].any()]
+            for at in places(batch.column(0).to_numpy(zero_copy_only=False)) if batch.num_rows else ():
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        parts = [(k, bits[k * chunk : (k + 1) * chunk].tobytes()) for k in range(64) if bits[k * chunk : (k + 1) * chunk].any()]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["chunk", "bits"])
 
     def either(key, frames):
-        bits = np.zeros(chunk // 8, dtype=np.uint8)
+        bits = np.zeros(chunk, dtype=np.uint8)
         for data in frames["bits"]:
             bits |= np.frombuffer(data, dtype=np.uint8)
         frames = frames.head(1).copy()
         frames["bits"] = [bits.tobytes()]
         return frames
 
-    parts = ids.mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
-    bits = np.zeros(BLOOM_BITS, dtype=bool)
+    parts = ids.mapInArrow(lean(run), "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
+    bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
     for r in parts:
-        bits[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
+        bits[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
 
-def in_bloom(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return np.logical_and.reduce([bits[(mix(ids.view(np.uint64) ^ ODD[k]) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)] for k in (7, 8, 9)])
+def in_bloom(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([bit_at(packed, at) for at in places(ids)])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole sets have J >= t. Only texts of their ids, found by a bit
+    """The pairs (a, b), staged, whose whole sets have J >= t. Only texts of their ids, found by a bit
     array of fixed size before any shuffle, become sets again."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    packed = np.packbits(bloom_of(ids))
+    packed = bloom_of(ids)
 
     def sets(batches):
-        bits = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(in_bloom(bits, batch.column(0).to_numpy(zero_copy_only=False))))
-            for s in range(0, batch.num_rows, 1000):
-                part = batch.slice(s, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(part.column(1), words)], pa.binary())], names=["id", "tokens"])
+            batch = batch.filter(pa.array(in_bloom(packed, batch.column(0).to_numpy(zero_copy_only=False))))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), words)], pa.binary())], names=["id", "tokens"])
+
+    whole = stage(docs.mapInArrow(lean(sets, 1 << 20), "id long, tokens binary").join(ids, "id", "left_semi").distinct(), "sets")
 
-    whole = stage(docs.mapInArrow(sets, "id long, tokens binary").join(ids, "id", "left_semi"), "sets")
+    def tokens_of(column):
+        offsets, data = np.frombuffer(column.buffers()[1], np.int32)[column.offset :], np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        return [data[a:b].view(np.uint64) for a, b in zip(offsets[: len(column)].tolist(), offsets[1 : len(column) + 1].tolist(), strict=True)]
 
     def near(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
-                keep.append(bool(is_near(int((both[1:] == both[:-1]).sum()), len(x) // 8, len(y) // 8, t)))
+            for x, y in zip(tokens_of(batch.column("x")), tokens_of(batch.column("y")), strict=True):
+                both = np.sort(np.concatenate([x, y]))
+                keep.append(bool(is_near(int((both[1:] == both[:-1]).sum()), len(x), len(y), t)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda k, v: whole.select(F.col("id").alias(k), F.col("tokens").alias(v))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    found = stage(both.mapInArrow(lean(near), "a long, b long"), "links")
+    forget(ids, whole)
+    return found
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: str = "0.8") -> DataFrame:
@@ -230,8 +265,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when the Jaccard similarity of their shingle sets is at least ``threshold``
     (decided in whole numbers); component_id is the smallest id that links lead to. Null and
     blank texts have empty sets and link with nothing; a row with a null id has a null
-    component and links with nothing. Rows that repeat an id count as one document that
-    links by any of their texts.
+    component and links with nothing. Rows that repeat an id count as one document, of all their
+    texts' links; each row has its own text's n_shingles.
 
     Equal sets fall together first, by a 128-bit fingerprint. Then each bucket of documents with a
     common prefix token is compared with its smallest id only: in a large group of near copies, that
@@ -247,11 +282,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = frequent_tokens(both.where("kind = 1").select(F.col("fp1").alias("token"), "n"))
     fp = ["n", "fp1", "fp2"]
     classes = stage(every.where("n > 0 AND id IS NOT NULL").groupBy(fp).agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select(*fp, "rep"), "classes")
-    member = stage(every.join(classes, fp, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "member")
-    copies = member.where("id <> rep").select("id")
+    member = stage(every.join(classes, fp, "left").select("id", *fp, F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "member")
+    copies = stage(member.where("id <> rep").select("id", "fp1", "fp2"), "copies")
+    # ids of several texts tie the texts' classes together
+    several = stage(member.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1").select("id", "lo", "hi"), "several")
+    ties = stage(member.join(several.where("lo <> hi").select("id", "lo"), "id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct(), "ties")
     named = rows.where("id IS NOT NULL")
-    made = stage(prefixes(named, words, t, frequent, np.packbits(bloom_of(copies))), "digests")
-    digests = made.where("NOT maybe").unionByName(made.where("maybe").join(copies, "id", "left_anti"))
+    made = stage(prefixes(named, words, t, frequent, bloom_of(copies)), "digests")
+    if not several.isEmpty():
+        made = stage(made.dropDuplicates(["id", "fp1", "fp2"]), "digests")
+    digests = made.where("NOT maybe").unionByName(made.where("maybe").join(copies, ["id", "fp1", "fp2"], "left_anti"))
 
     entries = digests.select("id", "n", F.posexplode("p0").alias("pos", "token"))
     common = stage(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "common")
@@ -265,8 +305,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .distinct()
     )
     stars = stage(stars, "stars")
-    found = stage(verify(stage(share_prefixes(stars, made, t), "candidates"), named, words, t), "links")
-    components = stage(connected_components(found), "components")
+    candidates = stage(share_prefixes(stars, made, t).distinct(), "candidates")
+    found = verify(candidates, named, words, t)
+    components = connected_components(found.unionByName(ties))
+    forget(both, classes, copies, several, common, pivots, candidates)
 
     label = components.select(F.col("node").alias("id"), "component")
     labelled = stage(buckets.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "labelled")
@@ -276,24 +318,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), t)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     many = _tiled_pairs(live.where(F.col("c") > SMALL_BUCKET), made.select("id", "parity"), t)
     rest = stage(few.unionByName(many).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    forget(buckets, labelled, open_, stars)
     if not rest.isEmpty():
-        more = stage(verify(stage(share_prefixes(rest, made, t), "candidates"), named, words, t), "links")
+        candidates = stage(share_prefixes(rest, made, t).distinct(), "candidates")
+        more = verify(candidates, named, words, t)
         if not more.isEmpty():
-            components = stage(connected_components(found.unionByName(more)), "components")
+            forget(components)
+            components = connected_components(found.unionByName(more).unionByName(ties))
+        forget(candidates, more)
+    forget(made, rest, found, ties)
     to = components.select(F.col("node").alias("rep"), "component")
     return member.join(to, "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def _held(df: DataFrame, col: str, bits: np.ndarray) -> DataFrame:
+def _held(df: DataFrame, col: str, packed: np.ndarray) -> DataFrame:
     """The rows whose ``col`` may be in the bit array: what a join would drop goes before its shuffle."""
-    packed, at = np.packbits(bits), df.columns.index(col)
+    at = df.columns.index(col)
 
     def run(batches):
-        bits = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(in_bloom(bits, batch.column(at).to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(in_bloom(packed, batch.column(at).to_numpy(zero_copy_only=False))))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def _tiled_pairs(live: DataFrame, bitmaps: DataFrame, t: Fraction) -> DataFrame:

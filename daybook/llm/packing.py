@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from daybook.llm.common import stage
+from daybook.llm.common import lean, stage
 
 #: Encoded words, and encoded stems, that a worker keeps; beyond it a store starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 BLANKS = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Only these split str.split() from the tokenizer's own white space.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -112,17 +112,15 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     def run(batches):
         encoder, end = encoder_of(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, n, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+            rows = []
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
+                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    cut = ids[at : at + 4 * capacity]
+                    rows.append((doc_id, n, at // 4, len(cut) // 4, zlib.crc32(cut)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run, 1 << 20), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Stock:

@@ -16,7 +16,8 @@ BYTE[65:91] = BYTE[97:123]
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 ODD = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-AT_ONCE = 2_000_000
+#: Bytes of text that are hashed at once; longer texts are cut between words.
+AT_ONCE = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,13 +31,16 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i < n at least."""
-    if len(_POWERS.get("up", ())) < n:
-        ones = np.ones(n + 1, dtype=np.uint64)
-        up, down = ones * BASE, ones * INVERSE
-        up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS["up"], _POWERS["down"]
+    """BASE^i and BASE^-i for i < n at least; those for AT_ONCE bytes are kept."""
+    if n <= len(_POWERS.get("up", ())):
+        return _POWERS["up"], _POWERS["down"]
+    ones = np.ones(max(n, AT_ONCE) + 1, dtype=np.uint64)
+    up, down = ones * BASE, ones * INVERSE
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if n <= AT_ONCE:
+        _POWERS["up"], _POWERS["down"] = up, down
+    return up, down
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -46,17 +50,41 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     ``words`` words has one shingle, of all of them. Word hashes are differences of one
     running sum over the column's bytes, so the cost per text is that of its sort.
     """
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
-    some = 0
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if len(texts) and texts.buffers()[2] else np.empty(0, np.uint8)
+    offsets, some = offsets.astype(np.int64), 0
     while some < len(texts):
         stop = max(some + 1, int(np.searchsorted(offsets, offsets[some] + AT_ONCE, "right")) - 1)
-        yield from _slice(data[offsets[some] : offsets[stop]], offsets[some : stop + 1] - offsets[some], words)
+        part = data[offsets[some] : offsets[stop]]
+        if len(part) <= AT_ONCE:
+            hashes, first = word_hashes(part, offsets[some : stop + 1] - offsets[some])
+        else:
+            pieces = [word_hashes(part[a:b], np.array([0, b - a]))[0] for a, b in _cuts(part)]
+            hashes = np.concatenate(pieces)
+            first = np.array([0, len(hashes)])
+        yield from _sets(hashes, first, words)
         some = stop
 
 
-def _slice(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
+def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of a text of about AT_ONCE bytes that end at white space; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = min(at + AT_ONCE, len(data))
+        if end < len(data):
+            blanks = np.flatnonzero(SPACE[data[at:end]])
+            while not len(blanks) and end < len(data):
+                end = min(end + AT_ONCE, len(data))
+                blanks = np.flatnonzero(SPACE[data[at:end]])
+            if len(blanks) and end < len(data):
+                end = at + int(blanks[-1]) + 1
+        yield at, end
+        at = end
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and the number of the first word of each text and of the end."""
     n = len(data)
     up, down = _powers(n + 1)
     inside = ~SPACE[data]
@@ -70,8 +98,10 @@ def _slice(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.nda
     ends = np.flatnonzero(inside & ~after[1:]) + 1
     run = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(BYTE[data] * up[:n], out=run[1:])
-    hashes = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, offsets)
+    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+
+
+def _sets(hashes: np.ndarray, first: np.ndarray, words: int) -> Iterator[np.ndarray]:
     grams = np.zeros(max(0, len(hashes) - words + 1), dtype=np.uint64)
     for k in range(words):
         grams += hashes[k : k + len(grams)] * ODD[k]

@@ -8,7 +8,6 @@ model over the counts of exact and misspelled, abusive and quoted hits gives the
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass, field
 
@@ -18,14 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybook.llm.common import stage
+from daybook.llm.common import lean, stage
 
 #: Bounds of what is learned: labelled documents read, terms kept.
 TRAIN_DOCS, TERMS = 20_000, 2_000
 #: A term stands in so many toxic documents, and so many standard deviations more than by chance.
 TERM_DOCS, TERM_SIGMAS = 4, 5.0
 WINDOW = 6
-KNOWN_WORDS = 1_000_000
+#: Words that a task remembers; beyond it the store starts anew.
+KNOWN_WORDS = 250_000
 STRIPPED = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’…¡¿"
 QUOTES = frozenset("\"«»„“”‘’")
 #: Words that report speech, in the languages of the corpus.
@@ -138,12 +138,6 @@ class Scorer:
         return [math.log1p(x) for x in sums]
 
 
-@functools.cache
-def scorer_of(terms: tuple[tuple[str, float], ...]) -> Scorer:
-    """One scorer for each Python worker, so that its tasks share the words they know."""
-    return Scorer(list(terms))
-
-
 def _certain(found: DataFrame, p: float, size: int) -> list:
     """Rows (word, clean, bad) whose share of bad ones is far above p, most certain first."""
     n = F.col("clean") + F.col("bad")
@@ -180,7 +174,7 @@ def learn_terms(train: DataFrame, size: int = TERMS) -> list[tuple[str, float]]:
     if not base["bad"] or base["bad"] == base["n"]:
         return []
     p = base["bad"] / base["n"]
-    found = train.select("text", "toxic").mapInArrow(by_document, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
+    found = train.select("text", "toxic").mapInArrow(lean(by_document), "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     candidates = frozenset(r["word"] for r in _certain(found, p, 10 * size))
 
     def by_context(batches):
@@ -193,7 +187,7 @@ def learn_terms(train: DataFrame, size: int = TERMS) -> list[tuple[str, float]]:
                         seen.add((w, " ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2]), toxic))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["word", "context", "toxic"])
 
-    contexts = train.select("text", "toxic").mapInArrow(by_context, "word string, context string, toxic int").distinct()
+    contexts = train.select("text", "toxic").mapInArrow(lean(by_context), "word string, context string, toxic int").distinct()
     counted = contexts.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
     p = base["bad_words"] / base["words"]  # long documents have more contexts
     odds = math.log(p / (1 - p))
@@ -248,19 +242,21 @@ class ToxicityModel:
     weights: np.ndarray
 
     def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
-        """``docs`` with a score from 0 to 1; null and empty texts get that of a text without hits."""
+        """``docs`` with a score from 0 to 1; null and empty texts get that of a text without hits. A column ``out``
+        that is there already is replaced."""
+        docs = docs.drop(out)
         terms, weights, text_at = self.terms, self.weights, docs.columns.index(text_col)
         names = [*docs.columns, out]
 
         def run(batches):
-            scorer = scorer_of(tuple(terms))
+            scorer = Scorer(terms)
             for batch in batches:
                 x = np.array([scorer.features(t) for t in batch.column(text_at).to_pylist()]).reshape(-1, FEATURES)
                 z = x @ weights[:-1] + weights[-1]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=names)
 
         schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(lean(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAIN_DOCS) -> ToxicityModel:
@@ -277,14 +273,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = learn_terms(labelled)
 
     def run(batches):
-        scorer = scorer_of(tuple(terms))
+        scorer = Scorer(terms)
         for batch in batches:
             x = np.array([scorer.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, FEATURES)
             rows, n = np.unique(np.column_stack([x, batch.column(1).to_numpy(zero_copy_only=False)]), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T] + [pa.array(n)], names=[f"f{k}" for k in range(FEATURES)] + ["y", "n"])
 
     kinds = ", ".join(f"f{k} double" for k in range(FEATURES)) + ", y double, n long"
-    seen = labelled.mapInArrow(run, kinds).toPandas()
+    seen = labelled.mapInArrow(lean(run), kinds).toPandas()
     if seen.empty:
         return ToxicityModel([], np.array([0.0] * FEATURES + [-30.0]))
     data = np.repeat(seen.to_numpy(dtype=float)[:, :-1], seen["n"], axis=0)

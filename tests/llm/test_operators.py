@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daybook.llm import html_text, line_dedup, ngram_join, packing, pieces, token_ledger, topk, toxicity, vector_dedup, warc
-from daybook.llm.common import connected_components
+from daybook.llm.common import connected_components, stage
 
 DOCS = "doc_id long, text string"
 
@@ -183,9 +183,38 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, k, t):
     assert got == want
     odd = ngram_join.jaccard_components(spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d")], DOCS), words=3, threshold="0.9")
     assert sorted((r["id"] or 0, r["component_id"] or 0) for r in odd.collect()) == [(0, 0), (1, 1), (1, 1)]
+    a, b, c = ("x y z " * 9 + w for w in ("one two three", "four five six seven", "eight nine"))
+    several = ngram_join.jaccard_components(spark.createDataFrame([(0, a), (1, a), (1, b), (2, b), (3, c), (4, c), (1, b)], DOCS), words=3, threshold="0.9")
+    assert sorted((r["id"], r["component_id"]) for r in several.collect()) == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 0), (3, 3), (4, 3)]
     assert ngram_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shingle_sets_of_texts_longer_than_a_part(monkeypatch):
+    import pyarrow as pa
+
+    from daybook.llm import shingles
+
+    r = random.Random(12)
+    texts = [" ".join("w" * r.randint(1, 9) + str(r.randrange(50)) for _ in range(400)), None, "x" * 700 + " y\tz", "", "a b"]
+    whole = [s.tolist() for s in shingles.shingle_sets(pa.array(texts), 3)]
+    monkeypatch.setattr(shingles, "AT_ONCE", 64)
+    monkeypatch.setattr(shingles, "_POWERS", {})
+    assert [s.tolist() for s in shingles.shingle_sets(pa.array(["zz", *texts]).slice(1), 3)] == whole
+    assert [len(s) for s in whole[1:]] == [0, 1, 0, 1]
+
+
+def test_orders_are_strict_whatever_is_frequent():
+    rng = np.random.default_rng(5)
+    s = np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64))
+    tokens, counts = s[::2], np.full(len(s[::2]), 7)
+    late = ngram_join.late_places(tokens, counts)
+    assert all(sorted(x) == list(range(len(tokens))) for x in late)
+    at = np.arange(0, len(s), 2)
+    for length in (3, 25, 30, len(s)):
+        want = sorted(range(len(s)), key=lambda k: (k % 2 == 0, late[1][k // 2] if k % 2 == 0 else s[k]))[:length]
+        assert set(ngram_join.first_of(s, at, late[1], length).tolist()) == set(want)
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(3)
     for n in (1, 5, 70, 900, 3000):
@@ -418,42 +447,73 @@ def test_line_dedup_keeps_the_first_of_each_component(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_clashing_columns_line_ends_and_repeated_ids(spark):
+    rows = [(1, "same\r\n\r\nsame\r\nx", "a", 1, 2), (2, "y\r\n\r\nsame\r", "b", 1, 2), (3, "one\ntwo", "c", 1, 2), (3, "two\nthree", "d", 1, 2), (3, "two\nthree", "e", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, drops string, n_lines int, rid int")
+    got = {x["drops"]: x for x in line_dedup.dedup_lines(df).collect()}
+    assert got["a"]["text"] == "same\r\n\r\nx" and got["b"]["text"] == "y\r\n\r" and got["a"]["rid"] == 2
+    assert [got[k]["n_lines"] for k in "abcde"] == [4, 3, 2, 2, 2]
+    texts = sorted(got[k]["text"] for k in "cde")
+    assert texts in (["one", "two\nthree", "two\nthree"], ["one\ntwo", "three", "three"])
+
+
+def test_lines_whose_hashes_clash_stay_apart(spark, monkeypatch):
+    full = line_dedup.line_id
+    monkeypatch.setattr(line_dedup, "line_id", lambda line, salt=0: F.pmod(F.xxhash64(line), F.lit(3)) if not salt else full(line, salt))
+    rows = [(i, f"line {i} {'abcdefghijklmnopqrst'[i]} alone\nshared by all of them") for i in range(12)]
+    got = {x["doc_id"]: (x["text"], x["n_dropped"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: (text, 0) if i == 0 else (text.split("\n")[0], 1) for i, text in rows}
+
+
+def near(df):
+    distinct = stage(df.distinct())
+    return distinct, dict(rows_of(line_dedup.near_lines(distinct, stage(line_dedup.signed(distinct)), 0.8)))
+
+
+def brute_lines(df):
+    sets = {x["lid"]: {x["line"][k : k + 8] for k in range(max(1, len(x["line"]) - 7))} for x in df.collect()}
+    keys = sorted(sets)
+    links = [(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return keys, links, union_find(keys, links)
+
+
+def with_ids(spark, lines):
+    return spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line"))
+
+
 def test_line_similarity_is_decided_exactly(spark):
     r = random.Random(8)
     lines = []
-    for _ in range(60):
-        base = "".join(r.choice("abcdefghijklmnop ") for _ in range(160))
-        lines.append(base)
+    for n in [60] * 60 + [160] * 60 + [420] * 40 + [1000] * 30:
+        base = "".join(r.choice("abcdefghijklmnop \u00e9\u6f22") for _ in range(n))
         w = list(base)
-        for _ in range(r.choice([0, 1, 2, 3])):
-            w[r.randrange(160)] = "Q"
-        lines.append("".join(w))
-    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line"))
-    ids = {x["line"]: x["lid"] for x in df.collect()}
-    sets = {i: {x[k : k + 8] for k in range(len(x) - 7)} for x, i in ids.items()}
-    keys = sorted(sets)
-    links = [(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    want = union_find(keys, links)
-    got = dict(rows_of(line_dedup.near_lines(df, 0.8)))
+        for _ in range(r.choice([0, 1, 2, 3]) * n // 160):
+            w[r.randrange(n)] = "Q"
+        lines += [base, "".join(w)]
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for n in [60] * 60 + [150] * 40:
+        base = [word(r.randint(2, 9)) for _ in range(n)]
+        other = list(base)
+        for _ in range(n // 20):
+            other[r.randrange(n)] = word(5)
+        lines += [" ".join(base), " ".join(other)]
+    distinct, got = near(with_ids(spark, lines))
+    keys, links, want = brute_lines(distinct)
     missed = [k for k in keys if got.get(k, k) != want[k]]
-    assert len(missed) <= 0.02 * len(keys) and all(got[k] == want[k] for k in got if k not in missed)
+    assert len(links) > 150 and len(missed) <= 0.01 * len(keys) and all(got[k] == want[k] for k in got if k not in missed)
 
 
-def test_similar_lines_are_found_among_many_lines_of_one_template(spark):
+def test_similar_lines_are_found_among_many_lines_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TILE_ROWS", 40)
     r = random.Random(9)
     word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     head, lines = word(170), []
     for _ in range(300):
         own = word(30)
         lines += [head + own + word(9), head + own + word(9)]
-    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line"))
-    sets = {x["lid"]: {x["line"][k : k + 8] for k in range(len(x["line"]) - 7)} for x in df.collect()}
-    keys = sorted(sets)
-    links = [(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert len(links) == 300
-    want = union_find(keys, links)
-    got = dict(rows_of(line_dedup.near_lines(df, 0.8)))
-    assert len(got) == 600 and all(got[k] == want[k] for k in keys)
+    distinct, got = near(with_ids(spark, lines))
+    keys, links, want = brute_lines(distinct)
+    assert len(links) == 300 and len(got) == 600 and all(got[k] == want[k] for k in keys)
 
 
 def test_similar_lines_of_different_word_counts_are_found(spark):
@@ -462,7 +522,6 @@ def test_similar_lines_of_different_word_counts_are_found(spark):
     long = " ".join(word(6) for _ in range(32))
     phrase = " ".join(word(6) for _ in range(4))
     lines = [long, " ".join([long, *(word(4) for _ in range(9))]), " ".join([phrase] * 8), " ".join([phrase] * 11)]
-    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line"))
-    got = dict(rows_of(line_dedup.near_lines(df, 0.8)))
-    ids = [x["lid"] for x in df.collect()]
+    _, got = near(with_ids(spark, lines))
+    ids = [x["lid"] for x in with_ids(spark, lines).collect()]
     assert got == {ids[0]: min(ids[:2]), ids[1]: min(ids[:2]), ids[2]: min(ids[2:]), ids[3]: min(ids[2:])}
