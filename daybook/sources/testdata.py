@@ -31,13 +31,12 @@ MACRO_SCHEMA = "country_code string, metric_name string, effective_from string,
 HOLIDAYS = [("AFRICA", "2000-05-01", "labour"), ("AFRICA", "2000-05-01", "may day"), ("AFRICA", "2000-12-25", "xmas"), ("AMERICA", "2000-07-04", "fourth"), ("AMERICA", "2000-07-06", "extra"), ("EUROPE", "2001-01-01", "new year")]
 
 
-def order_lines(spark: SparkSession, sf_dir: str, since: str = "2000-01-01") -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its part, supplier's nation and region, as order lines of a day."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     places = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "s_nationkey", "r_name")
     return (
         read("lineitem")
-        .where(F.col("l_shipdate") >= F.lit(since).cast("timestamp"))
         .join(read("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
@@ -81,7 +80,7 @@ def _values(rows: list[tuple], names: str, casts: dict[str, str]) -> str:
 
 #: Common table expressions for the SQL of the queries.
 CTES = {
-    "lines": "SELECT r_name AS dataset_source, 'loc_' || CAST(s_nationkey % 3 AS VARCHAR) AS location_id, p_type AS product_id, CAST(l_shipdate AS DATE) AS dt, l_quantity AS quantity, l_extendedprice AS amount, l_discount AS discount, l_orderkey, l_linenumber, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_shipdate >= TIMESTAMP '2000-01-01'",
+    "lines": "SELECT r_name AS dataset_source, 'loc_' || CAST(s_nationkey % 3 AS VARCHAR) AS location_id, p_type AS product_id, CAST(l_shipdate AS DATE) AS dt, l_quantity AS quantity, l_extendedprice AS amount, l_discount AS discount, l_orderkey, l_linenumber, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "daily": "SELECT dataset_source, location_id, product_id, dt, sum(quantity) AS qty, round(sum(amount), 2) AS revenue, count(*) AS n_lines FROM lines GROUP BY ALL",
     "registry": _values(REGISTRY, "source_id, source_kind, dataset_source, commercial_use_allowed, ml_training_allowed, caching_allowed, review_status, include_in_training, source_priority, source_role", {}),
     "macro": _values(MACRO, "country_code, metric_name, effective_from, available_from, source_priority, value", {"effective_from": "DATE", "available_from": "DATE", "value": "DOUBLE"}),
