@@ -120,6 +120,13 @@ def verified(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFra
     return links
 
 
+def parted(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs (a, b) that different components have."""
+    of = lambda k: components.select(F.col("node").alias(k), F.col("component").alias(f"{k}_component"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+
+
 def open_rows(large: DataFrame, components: DataFrame) -> DataFrame:
     """(key, lid, c, label), staged: the rows of ``large`` in buckets that hold several components."""
     labelled = stage(large.join(components, "lid", "left").withColumn("label", F.coalesce("component", "lid")).drop("component"), "labelled")
@@ -130,10 +137,11 @@ def open_rows(large: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def star_pairs(live: DataFrame, turn: int) -> DataFrame:
-    """(a, b), staged: all rows of a bucket with one of it, another one each turn, unless one component has both."""
+    """(a, b), staged: each line with one of a bucket of it, another one each turn, unless one component has both."""
     pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "lid").alias("h"), F.col("lid").alias("pivot"), F.col("label").alias("its"))).alias("p"))
     pivots = stage(pivots.select("key", "p.pivot", "p.its"), "pivots")
-    pairs = stage(live.join(pivots, "key").where("label <> its").select(F.greatest("lid", "pivot").alias("a"), F.least("lid", "pivot").alias("b")).distinct(), "pairs")
+    met = live.join(pivots, "key").where("label <> its").groupBy("lid").agg(F.min("pivot").alias("pivot"))
+    pairs = stage(met.select(F.greatest("lid", "pivot").alias("a"), F.least("lid", "pivot").alias("b")).distinct(), "pairs")
     forget(pivots)
     return pairs
 
@@ -169,8 +177,9 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
     """(lid, component), staged: distinct lines with a near-duplicate; component is the smallest lid reachable.
 
     distinct: (lid, line), keyed: (lid, keys), both staged. Similarity: Jaccard of the sets of shingles.
-    In a bucket each line first meets the smallest, then, while buckets hold several components, one
-    line after another: so large groups of similar lines are joined with few pairs. All pairs of
+    Each line meets the smallest line of its buckets, then those of the others that are still in another
+    component, then, while buckets hold several components, one line after another: so large groups of
+    similar lines are joined with few pairs. All pairs of
     different components that are left in a bucket are compared at last, so every pair in a bucket is
     decided.
     """
@@ -179,11 +188,17 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
     crowded = stage(buckets.where("c > 2").select("key", "least", "c"), "crowded")
     large = stage(entries.join(small_side(crowded), "key").select("key", "lid", "least", "c"), "large")
     stars = buckets.where("c = 2").select(F.col("most").alias("a"), F.col("least").alias("b")).unionByName(large.where("lid <> least").select(F.col("lid").alias("a"), F.col("least").alias("b")))
-    pairs = stage(stars.distinct(), "pairs")
+    stars = stage(stars.distinct(), "stars")
+    pairs = stage(stars.groupBy("a").agg(F.min("b").alias("b")), "pairs")
     links = [verified(pairs, distinct, threshold)]
     components = connected_components(links[0])
+    rest = stage(parted(stars, components), "rest")
+    links.append(verified(rest, distinct, threshold))
+    if not links[1].isEmpty():
+        forget(components)
+        components = connected_components(links[0].unionByName(links[1]))
     live = open_rows(large.select("key", "lid", "c"), components.withColumnRenamed("node", "lid"))
-    forget(buckets, crowded, large, pairs)
+    forget(buckets, crowded, large, stars, pairs, rest)
     rows, turn = live.count(), 0
     while rows:
         pairs = star_pairs(live, turn) if turn < STAR_ROUNDS else unmet_pairs(live, distinct, threshold)
@@ -264,7 +279,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = rows.join(F.broadcast(drops) if numbers <= BROADCAST_NUMBERS else drops, ["doc", "rid"], "left")
     of = lambda c: F.col("row").getField(c)
     parts = F.split(of(text_col), "\n")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops"), lambda i: F.get(parts, i)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops")
+    # bound as a lambda's argument, a text is split once, not for each line
+    left = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n")), F.lit(0))
     added = ("n_lines", "n_dropped")
     return marked.select(
         *[F.when(F.col("drops").isNull(), of(c)).otherwise(left).alias(c) if c == text_col else of(c).alias(c) for c in docs.columns if c not in added],
