@@ -1,14 +1,18 @@
 """SentencePiece encoding by batched Viterbi, and decoding.
 
 Words of equal length advance together: at every end position, hashes of all substrings
-that end there are looked up among the sorted piece keys, and vectorised maxima keep scores
-and backpointers. Characters that no piece covers fall back to their bytes.
+that end there are looked up among the sorted piece keys, the longest first, and the best piece
+and its backpointer are kept. Characters that no piece covers fall back to their bytes.
+
+A merge-rank model has no log probabilities: what it prefers is the order of its merges. So
+a step of the lattice is worth nothing where the merges of the two pieces that meet would have
+crossed their border, and one otherwise. Then each prefix of a word has exactly one best path, and that is the
+model's own segmentation.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import re
 
 import numpy as np
@@ -16,18 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.llm.common import lean
+
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Words whose ids a worker keeps; beyond it the store starts anew.
 KNOWN_WORDS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Behind a character without a piece, or at a word's beginning, anything may follow.
+OPEN = -1
+#: Borders of two pieces whose answers a worker keeps, each at the place that its hash names.
+KNOWN_BORDERS = 1 << 20
 
 
 class PieceModel:
-    """Pieces and scores of a SentencePiece model; text is escaped as the model does it (dummy prefix, U+2581).
+    """Pieces of a SentencePiece model of merge ranks; text is escaped as the model does it (dummy prefix, U+2581).
 
-    The best segmentation is that of the highest sum of scores. A merge-rank model's scores are
-    ranks, no log probabilities, so pieces get those of a Zipf law over the ranks instead.
-    Pieces hold U+2581 only at their beginning, so no piece crosses from a word to the next.
+    Pieces are numbered in the order in which merging makes them: characters first, then by rank. A longer
+    piece is known by its last merge, of ``left`` and ``right``. Pieces hold U+2581 only at their
+    beginning, so no piece crosses from a word to the next.
     """
 
     def __init__(self, path: str, keep: int = KNOWN_WORDS):
@@ -36,19 +47,63 @@ class PieceModel:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
+        self.raw = [p.encode("utf-8") for p in self.pieces]
+        for b, i in self.byte_id.items():
+            self.raw[i] = bytes([b])
         skip = lambda i: sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)
-        usable = [(p, i) for i, p in enumerate(self.pieces) if not skip(i) and SPACE not in p.lstrip(SPACE)]
-        order = sorted(range(len(usable)), key=lambda k: -sp.get_score(usable[k][1]))
-        score = np.empty(len(usable))
-        score[order] = [-math.log(r + 100.0) for r in range(len(usable))]
-        self.longest = max(len(p) for p, _ in usable)
-        keys = np.array([self.key(p) for p, _ in usable], dtype=np.uint64)
-        at = np.argsort(keys)
-        self.keys, self.scores, self.ids = keys[at], score[at], np.array([i for _, i in usable], dtype=np.int64)[at]
-        assert len(np.unique(keys)) == len(keys)
-        self.byte_score = 4 * score.min()
+        usable = [i for i, p in enumerate(self.pieces) if not skip(i) and SPACE not in p.lstrip(SPACE)]
+        usable.sort(key=lambda i: (len(self.pieces[i]) > 1, -sp.get_score(i)))
+        self._number(usable)
         self.keep, self.known = keep, {}
+        self.border, self.answer = np.full(KNOWN_BORDERS, -1, dtype=np.int64), np.zeros(KNOWN_BORDERS, dtype=bool)
+
+    def _number(self, usable: list[int]) -> None:
+        number: dict[str, int] = {}
+        texts, left, right, ids = [], [], [], []
+        for i in usable:
+            piece, n = self.pieces[i], len(texts)
+            made = (n, n) if len(piece) == 1 else self._last_merge(piece, number, left, right, texts)
+            if made is None:
+                continue  # no merges lead to it
+            number[piece] = n
+            texts.append(piece)
+            ids.append(i)
+            left.append(made[0])
+            right.append(made[1])
+        self.left, self.right, self.ids = np.array(left), np.array(right), np.array(ids, dtype=np.int64)
+        self.lengths = np.array([len(p) for p in texts])
+        self.hashes = np.array([self.key(p) for p in texts], dtype=np.uint64)
+        self.longest = int(self.lengths.max())
+        self.powers = np.array([pow(int(BASE), n, 2**64) for n in range(2 * self.longest + 1)], dtype=np.uint64)
+        assert len(np.unique(self.hashes)) == len(texts)
+        # the keys of each length, sorted: a probe meets only pieces of its own length
+        self.by_length = {}
+        for n in range(1, self.longest + 1):
+            at = np.flatnonzero(self.lengths == n)
+            at = at[np.argsort(self.hashes[at])]
+            maybe = np.zeros(1 << 16, dtype=bool)
+            maybe[(self.hashes[at] >> np.uint64(48)).astype(np.int64)] = True
+            self.by_length[n] = (self.hashes[at], at, maybe)
+
+    @staticmethod
+    def _last_merge(piece: str, number: dict[str, int], left: list[int], right: list[int], texts: list[str]) -> tuple[int, int] | None:
+        """The two pieces whose merge makes this one: no earlier merge crosses where they meet."""
+        for cut in range(1, len(piece)):
+            a, b = number.get(piece[:cut]), number.get(piece[cut:])
+            if a is None or b is None:
+                continue
+            x, y, limit = a, b, len(texts)
+            while True:
+                across = number.get(texts[x] + texts[y])
+                if across is not None and across < limit:
+                    break
+                if x > y or left[y] == y:
+                    if right[x] == x:
+                        return a, b
+                    limit, x = x, right[x]
+                else:
+                    limit, y = y + 1, left[y]
+        return None
 
     @staticmethod
     def codes(words: list[str]) -> np.ndarray:
@@ -67,34 +122,102 @@ class PieceModel:
     def key(cls, piece: str) -> int:
         return int(cls.running(cls.codes([piece]))[0, -1])
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
+    def look_up(self, hashes: np.ndarray, length: int) -> np.ndarray:
+        """Numbers of the pieces of this length with these hashes, -1 where there is none."""
+        keys, numbers, maybe = self.by_length[length]
+        out = np.full(len(hashes), -1)
+        some = np.flatnonzero(maybe[(hashes >> np.uint64(48)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(keys, hashes[some]), len(keys) - 1)
+            out[some] = np.where(keys[at] == hashes[some], numbers[at], -1)
+        return out
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``undone``, which is asked once for each border while its answer is kept."""
+        border = a * len(self.ids) + b
+        at = ((border.astype(np.uint64) * BASE) >> np.uint64(44)).astype(np.int64) & (KNOWN_BORDERS - 1)
+        new = np.flatnonzero(self.border[at] != border)
+        if len(new):
+            out = self.answer[at]
+            _, first, back = np.unique(border[new], return_index=True, return_inverse=True)
+            some = new[first]
+            said = self.undone(a[some], b[some])
+            out[new] = said[back]
+            self.border[at[some]], self.answer[at[some]] = border[some], said
+            return out
+        return self.answer[at]
+
+    def undone(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging leaves a border between the pieces a and b.
+
+        Their merges are undone, the latest first. Whatever then stands at the border must not have
+        been merged across it: by a merge that comes before the one just undone.
+        """
+        out = np.ones(len(a), dtype=bool)
+        at = np.arange(len(a))
+        x, y, limit = a.copy(), b.copy(), np.full(len(a), len(self.ids))
+        while len(at):
+            sizes = self.lengths[x] + self.lengths[y]
+            both = self.hashes[x] * self.powers[self.lengths[y]] + self.hashes[y]
+            across = np.full(len(at), -1)
+            for n in np.unique(sizes):
+                if n <= self.longest:
+                    of = sizes == n
+                    across[of] = self.look_up(both[of], int(n))
+            crossed = (across >= 0) & (across < limit)
+            out[at[crossed]] = False
+            first = (x > y) | (self.left[y] == y)
+            done = crossed | (first & (self.right[x] == x))
+            limit = np.where(first, x, y + 1)
+            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+            at, x, y, limit = at[~done], x[~done], y[~done], limit[~done]
+        return out
+
+    def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length."""
         codes, length = self.codes(words), len(words[0])
-        run = self.running(codes)
-        best = np.full((len(words), length + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((len(words), length + 1), np.int32), np.full((len(words), length + 1), -1, np.int64)
-        size = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
-        powers = [pow(int(BASE), n, 2**64) for n in range(self.longest + 1)]
+        run = np.ascontiguousarray(self.running(codes).T)  # a row for each end
+        last = np.full((length + 1, len(words)), OPEN, dtype=np.int64)
+        back = np.zeros((length + 1, len(words)), np.int32)
         for end in range(1, length + 1):
-            best[:, end] = best[:, end - 1] + self.byte_score * size[:, end - 1]  # one character by its bytes
-            back[:, end] = end - 1
-            for n in range(1, min(end, self.longest) + 1):
-                hashes = run[:, end] - run[:, end - n] * np.uint64(powers[n])
-                at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-                score = np.where(self.keys[at] == hashes, best[:, end - n] + self.scores[at], -np.inf)
-                better = score > best[:, end]
-                best[better, end], back[better, end], piece[better, end] = score[better], end - n, self.ids[at[better]]
-        out = []
-        for k, word in enumerate(words):
-            ids, end = [], length
-            while end:
-                if piece[k, end] >= 0:
-                    ids.append(int(piece[k, end]))
+            left = np.arange(len(words))  # words whose best step to this end is not known yet
+            for n in range(min(end, self.longest), 0, -1):
+                if len(left) == len(words):
+                    piece = self.look_up(run[end] - run[end - n] * self.powers[n], n)
                 else:
-                    ids += [self.byte_id[b] for b in reversed(word[end - 1].encode("utf-8"))]
-                end = int(back[k, end])
-            out.append(np.array(ids[::-1], dtype="<u4"))
+                    piece = self.look_up(run[end][left] - run[end - n][left] * self.powers[n], n)
+                at = np.flatnonzero(piece >= 0)
+                if not len(at):
+                    continue
+                before, own = last[end - n][left[at]], piece[at]
+                worth = before < 0
+                check = np.flatnonzero(~worth)
+                if len(check):
+                    worth[check] = self.apart(before[check], own[check])
+                best = left[at[worth]]
+                back[end][best], last[end][best] = end - n, own[worth]
+                stays = np.ones(len(left), dtype=bool)
+                stays[at[worth]] = False
+                left = left[stays]
+            back[end][left] = end - 1  # one character by its bytes
+        return self.paths(words, last, back)
+
+    def paths(self, words: list[str], last: np.ndarray, back: np.ndarray) -> list[bytes]:
+        """Ids along the backpointers of all words at once, from the end."""
+        rows, at, steps = np.arange(len(words)), np.full(len(words), len(last) - 1), []
+        while at.any():
+            steps.append(np.where(at > 0, last[at, rows], -2))
+            at = np.where(at > 0, back[at, rows], 0)
+        path = np.stack(steps[::-1], axis=1)
+        there = path >= 0
+        data, ends = self.ids[path[there]].astype("<u4").tobytes(), (4 * np.cumsum(there.sum(axis=1))).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for k in np.flatnonzero((path == OPEN).any(axis=1)).tolist():  # words with characters by their bytes
+            ids, end = [], len(last) - 1
+            while end:
+                ids += [int(self.ids[last[end, k]])] if last[end, k] >= 0 else [self.byte_id[b] for b in reversed(words[k][end - 1].encode("utf-8"))]
+                end = int(back[end, k])
+            out[k] = np.array(ids[::-1], dtype="<u4").tobytes()
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -109,15 +232,12 @@ class PieceModel:
             step = max(1, 200_000 // length)
             for s in range(0, len(words), step):
                 some = words[s : s + step]
-                self.known.update((w, ids.tobytes()) for w, ids in zip(some, self.viterbi(some), strict=True))
+                self.known.update(zip(some, self.viterbi(some), strict=True))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        out = bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            out += bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode("utf-8")
-        return out.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 @functools.cache
@@ -132,30 +252,31 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches):
         model = model_of(model_path)
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                ids = model.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["id", "ids", "n_pieces"])
+            ids = model.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["id", "ids", "n_pieces"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary, n_pieces long")
+    return rows.mapInArrow(lean(run), "id long, ids binary, n_pieces long")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(id, text) of ``encode_pieces``; null ids give a null text."""
+    """``encoded`` with a column text, decoded from its ids; null ids give a null text."""
+    names = [*encoded.columns, "text"]
+    at = encoded.columns.index("ids")
 
     def run(batches):
         model = model_of(model_path)
         for batch in batches:
-            texts = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+            texts = [None if x is None else model.decode(x) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, text string")
+    return encoded.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", text string")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` encoded: doc_id, n_pieces, ids_crc32."""
+    """All ``documents`` encoded and decoded again: doc_id, n_pieces, ids_crc32, decoded_crc32 (of the decoded text)."""
     import public_tokenizers
 
-    encoded = encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
-    return encoded.select(F.col("id").alias("doc_id"), "n_pieces", F.crc32("ids").alias("ids_crc32"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return decoded.select(F.col("id").alias("doc_id"), "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("decoded_crc32"))
