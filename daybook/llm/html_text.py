@@ -27,7 +27,8 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: An element of the key's kind ends where one of these begins.
 ENDS = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: A quote opens a value only behind "="; elsewhere in a tag, or without its end, it is a character like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 AGAINST = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|foot\w*|header|masthead|comments?|replies|reply|share|social|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|related|recommended|widget|login|search|copyright|legal|pagination|pager|tags?|toolbar|complementary|contentinfo)(?=$|[\s_-])", re.I)
 FOR = re.compile(r"(?:^|[\s_-])(?:content|article\w*|post|entry|story|main|text|body|page)(?=$|[\s_-])", re.I)
@@ -76,7 +77,13 @@ def parse(page: str | None) -> list[Node]:
         if not m[2]:
             continue
         closing, tag = bool(m[1]), m[2].lower()
-        if dropped is not None:
+        if dropped == "head" and not closing and tag in BLOCKS and tag not in ("head", "title"):
+            dropped = None  # its end tag may be left out
+        elif dropped == "option":
+            if closing and tag in ("option", "optgroup", "select", "datalist"):
+                dropped = None
+            continue
+        elif dropped is not None:
             if tag == dropped:
                 depth += -1 if closing else 1
                 if not depth:

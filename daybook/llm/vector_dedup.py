@@ -14,13 +14,24 @@ from pyspark.sql import functions as F
 from daybook.llm.common import connected_components, stage
 from daybook.llm.topk import usable
 
-#: The index is fitted on at most so many vectors, chosen by a hash; every vector is indexed.
-FIT_SAMPLE = 20_000
-LIST_ROWS, MOST_LISTS, PROBES = 256, 1024, 8
+#: The index is fitted on at most so many vectors, or FIT_ROWS for each list, chosen by a hash; every vector is indexed.
+FIT_SAMPLE, FIT_ROWS = 20_000, 16
+#: Rows of a list, while the lists are few; least number of lists that is probed.
+LIST_ROWS, PROBES = 256, 8
 SUBSPACES, WORDS = 8, 256
 TILE_ROWS = 2048
 
 
+def how_many(count: int) -> tuple[int, int]:
+    """Lists, and lists to probe, of an index of so many vectors.
+
+    Beyond 1,024 lists, their number grows with the root of the rows, so that finding the nearest
+    lists costs no more than probing them. Probes follow the root of the lists: so recall stays.
+    """
+    lists = max(1, min(count // LIST_ROWS, max(1024, 2 * math.isqrt(count))))
+    return lists, min(lists, max(PROBES, math.isqrt(lists)))
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
@@ -149,13 +160,13 @@ def tile_links(index: Index, centre: int, dim: int, threshold: float, probers: p
     return out[(out["n"] > 0) | (out["root"] != out["id"])]
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, probes: int = PROBES) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, probes: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: cosine links found, and where they lead.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     id, link with nothing. Vectors link only with vectors of their own length. Equal vectors are one
     vector with a weight until the end. Lists are fitted on a bounded sample; every vector is in the
-    list of its nearest centre and probes the ``probes`` nearest lists; codes never lose a pair of
+    list of its nearest centre and probes the ``probes`` nearest lists (``how_many``); codes never lose a pair of
     a probed list, since their own errors widen the limit; links are decided by exact cosines. A list
     meets its probers in tiles of at most about TILE_ROWS on either side, each of which returns a
     row per linked vector, so a group of near copies costs no rows for its pairs.
@@ -183,10 +194,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return full.unionByName(lost).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links_of(classes: DataFrame, dim: int, count: int, threshold: float, probes: int) -> DataFrame:
+def _links_of(classes: DataFrame, dim: int, count: int, threshold: float, probes: int | None) -> DataFrame:
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(FIT_SAMPLE).select("v").collect()
-    index = Index.fit(unit(np.array([r["v"] for r in sample])), max(1, min(MOST_LISTS, count // LIST_ROWS)), probes)
+    lists, follow = how_many(count)
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(max(FIT_SAMPLE, FIT_ROWS * lists)).select("v").collect()
+    index = Index.fit(unit(np.array([r["v"] for r in sample])), lists, probes or follow)
 
     def encode(batches):
         for batch in batches:
@@ -200,7 +212,7 @@ def _links_of(classes: DataFrame, dim: int, count: int, threshold: float, probes
     wide = coded.withColumn("list", F.explode("lists"))
     blocks = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
     sizes = wide.groupBy("list").agg(F.count_if(F.col("list") == F.col("own")).alias("m"), F.count("*").alias("p")).where("m > 0")
-    sizes = F.broadcast(stage(sizes.select("list", blocks("m").alias("ms"), blocks("p").alias("ps")), "sizes"))  # a row for each of at most MOST_LISTS lists
+    sizes = F.broadcast(stage(sizes.select("list", blocks("m").alias("ms"), blocks("p").alias("ps")), "sizes"))  # a row for each list
     deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     members = coded.join(sizes, coded["own"] == sizes["list"]).withColumn("mb", deal("ms")).withColumn("pb", upto("ps")).select("list", "mb", "pb", "id", "w", "v", "lists", "code", "error")

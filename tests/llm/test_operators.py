@@ -236,6 +236,13 @@ def test_main_text(spark):
     assert html_text.extract_text(df.limit(0), model=model).count() == 0
 
 
+def test_stray_quotes_and_missing_end_tags_lose_no_text():
+    blocks = lambda page: [t for n in html_text.parse(page) for _, t in n.blocks]
+    assert blocks("<p class=x it's>One.</p><p>Two's \"here\".</p><p title=\"a>b\" id='c>d'>Three.</p><p a=\"open>Four.</p>") == ["One.", "Two's \"here\".", "Three.", "Four."]
+    assert blocks("<head><title>x</title><meta a><body><p>One.") == ["One."]
+    assert blocks("<head><title>x</title></head><p>One.<datalist><option>a<option>b</datalist><p>Two.") == ["One.", "Two."]
+
+
 def test_tree_marginals_are_exact():
     model = html_text.TreeModel.fit(html_text.labelled_pages(60))
     nodes = html_text.parse("<body><nav><ul><li><a>x</a></li></ul></nav><div><p>Some words here.</p><p>More.</p></div>")
@@ -278,6 +285,22 @@ def test_near_vectors_against_brute_force(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("count", [200 * 256, 1024 * 256])
+def test_recall_of_many_lists(count):
+    lists, probes = vector_dedup.how_many(count)
+    assert lists == count // 256
+    rng = np.random.default_rng(1)
+    x = vector_dedup.unit(rng.normal(size=(vector_dedup.FIT_SAMPLE, 64)))
+    index = vector_dedup.Index(vector_dedup.k_means(x, lists, rounds=4), np.zeros((1, 1, 1)), probes)
+    a = x[:3000]
+    side = rng.normal(size=a.shape)
+    side = vector_dedup.unit(side - (side * a).sum(1)[:, None] * a)
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * side
+    near_a, near_b = (vector_dedup.nearest(v, index.centres, probes) for v in (a, b))
+    met = (near_a == near_b[:, :1]).any(1) | (near_b == near_a[:, :1]).any(1)
+    assert met.mean() > 0.97
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -322,23 +345,21 @@ def test_toxicity_learns_and_catches_misspellings(spark):
 # ---------------------------------------------------------------- 7
 
 
-def test_viterbi_is_best_and_decoding_returns_the_text(spark):
+def test_ids_are_the_models_own_and_decoding_returns_the_text(spark):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
     m = pieces.PieceModel(P.path("piece_bpe_32k.model"))
-    score = dict(zip((m.pieces[i] for i in m.ids), m.scores, strict=True))
-    by_id = dict(zip(m.ids.tolist(), m.scores, strict=True))
-    texts = ["  two  blanks", "naïve café 日本 ✈ \U0001f600", "\n\tx", " ", "unbelievable antidisestablishmentarianism", "a" * 3000]
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    r = random.Random(11)
+    texts = ["  two  blanks", "naïve café 日本 ✈ \U0001f600", "\n\tx", " ", "unbelievable antidisestablishmentarianism", "a" * 3000, "aaa aaaa aaaaa abababab", "­﻿x"]
+    texts += [" ".join("".join(r.choice("abcdeéintosr漢▁'-.0123") for _ in range(r.randint(1, 14))) for _ in range(30)) for _ in range(200)]
+    texts += [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t]
     ids = m.encode(texts)
-    assert [m.decode(x) for x in ids] == texts
-    for w in m.known:
-        if len(w) > 60:
-            continue
-        best = [0.0] + [-1e18] * len(w)
-        for e in range(1, len(w) + 1):
-            best[e] = best[e - 1] + m.byte_score * len(w[e - 1].encode())
-            for b in range(e):
-                if w[b:e] in score:
-                    best[e] = max(best[e], best[b] + score[w[b:e]])
-        assert abs(sum(by_id.get(i, m.byte_score) for i in np.frombuffer(m.known[w], "<u4").tolist()) - best[-1]) < 1e-6
+    assert [m.decode(x) for x in ids] == [t.replace("▁", " ") for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [sp.encode(t) for t in texts]
+    empty = pieces.encode_pieces(spark.createDataFrame([], DOCS), P.path("piece_bpe_32k.model"))
+    assert pieces.decode_pieces(empty, P.path("piece_bpe_32k.model")).count() == 0
     df = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (None, "x"), (1, "one two")], DOCS)
     enc = pieces.encode_pieces(df, P.path("piece_bpe_32k.model"))
     assert {(r["id"], r["text"]) for r in pieces.decode_pieces(enc, P.path("piece_bpe_32k.model")).collect()} == {(1, "one two"), (2, ""), (3, ""), (None, "x")}
