@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.common import stage
-from daybook.llm.line_dedup import dedup_lines
+from daybook.llm.line_dedup import BLANKS, dedup_lines
 from daybook.llm.ngram_join import jaccard_components
 from daybook.llm.packing import best_fit_pack
 from daybook.llm.toxicity import train
@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines similar to an earlier one go, and documents of which nothing but dropped lines was there."""
-    kept = dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    kept = dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(f"\n{BLANKS}")) != ""))
     counted = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return kept.select(*[counted.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
@@ -46,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("packing", packing)]
 
-#: SQL expresses neither the learned scores nor the packing; tests hold run() against brute force.
+#: SQL expresses neither the learned scores nor the packing; tests hold the stages against brute force, run() against planted cases.
 ORACLE_SQL = None
 
 
