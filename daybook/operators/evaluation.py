@@ -137,7 +137,7 @@ def baseline(df: DataFrame, name: str, keys: Sequence[str], y: str = "demand", d
     """Adds the walk-forward baseline ``name``, which sees truth up to the day before.
 
     lag_<k>, rolling_mean_<k>, rolling_median_<k>, expanding_mean, expanding_median, trimmed_mean_<k>,
-    ewm_span_<k>, blend_lag_1_lag_7, same_weekday_mean_<k>, same_weekday_median_<k>, same_weekday_mean_expanding.
+    ewm_span_<k>, blend_lag_1_lag_7, same_weekday_mean_<k>, same_weekday_median_<k>, same_weekday_mean_expanding, same_weekday_median_expanding.
     """
     w, kind, k = over(keys, [day]), name.rstrip("0123456789").rstrip("_"), int(name.rsplit("_", 1)[-1]) if name[-1].isdigit() else 0
     last = F.lag(y, 1).over(w)
@@ -163,26 +163,53 @@ def baseline(df: DataFrame, name: str, keys: Sequence[str], y: str = "demand", d
         e = F.coalesce(F.percentile(y, 0.5).over(ww.rowsBetween(-k, -1)), last)
     elif name == "same_weekday_mean_expanding":
         e = F.coalesce(F.avg(y).over(ww.rowsBetween(Window.unboundedPreceding, -1)), last)
-    elif kind in ("ewm_span", "expanding_median"):
-        return _per_series(df, name, kind, k, keys, y, day)
+    elif name == "same_weekday_median_expanding":
+        e = F.coalesce(F.percentile(y, 0.5).over(ww.rowsBetween(Window.unboundedPreceding, -1)), last)
+    elif name == "expanding_median":
+        e = F.percentile(y, 0.5).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    elif kind == "ewm_span":
+        return _ewm(df, name, k, keys, y, day)
     else:
         raise ValueError(name)
     return df.withColumn(name, e)
 
 
-def _per_series(df: DataFrame, name: str, kind: str, k: int, keys: Sequence[str], y: str, day: str) -> DataFrame:
+def _ewm(df: DataFrame, name: str, k: int, keys: Sequence[str], y: str, day: str) -> DataFrame:
     """Long recursive histories, one series at a time in numpy; a series is bounded by its calendar."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(day)
         s = f[y].astype(float)
-        f[name] = (s.ewm(span=k, adjust=False).mean() if kind == "ewm_span" else s.expanding().median()).shift(1)
+        f[name] = s.ewm(span=k, adjust=False).mean().shift(1)
         return f
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{name}` double"
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+# Columns that may hold each baseline already, in this order.
+PRECOMPUTED = {
+    "naive_lag_1": ("sale_amount_lag_1", "lag_1"),
+    "seasonal_naive_lag_7": ("target_lag_7", "sale_amount_lag_7", "lag_7", "seasonal_naive_d7"),
+    "trailing_mean_7": ("sale_amount_rolling_mean_7", "rolling_mean_7"),
+    "trailing_mean_28": ("sale_amount_rolling_mean_28", "rolling_mean_28", "moving_average_28"),
+    "same_weekday_mean_4": ("target_same_dow_mean_4w", "same_dow_mean_4w"),
+}
+DERIVED = {"naive_lag_1": "lag_1", "seasonal_naive_lag_7": "lag_7", "trailing_mean_7": "rolling_mean_7", "trailing_mean_28": "rolling_mean_28", "same_weekday_mean_4": "same_weekday_mean_4"}
+
+
+def resolve_baseline(df: DataFrame, name: str, keys: Sequence[str], y: str = "demand", day: str = "dt", out: str = "prediction", anchor: str | None = None) -> DataFrame:
+    """Adds the named baseline from the first column that holds it, else computes it from the series.
+
+    ``anchor``, the column that a residual target is rebuilt from, comes first for the seasonal one.
+    """
+    names = [*([anchor] if anchor and name == "seasonal_naive_lag_7" else []), *PRECOMPUTED[name]]
+    there = next((c for c in names if c in df.columns), None)
+    if there:
+        return df.withColumn(out, F.col(there).cast("double"))
+    return baseline(df, DERIVED[name], keys, y, day).withColumnRenamed(DERIVED[name], out)
+
+
 def long_baselines(df: DataFrame, names: Sequence[str], keys: Sequence[str], y: str = "demand", day: str = "dt") -> DataFrame:
     """(keys, day, actual, baseline, prediction) of several baselines: one sort, then unpivoted."""
     for n in names:
@@ -265,6 +292,22 @@ def economic_loss(df: DataFrame, price: str, cost_ratio: float = 0.35, family: s
     }).withColumn("loss", F.col("over_units") * price_ * cost_ratio + F.col("under_units") * F.greatest(price_ - price_ * cost_ratio, F.lit(0.0)) * (1 - rate))
 
 
+def economic_gain(df: DataFrame, by: Sequence[str], price: str, y: str = "actual", p: str = "prediction", base: str = "baseline") -> DataFrame:
+    """Units, losses, savings and MAE of a model beside a baseline for each group, and in total (null keys).
+
+    The total adds the groups up; its relative improvement is null. Two passes of partial sums, the second over groups.
+    """
+    lost = lambda q, n, d: economic_loss(d, price, y=y, p=q).withColumnsRenamed({"over_units": f"{n}_over_units", "under_units": f"{n}_under_units", "loss": f"{n}_loss"})
+    rows = lost(base, "baseline", lost(p, "model", df))
+    sums = [f"{n}_{c}" for n in ("model", "baseline") for c in ("over_units", "under_units", "loss")]
+    g = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), *[F.sum(c).alias(c) for c in sums], mae(y, p).alias("__m"), mae(y, base).alias("__b"))
+    g = g.withColumns({"savings": F.col("baseline_loss") - F.col("model_loss"), "mae_saved": F.col("__b") - F.col("__m")})
+    g = g.withColumn("mae_improvement", F.when(F.col("__b") <= 0, 0.0).otherwise(F.col("mae_saved") / F.nullif("__b", F.lit(0.0)))).drop("__m", "__b")
+    total = g.agg(*[F.sum(c).alias(c) for c in ("n_rows", *sums, "savings", "mae_saved")])
+    return g.unionByName(total, allowMissingColumns=True)
+
+
+# The defaults of the cost profile.
 @dataclass(frozen=True)
 class CostProfile:
     over: float = 1.0
@@ -326,6 +369,7 @@ def segmented_score(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scores.groupBy(*by).agg((F.sum("economic_loss") / d).alias("normalized_loss"), (F.sum(F.col("penalty") * F.col("denominator")) / d).alias("penalty"), (F.sum("economic_loss") / d + F.sum(F.col("penalty") * F.col("denominator")) / d).alias("decision_loss"))
 
 
+# The grid of the economic calibration.
 GRID_SLOPES, GRID_INTERCEPTS = (0.90, 0.95, 1.0, 1.05), (-3.0, -2.0, -1.0, 0.0, 1.0)
 
 
@@ -424,6 +468,13 @@ def violations_accepted(df: DataFrame, c: str, values: Sequence[str]) -> DataFra
     return df.where(F.col(c).isNotNull() & ~F.col(c).isin(*values)).groupBy(c).agg(F.count("*").alias("n_rows"))
 
 
+def leaks(df: DataFrame, banned: Sequence[str], y: str, usable: str = "usable_for_training_flag") -> DataFrame:
+    """(violation, n_rows): columns whose names begin with a banned prefix, by the table's rows, and usable rows without a label."""
+    found = [F.count("*").alias(c) for c in df.columns if c.startswith(tuple(banned))]
+    one = df.agg(*found, F.count_if(F.col(usable) & F.col(y).isNull()).alias("usable_but_unlabelled"))
+    return one.unpivot([], one.columns, "violation", "n_rows").where("n_rows > 0")
+
+
 def violations_expression(df: DataFrame, rule: str) -> DataFrame:
     return df.where(F.coalesce(~F.expr(rule), F.lit(False)))
 

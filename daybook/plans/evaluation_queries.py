@@ -137,6 +137,10 @@ BASELINES = {
 }
 
 
+#: The exponential mean as a fold over the values before.
+EWM = f"list_reduce(list(demand) OVER ({WP} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda m, x: m + CAST({{a!r}} AS DOUBLE) * (x - m))"
+
+
 def _baseline(name: str, sql: str | None):
     body = f"WITH {SER} SELECT product_id, CAST(dt AS VARCHAR) AS dt, round({sql}, 6) AS prediction FROM s" if sql else None
 
@@ -148,7 +152,7 @@ def _baseline(name: str, sql: str | None):
 for _name, _sql in BASELINES.items():
     _baseline(_name, _sql)
 for _k in (3, 7, 14):
-    _baseline(f"ewm_span_{_k}", None)
+    _baseline(f"ewm_span_{_k}", EWM.format(a=2 / (_k + 1)))
 
 
 @query("bl_same_day_last_year", f"WITH {SER} SELECT a.product_id, CAST(a.dt AS VARCHAR) AS dt, coalesce(b.demand, c.demand, e.demand) AS prediction FROM s a LEFT JOIN s b ON a.product_id = b.product_id AND b.dt = a.dt - 365 LEFT JOIN s c ON a.product_id = c.product_id AND c.dt = a.dt - 364 LEFT JOIN s e ON a.product_id = e.product_id AND e.dt = a.dt - 366", "daily")
@@ -184,11 +188,6 @@ def _(spark, d):
     return f.groupBy("product_id", "baseline").agg(F.avg("wape").alias("wape")).groupBy("baseline").agg(F.avg("wape").alias("macro_wape"), F.count("*").alias("n_series"))
 
 
-@query("bl_resolve", f"WITH {SER} SELECT product_id, CAST(dt AS VARCHAR) AS dt, round(avg(demand) OVER ({WP} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 6) AS prediction FROM s", "daily")
-def _(spark, d):
-    return E.baseline(series(spark, d), "rolling_mean_28", ["product_id"]).select("product_id", "dt", F.col("rolling_mean_28").alias("prediction"))
-
-
 # ---- metrics on panel rows with the field baseline as prediction
 
 PRED = f"{BLEND}, p AS (SELECT {K}, dt, target AS actual, coalesce(0.5 * l1 + 0.5 * l7, l1, l7) AS prediction, label_quality_score FROM f WHERE target IS NOT NULL AND l1 IS NOT NULL)"
@@ -427,16 +426,6 @@ def _(spark, d):
     return E.violations_expression(table(spark, d, "events"), "value >= 1").select("event_id")
 
 
-@query("dq_target_is_next_day", f"SELECT {G} FROM panel WHERE false", "panel")
-def _(spark, d):
-    return feature_panel(panel(spark, d), SERIES).where(F.col("target_dt") != F.date_add("dt", 1)).select(*GRAIN)
-
-
-@query("dq_decision_before_target", f"SELECT {G} FROM panel WHERE false", "panel")
-def _(spark, d):
-    return feature_panel(panel(spark, d), SERIES).where(F.col("decision_timestamp") >= F.col("target_dt").cast("timestamp_ntz")).select(*GRAIN)
-
-
 @query("dq_split_contract", f"WITH {HOLD} SELECT dataset_source, CAST(max(CASE WHEN split_bucket = 'train' THEN dt END) AS VARCHAR) AS train_end, CAST(min(CASE WHEN split_bucket = 'test' THEN dt END) AS VARCHAR) AS test_start, count(DISTINCT split_bucket) AS n_splits FROM b GROUP BY ALL", "daily")
 def _(spark, d):
     s = E.holdout_split(TD.daily(spark, d), "dataset_source")

@@ -87,11 +87,6 @@ def _(spark, d):
     return S.stage_columns(e, {"value_int": ("value", "long")}, ["event_type"]).select("event_id", "value_int", "event_type")
 
 
-@query("registry_normalize", "SELECT source_id, source_kind, CASE WHEN review_status = 'quarantined' THEN 'quarantine' ELSE review_status END AS review_status, coalesce(source_priority, 999)::BIGINT AS source_priority FROM registry", "registry")
-def _(spark, d):
-    return S.normalize_registry(TD.registry(spark)).select("source_id", "source_kind", "review_status", "source_priority")
-
-
 @query("canonical_source_id", "SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_mktsegment END), ''), nullif(trim(c_name), '')) AS source_id FROM customer")
 def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", C.canonical_source_id(F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(F.col("c_mktsegment")), "c_name").alias("source_id"))

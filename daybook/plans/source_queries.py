@@ -240,12 +240,6 @@ def _(spark, d):
 # ---- baselines and economics left
 
 
-@query("bl_blend_mean7_ewm7")
-def _(spark, d):
-    s = E.baseline(E.baseline(series(spark, d), "ewm_span_7", ["product_id"]), "rolling_mean_7", ["product_id"])
-    return s.select("product_id", "dt", C.blend("rolling_mean_7", "ewm_span_7").alias("prediction"))
-
-
 @query("bl_trailing_28", f"WITH {SER} SELECT product_id, CAST(dt AS VARCHAR) AS dt, round(avg(demand) OVER ({WP} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 6) AS prediction FROM s", "daily")
 def _(spark, d):
     return E.baseline(series(spark, d), "rolling_mean_28", ["product_id"]).select("product_id", "dt", F.col("rolling_mean_28").alias("prediction"))
@@ -259,11 +253,6 @@ def _(spark, d):
     return a.join(b, ["product_id", "dt"]).groupBy("product_id").agg(F.count_if(mine < theirs).alias("better"), F.count_if(mine > theirs).alias("worse"), F.count("*").alias("n_rows"))
 
 
-@query("economic_gain", f"{PRED} SELECT product_id, sum(round_even(actual, 0)) AS actual_units, sum(round_even(prediction, 0)) AS planned_units, count(*) AS n_rows FROM p GROUP BY ALL", "panel")
-def _(spark, d):
-    return segmented(spark, d).groupBy("product_id").agg(F.sum(F.rint("actual")).alias("actual_units"), F.sum(F.rint("prediction")).alias("planned_units"), F.count("*").alias("n_rows"))
-
-
 @query("topk_features")
 def _(spark, d):
     ranked = FS.elastic_net(features(spark, d).where("y IS NOT NULL"), ["l1", "l7", "m7"], "y")
@@ -307,13 +296,6 @@ def _(spark, d):
     return E.incidents(table(spark, d, "events"), ["event_id"], rules).groupBy("rule_name", "severity").agg(F.count("*").alias("n_rows"))
 
 
-@query("dq_no_leaky_columns", f"SELECT {G} FROM panel WHERE false", "panel")
-def _(spark, d):
-    p = panel(spark, d)
-    leaky = [c for c in p.columns if c.startswith(("oracle_", "debug_"))]
-    return p.where(F.lit(bool(leaky))).select(*GRAIN)
-
-
 @query("walk_forward_predict")
 def _(spark, d):
     from daybook.operators.models import fit_boosted, walk_forward

@@ -196,3 +196,40 @@ def test_streamed_rollup_equals_batch(spark, tmp_path):
     got = one(spark.table("rolled").select("bucket", "value").orderBy("bucket"))
     want = one(R.roll_up(df, "quarter_hour", ["event_type"], "ts", ["value"]).select("bucket", "value").orderBy("bucket"))
     assert got == want
+
+
+def test_ranks_of_a_whole_table_split_equal_values(spark):
+    from daybook.operators.universe import global_rank
+
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 5.0D ELSE CAST(id % 700 AS DOUBLE) END AS v", "id").unionByName(spark.sql("SELECT CAST(NULL AS DOUBLE) AS v, -1L AS id"))
+    rows = sorted((r["rank"], r["v"], r["n_ranked"]) for r in global_rank(df, "v", edges=10, salts=4).collect())
+    assert [r[0] for r in rows] == list(range(1, 3001)) and {r[2] for r in rows} == {3000}
+    assert [r[1] for r in rows] == sorted(r[1] for r in rows)
+    assert global_rank(df.where("id < 0"), "v").count() == 0
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from daybook.operators.universe import normal_quantile
+
+    ps = [1e-6, 0.01, 0.02425, 0.3, 0.5, 0.9, 0.98, 1 - 1e-6]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select(normal_quantile(F.col("p"))).collect()
+    assert all(abs(r[0] - NormalDist().inv_cdf(p)) < 1e-7 for r, p in zip(got, ps, strict=True))
+
+
+def test_contract_blocks_what_the_day_itself_tells(spark):
+    from daybook.operators.contracts import feature_contract, model_features, projection_columns
+
+    cols = spark.createDataFrame([("weather_temperature_lag_1_unknown_real", "unknown_real"), ("current_sales_known_real", "known_real"), ("fr_cpi", "unknown_real"), ("rolling_mean_7", "unknown_real")], "feature string, role string")
+    got = {r["feature"]: r for r in feature_contract(cols, "pre_close_d_plus_1").collect()}
+    assert got["weather_temperature_lag_1_unknown_real"]["blocked"] is None
+    assert got["current_sales_known_real"]["leakage_risk_level"] == "medium" and got["current_sales_known_real"]["blocked"] == "decision_day_observed"
+    assert got["fr_cpi"]["max_publication_lag_hours"] == 744 and got["rolling_mean_7"]["blocked"] == "decision_day_history"
+    assert {r["blocked"] for r in feature_contract(cols).collect()} == {None}
+    df = spark.createDataFrame([("a", 1.0, 2.0, True, "x")], "k string, one double, two double, flag boolean, note string")
+    assert projection_columns(df, ["k"]) == ["k", "one", "two", "flag"]
+    df = df.unionByName(spark.createDataFrame([("b", 1.0, 3.0, True, "y")], df.schema))
+    assert model_features(df, dict.fromkeys(df.columns, "unknown_real"), excluded=["note"], identifiers=["k"]) == {"features": ["two"], "constant": ["one", "flag"], "identifiers": ["k"]}
