@@ -5,7 +5,7 @@ from daybook.llm.line_dedup import op10_line_dedup
 from daybook.llm.ngram_join import op3_ngram_join
 from daybook.llm.packing import op8_packing
 from daybook.llm.pieces import op7_pieces
-from daybook.llm.token_ledger import TOKEN_COUNTS_SQL, op2_token_counts
+from daybook.llm.token_ledger import op2_token_counts
 from daybook.llm.topk import TOPK_SQL, op9_topk
 from daybook.llm.toxicity import op6_toxicity
 from daybook.llm.vector_dedup import op5_vector_dedup
@@ -25,6 +25,5 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_token_counts": TOKEN_COUNTS_SQL,
     "op9_topk": TOPK_SQL,
 }

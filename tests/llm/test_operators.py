@@ -135,6 +135,47 @@ def test_ledger_is_additive_and_idempotent(spark, tmp_path):
     assert not again.commit("b", two) and set(rows_of(again.totals().select("source", "lang", "tokenizer_version", "documents", "tokens"))) == want
 
 
+def test_ledger_follows_a_dictionary_through_merges_and_rivals(spark, tmp_path):
+    schema = "op string, doc_id long, tokenizer_version string, source string, lang string, tokens long"
+    ledger, state = token_ledger.TokenLedger(spark, f"{tmp_path}/l", buckets=4, merge_after=3), {}
+    rival = token_ledger.TokenLedger(spark, f"{tmp_path}/l", buckets=4)
+    for n in range(5):
+        rows = [("delete" if (i + n) % 4 == 0 else "revise", i, f"v{i % 2}", f"s{(i + n) % 3}", "en", 10 * i + n) for i in range(n, 12, 2)]
+        assert ledger.commit(f"b{n}", spark.createDataFrame(rows, schema))
+        for op, i, v, s, la, t in rows:
+            state.pop((i, v), None) if op == "delete" else state.update({(i, v): (s, la, t)})
+    # a rival whose number has been taken starts anew, over the newer state
+    load, rival._load = rival._load, lambda: None
+    rival._commits = []
+    assert not rival._record("late", [], [])
+    rival._load = load
+    assert rival.commit("late", spark.createDataFrame([("insert", 99, "v0", "s9", "en", 3)], schema)) and not ledger.commit("late", spark.createDataFrame([], schema))
+    state[(99, "v0")] = ("s9", "en", 3)
+    got = {(r["doc_id"], r["tokenizer_version"]): (r["source"], r["lang"], r["tokens"]) for r in ledger.counts().collect()}
+    assert got == state
+    sums = {}
+    for (_, v), (s, la, t) in state.items():
+        d, k = sums.get((s, la, v), (0, 0))
+        sums[(s, la, v)] = (d + 1, k + t)
+    assert {(r["source"], r["lang"], r["tokenizer_version"]): (r["documents"], r["tokens"]) for r in ledger.totals().collect()} == sums
+    assert len(ledger._commits[-1]["segments"]) < 6
+
+
+def test_tokens_are_counted_as_the_libraries_do(spark):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    word, piece = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    texts = [None, "", " ", "a  b ", "Hello, World!  don't", "x\ty\nz", "été 漢字 ▁ ▁x", "🙂🙂", "word " * 5000, "trailing   "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "'s' AS source", "text", "1 AS tokens")
+    got = {(r["doc_id"], r["tokenizer_version"]): r["tokens"] for r in token_ledger.count_tokens(docs, {"w": word, "p": piece}, ("source",)).collect()}
+    t, sp = Tokenizer.from_file(word), sentencepiece.SentencePieceProcessor(model_file=piece)
+    assert got == {(i, v): len(n) for i, x in enumerate(texts) for v, n in (("w", t.encode(x or "", add_special_tokens=False).ids), ("p", sp.encode(x or "")))}
+    empty = token_ledger.count_tokens(docs.where("doc_id < 0"), {"w": word})
+    assert empty.count() == 0
+
+
 # ---------------------------------------------------------------- 3
 
 
