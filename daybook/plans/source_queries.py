@@ -23,8 +23,12 @@ from daybook.sources import testdata as TD
 
 
 def scratch(spark) -> str:
-    """A new path in the folder that all executors share; in a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that all executors share; only a local session, as in tests, may name none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/daybook-{uuid.uuid4().hex}"
 
 
