@@ -40,10 +40,12 @@ REGISTRY_TYPES = {
     "feature_name": "string", "feature_family": "string", "tft_role": "string", "available_at_prediction": "boolean", "source_system": "string",
     "missing_policy": "string", "default_value": "string", "include_in_training": "boolean", "allow_constant": "boolean", "notes": "string",
 }
-FORECAST_SCHEMA = T.StructType.fromDDL(
-    "dataset_source string, location_id string, dt date, forecast_generated_at timestamp, latitude double, longitude double, weather_temperature_mean double, "
-    "weather_temperature_min double, weather_temperature_max double, weather_precipitation_sum double, weather_relative_humidity_mean double, weather_wind_speed_mean double, "
-    "source_name string, source_policy_id string, source_policy_ids string, provider_count int, weather_available_flag boolean, weather_observation_type string"
+FORECAST_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("dataset_source", "location_id")]
+    + [T.StructField("dt", T.DateType()), T.StructField("forecast_generated_at", T.TimestampType())]
+    + [T.StructField(c, T.DoubleType()) for c in ("latitude", "longitude", "weather_temperature_mean", "weather_temperature_min", "weather_temperature_max", "weather_precipitation_sum", "weather_relative_humidity_mean", "weather_wind_speed_mean")]
+    + [T.StructField(c, T.StringType()) for c in ("source_name", "source_policy_id", "source_policy_ids")]
+    + [T.StructField("provider_count", T.IntegerType()), T.StructField("weather_available_flag", T.BooleanType()), T.StructField("weather_observation_type", T.StringType())]
 )
 
 
