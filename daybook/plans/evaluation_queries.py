@@ -381,7 +381,7 @@ def _(spark, d):
     return FS.rank_by_corr(features(spark, d), FEATS, "y")
 
 
-@query("fs_drop_constant", f"{FSQL} SELECT unnest(['l1', 'l7', 'm7']) AS feature FROM (SELECT count(*) FROM q)", "panel")
+@query("fs_drop_constant", FSQL + " UNION ALL ".join(f" SELECT '{c}' AS feature FROM (SELECT *, 1.0 AS one FROM q) HAVING count(DISTINCT {c}) > 1 OR count({c}) BETWEEN 1 AND count(*) - 1" for c in ("l1", "l7", "m7", "one")), "panel")
 def _(spark, d):
     f = features(spark, d).withColumn("one", F.lit(1.0))
     return spark.createDataFrame([(c,) for c in FS.drop_constant(f, [*FEATS, "one"])], "feature string")
