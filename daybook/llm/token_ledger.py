@@ -30,8 +30,8 @@ COUNTS = "doc_id long, tokenizer_version string, source string, lang string, tok
 SEGMENT = f"doc_id long, tokenizer_version string, seq long, new {VALUE}, old {VALUE}, bucket int"
 TOTALS = "source string, lang string, tokenizer_version string, documents long, tokens long"
 COMMITS = "seq long, batch_id string, segments array<string>, deltas array<string>"
-#: Parts of the state by key hash; a batch of fewer keys reads fewer.
-BUCKETS = 256
+#: Parts of the state by key hash; a batch of fewer keys reads fewer. Give a large ledger more.
+BUCKETS = 64
 #: So many segments, and roll-ups, are merged into one.
 MERGE_AFTER = 16
 
