@@ -13,7 +13,9 @@ model's own segmentation.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from daybook.llm.common import lean
 
 SPACE = "▁"
-UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Words whose ids a worker keeps; beyond it the store starts anew.
 KNOWN_WORDS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +39,8 @@ class PieceModel:
 
     Pieces are numbered in the order in which merging makes them: characters first, then by rank. A longer
     piece is known by its last merge, of ``left`` and ``right``. Pieces hold U+2581 only at their
-    beginning, so no piece crosses from a word to the next.
+    beginning, so no piece crosses from a word to the next, nor from letters to most marks: texts are cut
+    there too, and a word is encoded once, whatever mark follows it.
     """
 
     def __init__(self, path: str, keep: int = KNOWN_WORDS):
@@ -54,6 +56,8 @@ class PieceModel:
         usable = [i for i, p in enumerate(self.pieces) if not skip(i) and SPACE not in p.lstrip(SPACE)]
         usable.sort(key=lambda i: (len(self.pieces[i]) > 1, -sp.get_score(i)))
         self._number(usable)
+        self.units = self.units_of([self.pieces[i] for i in usable])
+        self.bytes_of = pa.array(self.raw, pa.large_binary())
         self.keep, self.known = keep, {}
         self.border, self.answer = np.full(KNOWN_BORDERS, -1, dtype=np.int64), np.zeros(KNOWN_BORDERS, dtype=bool)
 
@@ -85,6 +89,18 @@ class PieceModel:
             maybe[(self.hashes[at] >> np.uint64(48)).astype(np.int64)] = True
             self.by_length[n] = (self.hashes[at], at, maybe)
 
+    @staticmethod
+    def units_of(pieces: list[str]) -> re.Pattern:
+        """What a text is cut into: before each U+2581 and, where no piece has its two sides side by side, before a mark."""
+        pairs = {(p[k - 1], p[k]) for p in pieces for k in range(1, len(p))}
+        plain = string.ascii_letters + string.digits
+        marks = [m for m in string.punctuation if not any((c, m) in pairs for c in plain)]
+        if not marks:
+            return re.compile(f"{SPACE}+[^{SPACE}]*")
+        joined = re.escape("".join(sorted({SPACE} | {a for a, b in pairs if b in marks})))
+        marks = re.escape("".join(marks))
+        return re.compile(f"(?:{SPACE}+|[{marks}])(?:[^{SPACE}{marks}]+|(?<=[{joined}])[{marks}])*")
+
     @staticmethod
     def _last_merge(piece: str, number: dict[str, int], left: list[int], right: list[int], texts: list[str]) -> tuple[int, int] | None:
         """The two pieces whose merge makes this one: no earlier merge crosses where they meet."""
@@ -224,9 +240,9 @@ class PieceModel:
         """Ids as bytes of little-endian unsigned 32-bit numbers; none for null and empty texts."""
         if len(self.known) > self.keep:
             self.known = {}
-        split = [UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [self.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         by_length: dict[int, list[str]] = {}
-        for w in {w for words in split for w in words if w not in self.known}:
+        for w in set(itertools.chain.from_iterable(split)).difference(self.known):
             by_length.setdefault(len(w), []).append(w)
         for length, words in by_length.items():
             step = max(1, 200_000 // length)
@@ -235,9 +251,15 @@ class PieceModel:
                 self.known.update(zip(some, self.viterbi(some), strict=True))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+    def decode(self, ids: list[bytes | None]) -> list[str | None]:
+        """The texts of ids, all at once; bytes that are no UTF-8 become replacement characters."""
+        numbers = np.frombuffer(b"".join(x or b"" for x in ids), "<u4")
+        joined = self.bytes_of.take(pa.array(numbers))
+        offsets, data = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1), joined.buffers()[2]
+        ends = offsets[np.cumsum([len(x or b"") // 4 for x in ids], dtype=np.int64)].tolist()
+        data = data.to_pybytes() if data is not None else b""
+        parts = zip(ids, [int(offsets[0]), *ends], ends, strict=False)
+        return [None if x is None else data[a:b].decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for x, a, b in parts]
 
 
 @functools.cache
@@ -267,7 +289,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model = model_of(model_path)
         for batch in batches:
-            texts = [None if x is None else model.decode(x) for x in batch.column(at).to_pylist()]
+            texts = model.decode(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return encoded.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", text string")

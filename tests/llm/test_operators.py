@@ -397,7 +397,8 @@ def test_ids_are_the_models_own_and_decoding_returns_the_text(spark):
     texts += [" ".join("".join(r.choice("abcdeéintosr漢▁'-.0123") for _ in range(r.randint(1, 14))) for _ in range(30)) for _ in range(200)]
     texts += [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t]
     ids = m.encode(texts)
-    assert [m.decode(x) for x in ids] == [t.replace("▁", " ") for t in texts]
+    assert m.decode(ids) == [t.replace("▁", " ") for t in texts]
+    assert m.decode([]) == [] and m.decode([None, b"", ids[0]]) == [None, "", texts[0].replace("▁", " ")]
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [sp.encode(t) for t in texts]
     empty = pieces.encode_pieces(spark.createDataFrame([], DOCS), P.path("piece_bpe_32k.model"))
     assert pieces.decode_pieces(empty, P.path("piece_bpe_32k.model")).count() == 0
