@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import uuid
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from daybook.llm.common import forget, lean, shared_dir, stage
 from daybook.llm.packing import encoder_of
-from daybook.llm.pieces import SPACE, UNITS
+from daybook.llm.pieces import SPACE
 
 KEY = ["doc_id", "tokenizer_version"]
 GROUP = ["source", "lang", "tokenizer_version"]
@@ -32,6 +33,8 @@ TOTALS = "source string, lang string, tokenizer_version string, documents long,
 COMMITS = "seq long, batch_id string, segments array<string>, deltas array<string>"
 #: Parts of the state by key hash; a batch of fewer keys reads fewer. Give a large ledger more.
 BUCKETS = 64
+#: Words of an escaped text, which begins with U+2581.
+WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: So many segments, and roll-ups, are merged into one.
 MERGE_AFTER = 16
 
@@ -169,7 +172,7 @@ class PieceCounter:
     def count(self, texts: list[str | None]) -> list[int]:
         if len(self.known) > self.keep:
             self.known = {}
-        split = [UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = list({w for words in split for w in words if w not in self.known})
         # the model puts a blank before a text, so a word goes in without its own; a blank alone is one piece
         self.known.update((w, len(ids) or 1) for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True))
