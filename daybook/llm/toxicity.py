@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from daybook.llm.common import lean, stage
 
-#: Bounds of what is learned: labelled documents read, terms kept.
-TRAIN_DOCS, TERMS = 20_000, 2_000
+#: Bound of what is learned: labelled documents read. Terms are as many as these documents prove.
+TRAIN_DOCS = 20_000
 #: A term stands in so many toxic documents, and so many standard deviations more than by chance.
 TERM_DOCS, TERM_SIGMAS = 4, 5.0
 WINDOW = 6
@@ -138,20 +138,21 @@ class Scorer:
         return [math.log1p(x) for x in sums]
 
 
-def _certain(found: DataFrame, p: float, size: int) -> list:
+def _certain(found: DataFrame, p: float) -> list:
     """Rows (word, clean, bad) whose share of bad ones is far above p, most certain first."""
     n = F.col("clean") + F.col("bad")
     sigmas = (F.col("bad") - n * p) / F.sqrt(n * p * (1 - p))
     chosen = found.where(F.col("bad") >= TERM_DOCS).withColumn("sigmas", sigmas).where(F.col("sigmas") >= TERM_SIGMAS)
-    return chosen.orderBy(F.desc("sigmas"), "word").limit(size).collect()
+    return chosen.orderBy(F.desc("sigmas"), "word").collect()
 
 
-def learn_terms(train: DataFrame, size: int = TERMS) -> list[tuple[str, float]]:
+def learn_terms(train: DataFrame) -> list[tuple[str, float]]:
     """(term, weight) of words that stand in toxic documents far more often than by chance.
 
     train: (text, toxic). A word is first judged by its documents; of what is left, by its
     different contexts (the words before and behind), since copies of one toxic document
-    repeat all its words. weight: smoothed log odds of contexts; at most ``size`` terms.
+    repeat all its words. weight: smoothed log odds of contexts. All terms are kept: a term is
+    proven by several toxic documents, so their number is bounded by that of ``train``.
     """
 
     def by_document(batches):
@@ -175,7 +176,7 @@ def learn_terms(train: DataFrame, size: int = TERMS) -> list[tuple[str, float]]:
         return []
     p = base["bad"] / base["n"]
     found = train.select("text", "toxic").mapInArrow(lean(by_document), "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    candidates = frozenset(r["word"] for r in _certain(found, p, 10 * size))
+    candidates = frozenset(r["word"] for r in _certain(found, p))
 
     def by_context(batches):
         for batch in batches:
@@ -191,7 +192,7 @@ def learn_terms(train: DataFrame, size: int = TERMS) -> list[tuple[str, float]]:
     counted = contexts.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
     p = base["bad_words"] / base["words"]  # long documents have more contexts
     odds = math.log(p / (1 - p))
-    return [(r["word"], max(0.1, math.log((r["bad"] + 0.5) / (r["clean"] + 0.5)) - odds)) for r in _certain(counted, p, size)]
+    return [(r["word"], max(0.1, math.log((r["bad"] + 0.5) / (r["clean"] + 0.5)) - odds)) for r in _certain(counted, p)]
 
 
 #: Where nothing speaks against it, a hit weighs this share of an exact, abusive one: exact and misspelled
