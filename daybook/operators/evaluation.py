@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from daybook.functions.columns import RECOVERY_RATES
-from daybook.operators.relational import date_ranks, head_fraction, over, with_scalar
+from daybook.operators.relational import date_ranks, head_fraction, over, safe_corr, with_scalar
 
 # ---------------------------------------------------------------- splits and folds
 
@@ -369,6 +369,35 @@ def segmented_score(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scores.groupBy(*by).agg((F.sum("economic_loss") / d).alias("normalized_loss"), (F.sum(F.col("penalty") * F.col("denominator")) / d).alias("penalty"), (F.sum("economic_loss") / d + F.sum(F.col("penalty") * F.col("denominator")) / d).alias("decision_loss"))
 
 
+def shape_diagnostics(df: DataFrame, by: str, y: str = "actual", p: str = "prediction", high: float = 0.8, low: float = 0.2) -> DataFrame:
+    """Whether predictions follow the shape of the actuals, per value of ``by``: spread and correlation, the error saved
+    against predicting the mean or the median prediction, bias and error on days of high and of low actuals.
+
+    The statistics are one aggregation and come back by a join, so a product's rows need not fit one task.
+    """
+    stats = df.groupBy(F.col(by).alias("__by")).agg(F.avg(p).alias("__mean"), F.percentile(p, F.lit(0.5)).alias("__median"), F.percentile(y, F.lit(high)).alias("__high"), F.percentile(y, F.lit(low)).alias("__low"))
+    rows = df.join(stats, F.col(by).eqNullSafe(F.col("__by")))
+    error = F.col(p) - F.col(y)
+    off = lambda c: F.avg(F.abs(F.col(c) - F.col(y)))
+    regimes = {"high": F.col(y) >= F.col("__high"), "low": F.col(y) <= F.col("__low")}
+    days = [m.alias(f"{n}_{k}") for n, there in regimes.items() for k, m in (("rows", F.count_if(there)), ("bias", F.avg(F.when(there, error))), ("mae", F.avg(F.when(there, F.abs(error)))))]
+    return rows.groupBy(by).agg(
+        F.count("*").alias("n_rows"),
+        (F.stddev_pop(p) / F.nullif(F.stddev_pop(y), F.lit(0.0))).alias("sigma_ratio"),
+        safe_corr(p, y).alias("correlation"),
+        (off("__mean") - off(p)).alias("gain_vs_mean"),
+        (off("__median") - off(p)).alias("gain_vs_median"),
+        *days,
+    )
+
+
+def refit_report(df: DataFrame, date: str = "dt", y: str = "actual", p: str = "prediction") -> DataFrame:
+    """Per evaluation date: rows, rows of all dates before it, MAE and RMSE. The running sum is over one row a date."""
+    daily = df.groupBy(F.col(date).alias("eval_date")).agg(F.count("*").alias("n_rows"), mae(y, p).alias("mae"), rmse(y, p).alias("rmse"))
+    before = Window.orderBy("eval_date").rowsBetween(Window.unboundedPreceding, -1)
+    return daily.withColumn("history_rows", F.coalesce(F.sum("n_rows").over(before), F.lit(0).cast("long")))
+
+
 # The grid of the economic calibration.
 GRID_SLOPES, GRID_INTERCEPTS = (0.90, 0.95, 1.0, 1.05), (-3.0, -2.0, -1.0, 0.0, 1.0)
 

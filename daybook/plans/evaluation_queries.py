@@ -260,9 +260,18 @@ def _(spark, d):
     return E.residual_acf(series(spark, d), ["product_id"], "demand", 2)
 
 
-@query("shape_diagnostics", f"{PRED} SELECT product_id, round(stddev_pop(prediction) / stddev_pop(actual), 6) AS sigma_ratio, round(corr(prediction, actual), 6) AS correlation, count(*) AS n_rows FROM p GROUP BY ALL", "panel")
+SHAPE_SQL = f"""{PRED}, s AS (SELECT product_id, avg(prediction) AS mean_p, quantile_cont(prediction, 0.5) AS median_p,
+ quantile_cont(actual, 0.8) AS hi, quantile_cont(actual, 0.2) AS lo FROM p GROUP BY ALL)
+SELECT product_id, count(*) AS n_rows, round(stddev_pop(prediction) / stddev_pop(actual), 6) AS sigma_ratio, round(corr(prediction, actual), 6) AS correlation,
+ round(avg(abs(mean_p - actual)) - avg(abs(prediction - actual)), 6) AS gain_vs_mean, round(avg(abs(median_p - actual)) - avg(abs(prediction - actual)), 6) AS gain_vs_median,
+ count(*) FILTER (actual >= hi) AS high_rows, round(avg(prediction - actual) FILTER (actual >= hi), 6) AS high_bias, round(avg(abs(prediction - actual)) FILTER (actual >= hi), 6) AS high_mae,
+ count(*) FILTER (actual <= lo) AS low_rows, round(avg(prediction - actual) FILTER (actual <= lo), 6) AS low_bias, round(avg(abs(prediction - actual)) FILTER (actual <= lo), 6) AS low_mae
+FROM p JOIN s USING (product_id) GROUP BY ALL"""
+
+
+@query("shape_diagnostics", SHAPE_SQL, "panel")
 def _(spark, d):
-    return predictions(spark, d).groupBy("product_id").agg((F.stddev_pop("prediction") / F.nullif(F.stddev_pop("actual"), F.lit(0.0))).alias("sigma_ratio"), R.safe_corr("prediction", "actual").alias("correlation"), F.count("*").alias("n_rows"))
+    return E.shape_diagnostics(predictions(spark, d), "product_id")
 
 
 @query("ensemble_equal", f"WITH {LONG} SELECT product_id, CAST(dt AS VARCHAR) AS dt, round(avg(prediction), 6) AS prediction FROM l WHERE prediction IS NOT NULL GROUP BY ALL", "daily")
@@ -344,9 +353,9 @@ def _(spark, d):
     return g.where("n >= 30").drop("n")
 
 
-@query("daily_refit_report", f"{PRED} SELECT CAST(dt AS VARCHAR) AS eval_date, count(*) AS n_rows, round(avg(abs(prediction - actual)), 6) AS mae FROM p GROUP BY ALL", "panel")
+@query("daily_refit_report", f"{PRED}, r AS (SELECT dt, count(*) AS n_rows, avg(abs(prediction - actual)) AS mae, sqrt(avg((prediction - actual) ** 2)) AS rmse FROM p GROUP BY dt) SELECT CAST(dt AS VARCHAR) AS eval_date, n_rows, round(mae, 6) AS mae, round(rmse, 6) AS rmse, CAST(coalesce(sum(n_rows) OVER (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS history_rows FROM r", "panel")
 def _(spark, d):
-    return predictions(spark, d).groupBy(F.col("dt").alias("eval_date")).agg(F.count("*").alias("n_rows"), E.mae("actual", "prediction").alias("mae"))
+    return E.refit_report(predictions(spark, d))
 
 
 @query("return_cancellation")
