@@ -106,10 +106,21 @@ def _(spark, d):
     return R.series_bounds(TD.daily(spark, d), ["dataset_source", "location_id"])
 
 
-@query("poi_catchment", "SELECT user_id, count(DISTINCT CASE WHEN value <= 5 AND event_type = 'click' THEN event_id END) AS click_5_0km, count(DISTINCT CASE WHEN value <= 20 AND event_type = 'click' THEN event_id END) AS click_20_0km FROM events GROUP BY ALL")
+POI = {"click": ("kind", "click"), "parking": ("kind", "signup"), "transit": ("kind", "error")}
+POI_SQL = """WITH w AS (SELECT user_id, event_id, event_type, value, CASE event_type WHEN 'purchase' THEN 3.0 WHEN 'click' THEN 40.0 WHEN 'view' THEN 120.0 END AS people FROM events),
+ c AS (SELECT user_id, {counts} FROM w GROUP BY ALL)
+SELECT *, CASE WHEN parking_20_0km >= 4 THEN 'high' WHEN parking_20_0km >= 1 AND transit_20_0km <= 2 THEN 'medium' WHEN parking_20_0km >= 1 OR transit_20_0km > 0 THEN 'low' ELSE 'unknown' END AS parking_score FROM c"""
+POI_COUNTS = [f"count(DISTINCT CASE WHEN value <= {r} AND event_type = '{v}' THEN event_id END) AS {n}_{r}_0km" for n, (_, v) in POI.items() for r in (5, 20)]
+POI_COUNTS += [f"CAST(coalesce(sum(CASE WHEN value <= {r} THEN people END), 0) AS DOUBLE) AS population_{r}_0km" for r in (5, 20)]
+
+
+@query("poi_catchment", POI_SQL.format(counts=", ".join(POI_COUNTS)))
 def _(spark, d):
-    e = table(spark, d, "events").select("user_id", "value", F.lit("node").alias("type"), F.col("event_id").alias("id"), F.create_map(F.lit("kind"), F.col("event_type")).alias("tags"))
-    return P.poi_catchment(e, ["user_id"], "value", {"click": ("kind", "click")}, (5.0, 20.0))
+    kind = F.col("event_type")
+    building, area = F.when(kind == "purchase", "house").when(kind == "click", "apartments"), F.when(kind == "view", "residential")
+    tags = F.create_map(F.lit("kind"), kind, F.lit("building"), building, F.lit("landuse"), area)
+    e = table(spark, d, "events").select("user_id", "value", F.lit("node").alias("type"), F.col("event_id").alias("id"), tags.alias("tags"))
+    return P.poi_catchment(e, ["user_id"], "value", POI, (5.0, 20.0)).withColumn("parking_score", P.parking_bucket("parking_20_0km", "transit_20_0km"))
 
 
 @query("snapshot_cache_resolve", "SELECT c_custkey % 50 AS k, count(*) AS n_rows, max(CASE WHEN c_custkey % 50 < 10 THEN 2 ELSE 1 END) AS version FROM customer WHERE c_custkey % 50 < 30 GROUP BY ALL")

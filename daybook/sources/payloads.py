@@ -84,10 +84,32 @@ def country_bounds(bounds: DataFrame, lookback: int) -> DataFrame:
     return bounds.groupBy("country_code").agg(F.date_sub(F.min("min_dt"), lookback).alias("min_dt"), F.date_add(F.max("max_dt"), 1).alias("max_dt"))
 
 
+# Residents that a building of a kind, and a residential area, stand for.
+RESIDENTS = {"apartments": 40.0, "residential": 18.0, "house": 3.0, "detached": 3.0, "semidetached_house": 4.0, "terrace": 6.0}
+AREA_RESIDENTS = 120.0
+
+
+def residents(tags: str = "tags") -> Column:
+    """What an element adds to the population: by its kind of building, else by residential land use, else null."""
+    tag = lambda k: F.element_at(tags, F.lit(k))
+    building = F.coalesce(*[F.when(tag("building") == k, w) for k, w in RESIDENTS.items()])
+    return F.coalesce(building, F.when(tag("landuse") == "residential", AREA_RESIDENTS))
+
+
+def parking_bucket(parking: str, transit: str) -> Column:
+    """high, medium, low or unknown, by the numbers of car parks and of stations around."""
+    p, t = F.col(parking), F.col(transit)
+    return F.when(p >= 4, "high").when((p >= 1) & (t <= 2), "medium").when((p >= 1) | (t > 0), "low").otherwise("unknown")
+
+
 def poi_catchment(elements: DataFrame, keys: Sequence[str], radius: str, tags: dict[str, tuple[str, str]], rings: Sequence[float] = (0.5, 1.0, 3.0)) -> DataFrame:
-    """Distinct points of interest by tag predicate within rings (km); elements: (keys, radius, type, id, tags map)."""
-    counts = [F.countDistinct(F.when((F.col(radius) <= r) & (F.element_at("tags", F.lit(k)) == v), F.struct("type", "id"))).alias(f"{name}_{str(r).replace('.', '_')}km") for name, (k, v) in tags.items() for r in rings]
-    return elements.groupBy(*keys).agg(*counts)
+    """Distinct points of interest by tag predicate and the population proxy within rings (km); elements: (keys,
+    radius, type, id, tags map). A point that comes several times counts once, with its largest number of residents."""
+    within = lambda r: F.col(radius) <= r
+    counts = {f"{name}_{str(r).replace('.', '_')}km": within(r) & (F.element_at("tags", F.lit(k)) == v) for name, (k, v) in tags.items() for r in rings}
+    people = {f"population_{str(r).replace('.', '_')}km": F.when(within(r), residents()) for r in rings}
+    points = elements.groupBy(*keys, "type", "id").agg(*[F.max(there).alias(n) for n, there in counts.items()], *[F.max(w).alias(n) for n, w in people.items()])
+    return points.groupBy(*keys).agg(*[F.count_if(n).alias(n) for n in counts], *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in people])
 
 
 def cache_key(source: str, location: str, lat: str, lon: str) -> Column:

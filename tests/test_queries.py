@@ -10,7 +10,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["dense_panel", "feature_panel", "join_asof_macro", "win_ffill_limited", "split_holdout_months", "sample_stratified_topup", "bl_metrics_rank", "decision_score_segmented", "dq_incident_log", "training_bundle", "reference_feature_frame", "feature_contract", "residual_qq", "economic_gain", "bl_resolve", "shape_diagnostics", "daily_refit_report"]
+SOME = ["dense_panel", "feature_panel", "join_asof_macro", "win_ffill_limited", "split_holdout_months", "sample_stratified_topup", "bl_metrics_rank", "decision_score_segmented", "dq_incident_log", "training_bundle", "reference_feature_frame", "feature_contract", "residual_qq", "economic_gain", "bl_resolve", "shape_diagnostics", "daily_refit_report", "poi_catchment"]
 
 
 def test_entry_points_work_without_llm():
