@@ -394,7 +394,7 @@ def test_ids_are_the_models_own_and_decoding_returns_the_text(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     r = random.Random(11)
     texts = ["  two  blanks", "naïve café 日本 ✈ \U0001f600", "\n\tx", " ", "unbelievable antidisestablishmentarianism", "a" * 3000, "aaa aaaa aaaaa abababab", "­﻿x"]
-    texts += [" ".join("".join(r.choice("abcdeéintosr漢▁'-.0123") for _ in range(r.randint(1, 14))) for _ in range(30)) for _ in range(200)]
+    texts += [" ".join("".join(r.choice("abcdeéintosr漢▁'-._,);²…0123") for _ in range(r.randint(1, 14))) for _ in range(30)) for _ in range(200)]
     texts += [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t]
     ids = m.encode(texts)
     assert m.decode(ids) == [t.replace("▁", " ") for t in texts]
