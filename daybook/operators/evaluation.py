@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from daybook.functions.columns import RECOVERY_RATES
+from daybook.operators.histories import expanding_quantile, exponential_mean
 from daybook.operators.relational import date_ranks, head_fraction, over, safe_corr, with_scalar
+from daybook.operators.strata import first_rows, pin
 
 # ---------------------------------------------------------------- splits and folds
 
@@ -100,8 +100,7 @@ def chunked_folds(df: DataFrame, n: int, day: str = "dt") -> DataFrame:
 def sample_series(df: DataFrame, f: float, strata: Sequence[str], key: Sequence[str]) -> DataFrame:
     """Whole series, ceil(n f) of each stratum and at least one, in the order of their keys' MD5."""
     k = df.select(*dict.fromkeys([*strata, *key])).distinct().withColumn("__h", F.md5(F.concat_ws("|", *key)))
-    k = k.withColumn("__r", F.row_number().over(over(strata, ["__h", *key]))).withColumn("__n", F.count("*").over(Window.partitionBy(*strata)))
-    keep = k.where(F.col("__r") <= F.least(F.col("__n"), F.greatest(F.lit(1), F.ceil(F.col("__n") * f))))
+    keep = first_rows(k, strata, ["__h", *key], lambda n: F.least(n, F.greatest(F.lit(1), F.ceil(n * f))))
     return df.join(keep.select(*dict.fromkeys([*strata, *key])), list(dict.fromkeys([*strata, *key])), "left_semi")
 
 
@@ -112,12 +111,12 @@ def sample_rows(df: DataFrame, f: float, strata: Sequence[str], key: Sequence[st
 
 def sample_rows_topup(df: DataFrame, f: float, strata: Sequence[str], key: Sequence[str], source: str, min_rows: int) -> DataFrame:
     """``sample_rows``, and for each source more rows in key order up to max(ceil(N f), min_rows)."""
-    taken = sample_rows(df, f, strata, key)
+    taken = pin(sample_rows(df, f, strata, key))
     size = df.groupBy(source).agg(F.count("*").alias("__N"))
     have = taken.groupBy(source).agg(F.count("*").alias("__k"))
-    lack = size.join(have, source, "left").select(source, (F.greatest(F.ceil(F.col("__N") * f), F.lit(min_rows)) - F.coalesce("__k", F.lit(0))).alias("__lack"))
-    rest = df.join(taken.select(*key), list(key), "left_anti").withColumn("__r", F.row_number().over(over([source], list(key))))
-    return taken.unionByName(rest.join(lack, source).where("__r <= __lack").drop("__r", "__lack"))
+    lack = size.join(have, source, "left").select(source, (F.greatest(F.ceil(F.col("__N") * f), F.lit(min_rows)) - F.coalesce("__k", F.lit(0))).alias("__k"))
+    rest = df.join(taken.select(*key), list(key), "left_anti")
+    return taken.unionByName(first_rows(rest, [source], list(key), lack))
 
 
 def sampling_report(df: DataFrame, sample: DataFrame, source: str, strata: Sequence[str]) -> DataFrame:
@@ -164,29 +163,17 @@ def baseline(df: DataFrame, name: str, keys: Sequence[str], y: str = "demand", d
     elif name == "same_weekday_mean_expanding":
         e = F.coalesce(F.avg(y).over(ww.rowsBetween(Window.unboundedPreceding, -1)), last)
     elif name == "same_weekday_median_expanding":
-        e = F.coalesce(F.percentile(y, 0.5).over(ww.rowsBetween(Window.unboundedPreceding, -1)), last)
+        of_day = df.withColumns({"__last": last, "__weekday": F.weekday(day)})
+        return expanding_quantile(of_day, [*keys, "__weekday"], day, y, name).withColumn(name, F.coalesce(name, "__last")).drop("__last", "__weekday")
     elif name == "expanding_median":
-        e = F.percentile(y, 0.5).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return expanding_quantile(df, keys, day, y, name)
     elif kind == "ewm_span":
-        return _ewm(df, name, k, keys, y, day)
+        return exponential_mean(df, keys, day, y, name, k)
     else:
         raise ValueError(name)
     return df.withColumn(name, e)
 
 
-def _ewm(df: DataFrame, name: str, k: int, keys: Sequence[str], y: str, day: str) -> DataFrame:
-    """Long recursive histories, one series at a time in numpy; a series is bounded by its calendar."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(day)
-        s = f[y].astype(float)
-        f[name] = s.ewm(span=k, adjust=False).mean().shift(1)
-        return f
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{name}` double"
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
 # Columns that may hold each baseline already, in this order.
 PRECOMPUTED = {
     "naive_lag_1": ("sale_amount_lag_1", "lag_1"),
@@ -454,15 +441,12 @@ def cancel_returns(lines: DataFrame, product: str, order: Sequence[str], quantit
     rise no later H undercuts. The ordered lines are dealt by range, so a product is cut into blocks; each block
     gives its sum and its least running sum, then its least H, and windows over blocks alone carry these on.
     """
-    sc = lines.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # only where the session names none, as in local tests
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     by = [F.col(c).asc_nulls_last() for c in order]
     block = Window.partitionBy(product, "__block")
     onward = block.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dealt = lines.withColumn("__q", F.coalesce(F.nanvl(F.col(quantity).cast("double"), F.lit(0.0)), F.lit(0.0))).repartitionByRange(F.col(product).asc(), *by)
     run = dealt.withColumn("__block", F.spark_partition_id()).withColumns({"__sum": F.sum("__q").over(onward), "__at": F.row_number().over(block.orderBy(*by))})
-    run = run.withColumn("__least", F.min("__sum").over(block.orderBy("__at"))).checkpoint()  # blocks are read twice and must not move
+    run = pin(run.withColumn("__least", F.min("__sum").over(block.orderBy("__at"))))  # blocks are read twice and must not move
     blocks = Window.partitionBy(product).orderBy("__block")
     before, after = blocks.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(product).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from daybook.operators.strata import first_rows
+
 SMALL_ROWS = 100_000
 
 # ---------------------------------------------------------------- joins
@@ -327,10 +329,9 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def head_fraction(df: DataFrame, strata: Sequence[str], order: Sequence[Column | str], f: float) -> DataFrame:
-    """The first floor(n f) rows of each stratum."""
-    r = df.withColumn("__r", F.row_number().over(over(strata, order))).withColumn("__n", F.count("*").over(Window.partitionBy(*strata)))
-    return r.where(F.col("__r") <= F.floor(F.col("__n") * f)).drop("__r", "__n")
+def head_fraction(df: DataFrame, strata: Sequence[str], order: Sequence[str], f: float) -> DataFrame:
+    """The first floor(n f) rows of each stratum, however large it is."""
+    return first_rows(df, strata, order, lambda n: F.floor(n * f))
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

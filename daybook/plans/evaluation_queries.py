@@ -358,7 +358,16 @@ def _(spark, d):
     return E.refit_report(predictions(spark, d))
 
 
-@query("return_cancellation")
+@query(
+    "return_cancellation",
+    """WITH r AS (SELECT product_id, dt, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -quantity ELSE quantity END AS q FROM lines),
+s AS (SELECT *, sum(q) OVER (PARTITION BY product_id ORDER BY dt, l_orderkey, l_linenumber, q) AS s FROM r),
+h AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY product_id ORDER BY dt, l_orderkey, l_linenumber, q)) AS h FROM s),
+e AS (SELECT *, min(h) OVER (PARTITION BY product_id ORDER BY dt, l_orderkey, l_linenumber, q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM h),
+k AS (SELECT product_id, CASE WHEN e >= h THEN q ELSE e - (h - q) END AS kept FROM e WHERE q > 0)
+SELECT product_id, count(*) AS n_lines, sum(kept) AS quantity FROM k WHERE kept > 0 GROUP BY ALL""",
+    "lines",
+)
 def _(spark, d):
     lines = TD.order_lines(spark, d).select("product_id", "dt", "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", -F.col("quantity")).otherwise(F.col("quantity")).alias("quantity"))
     return E.cancel_returns(lines, "product_id", ["dt", "l_orderkey", "l_linenumber", "quantity"], "quantity").groupBy("product_id").agg(F.count("*").alias("n_lines"), F.sum("quantity").alias("quantity"))
@@ -396,18 +405,85 @@ def _(spark, d):
     return spark.createDataFrame([(c,) for c in FS.drop_constant(f, [*FEATS, "one"])], "feature string")
 
 
-@query("fs_pearson_redundancy")
+#: Candidates of the selection: the features, a constant, two that repeat another one linearly, one that does otherwise.
+DERIVED = {"one": "1.0", "twice": "2 * l1", "shifted": "5 - 3 * m7", "shelf": "least(l7, 20)"}
+ALL_FEATS = [*FEATS, *DERIVED]
+XSQL = f"{FSQL}, x AS (SELECT y, l1, l7, m7, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in DERIVED.items()) + " FROM q)"
+
+
+def more_features(spark, d):
+    return features(spark, d).withColumns({n: F.expr(e).cast("double") for n, e in DERIVED.items()})
+
+
+def _pairs_sql(cols, tie, name="t"):
+    """``t(a, b, v)``: both ways round, the association of each pair of features, by ``tie(a, b)``."""
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ({tie(a, b)}) AS v" for a in cols for b in cols if a != b) + ")"
+
+
+def _greedy_sql(cols, limit=0.95, name="kept", ties="t", among="true"):
+    """``kept(feature)``: strongest first by the correlation with y, unless ``ties`` has a kept feature with it."""
+    own = " UNION ALL ".join(f"SELECT '{c}' AS f, coalesce(round(abs(corr({c}, y)), 12), 0) AS c FROM x" for c in cols)
+    return f"""o{name} AS (SELECT f, row_number() OVER (ORDER BY c DESC, f) AS r, (SELECT coalesce(list(b), []) FROM {ties} WHERE a = f AND v > {limit}) AS rivals FROM ({own}) WHERE {among}),
+walk{name} AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS taken UNION ALL SELECT o.r, CASE WHEN len(list_intersect(w.taken, o.rivals)) > 0 THEN w.taken ELSE list_append(w.taken, o.f) END FROM walk{name} w JOIN o{name} o ON o.r = w.r + 1),
+{name} AS (SELECT unnest(taken) AS feature FROM (SELECT taken FROM walk{name} ORDER BY r DESC LIMIT 1))"""
+
+
+def _pearson_sql(a, b):
+    return f"SELECT coalesce(abs(nullif(corr({a}, {b}), 'nan'::DOUBLE)), 0) FROM x WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+
+
+def _ratio_sql(a, b):
+    """The correlation ratio of b on bins of a at quantiles."""
+    edges = f"SELECT list_distinct(quantile_cont({a}, [{', '.join(f'{i / 20}' for i in range(1, 20))}])) AS e FROM x"
+    bins = f"SELECT count(*) AS n, avg({b}) AS m, count(*) * var_pop({b}) AS inside FROM x, ({edges}) WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY len(list_filter(e, lambda k: {a} > k))"
+    between = "sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)"
+    return f"SELECT coalesce(sqrt(greatest(0, {between}) / nullif(greatest(0, {between}) + sum(inside), 0)), 0) FROM ({bins}) HAVING count(*) > 1"
+
+
+def _ratios_sql(cols):
+    return f"{_pairs_sql(cols, _ratio_sql, 'eta')}, t AS (SELECT e.a, e.b, greatest(coalesce(e.v, 0), coalesce(f.v, 0)) AS v FROM eta e JOIN eta f ON e.a = f.b AND e.b = f.a)"
+
+
+def _net_sql(cols, among=None, strength=0.01, mix=0.5, rounds=400):
+    """``net(feature, importance)``: coordinate descent on the correlations of the zero-imputed features, those of ``among`` if that is named."""
+    t, u = strength * mix, 1 + strength * (1 - mix)
+    k = range(len(cols))
+    pairs = [(i, j) for i in k for j in k if i < j]
+    there = lambda c: f"(SELECT count(*) FROM {among} WHERE feature = '{c}')" if among else "1"
+    stats = ", ".join([f"coalesce(nullif(corr(x{i}, x{j}), 'nan'::DOUBLE), 0) AS g{i}_{j}" for i, j in pairs] + [f"coalesce(covar_pop(x{i}, y) / nullif(stddev_pop(x{i}), 0), 0) * {there(c)} AS r{i}, {there(c)} AS k{i}" for i, c in enumerate(cols)])
+    inner = "w"
+    for i in k:
+        rest = f"(r{i}" + "".join(f" - g{min(i, j)}_{max(i, j)} * {'n' if j < i else 'w'}{j}" for j in k if j != i) + ")"
+        inner = f"(SELECT *, k{i} * sign({rest}) * greatest(abs({rest}) - {t}, 0) / {u} AS n{i} FROM {inner})"
+    names = ", ".join([*(f"g{i}_{j}" for i, j in pairs), *(f"r{i}, k{i}" for i in k)])
+    step = f"SELECT it + 1, {', '.join(f'n{i}' for i in k)}, {names} FROM {inner} WHERE it < {rounds}"
+    return f"""z AS (SELECT y, {', '.join(f'CAST(coalesce({c}, 0) AS DOUBLE) AS x{i}' for i, c in enumerate(cols))} FROM x WHERE y IS NOT NULL),
+s AS (SELECT {stats} FROM z),
+w AS (SELECT 0 AS it, {', '.join(f'0::DOUBLE AS w{i}' for i in k)}, {names} FROM s UNION ALL {step}),
+net AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, abs(w{i}) AS importance FROM w WHERE it = {rounds} AND k{i} > 0" for i, c in enumerate(cols))})"""
+
+
+def recursive(sql):
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("fs_candidates", "SELECT unnest(['demand_real', 'lag_1_real', 'n_lines_real']) AS feature")
+def _(spark, d):
+    f = feature_panel(panel(spark, d), SERIES).select("demand", F.col("demand").alias("demand_real"), F.col("target_lag_1").alias("lag_1_real"), F.lit(1).alias("n_lines_real"), F.lit("x").alias("family_real"), F.col("dt").alias("dt_real"), F.col("target_lag_7").alias("lag_7_known"))
+    return spark.createDataFrame([(c,) for c in FS.candidates(f)], "feature string")
+
+
+@query("fs_pearson_redundancy", recursive(f"{XSQL}, {_pairs_sql(ALL_FEATS, _pearson_sql)}, {_greedy_sql(ALL_FEATS)} SELECT feature FROM kept"), "panel")
 def _(spark, d):
-    f = features(spark, d).withColumn("double_l1", F.col("l1") * 2)
-    return spark.createDataFrame([(c,) for c in FS.drop_correlated(f, [*FEATS, "double_l1"], "y")], "feature string")
+    return spark.createDataFrame([(c,) for c in FS.drop_correlated(more_features(spark, d), ALL_FEATS, "y")], "feature string")
 
 
-@query("fs_correlation_ratio_redundancy")
+@query("fs_correlation_ratio_redundancy", recursive(f"{XSQL}, {_ratios_sql(ALL_FEATS)}, {_greedy_sql(ALL_FEATS)} SELECT feature FROM kept"), "panel")
 def _(spark, d):
-    return spark.createDataFrame([(c,) for c in FS.drop_nonlinear(features(spark, d), FEATS, "y")], "feature string")
+    return spark.createDataFrame([(c,) for c in FS.drop_nonlinear(more_features(spark, d), ALL_FEATS, "y")], "feature string")
 
 
-@query("fs_elastic_net")
+@query("fs_elastic_net", recursive(f"{XSQL}, {_net_sql(FEATS)} SELECT feature, round(importance, 6) AS importance, round(importance / sum(importance) OVER (), 6) AS normalized_importance, importance > 1e-9 AS selected FROM net"), "panel")
 def _(spark, d):
     return FS.elastic_net(features(spark, d).where("y IS NOT NULL"), FEATS, "y")
 

@@ -13,7 +13,7 @@ from daybook.operators import evaluation as E
 from daybook.operators import relational as R
 from daybook.operators import selection as FS
 from daybook.plans import bundle as B
-from daybook.plans.evaluation_queries import HOLD, LONG, PRED, SER, WP, features, long_, predictions, segmented, series
+from daybook.plans.evaluation_queries import ALL_FEATS, FEATS, HOLD, LONG, PRED, SER, WP, XSQL, _greedy_sql, _net_sql, _pairs_sql, _pearson_sql, _ratios_sql, long_, more_features, predictions, recursive, segmented, series
 from daybook.plans.panel import feature_panel
 from daybook.plans.panel_queries import ALLOWED, GRAIN, MACRO_SQL, SERIES, G, K, macro_spine, panel, table
 from daybook.plans.registry import query
@@ -257,17 +257,23 @@ def _(spark, d):
     return a.join(b, ["product_id", "dt"]).groupBy("product_id").agg(F.count_if(mine < theirs).alias("better"), F.count_if(mine > theirs).alias("worse"), F.count("*").alias("n_rows"))
 
 
-@query("topk_features")
+@query("topk_features", recursive(f"{XSQL}, {_net_sql([*FEATS, 'shelf'])} SELECT feature, round(importance, 6) AS importance FROM net QUALIFY row_number() OVER (ORDER BY importance DESC, feature) <= 3"), "panel")
 def _(spark, d):
-    ranked = FS.elastic_net(features(spark, d).where("y IS NOT NULL"), ["l1", "l7", "m7"], "y")
-    return ranked.withColumn("r", F.row_number().over(R.Window.orderBy(F.desc("importance"), "feature"))).where("r <= 2").select("feature", "importance")
+    ranked = FS.elastic_net(more_features(spark, d).where("y IS NOT NULL"), [*FEATS, "shelf"], "y")
+    return ranked.orderBy(F.desc("importance"), "feature").limit(3).select("feature", "importance")
 
 
-@query("fs_pipeline")
+PIPE = [c for c in ALL_FEATS if c != "one"]
+
+
+@query(
+    "fs_pipeline",
+    recursive(f"{XSQL.replace('AS shelf FROM q)', 'AS shelf FROM q WHERE y IS NOT NULL)')}, {_pairs_sql(PIPE, _pearson_sql, 't1')}, {_greedy_sql(PIPE, name='first', ties='t1')}, {_ratios_sql(PIPE)}, {_greedy_sql(PIPE, name='second', ties='t', among='f IN (SELECT feature FROM first)')}, {_net_sql(PIPE, 'second')} SELECT feature, round(importance, 6) AS importance FROM net"),
+    "panel",
+)
 def _(spark, d):
-    f = features(spark, d).where("y IS NOT NULL")
-    kept = FS.drop_nonlinear(f, FS.drop_correlated(f, FS.drop_constant(f, ["l1", "l7", "m7"]), "y"), "y")
-    return FS.elastic_net(f, kept, "y")
+    got = FS.select_features(more_features(spark, d).where("y IS NOT NULL"), ALL_FEATS, "y")
+    return got.where("stage = 'kept'").select("feature", "importance")
 
 
 # ---- checks left

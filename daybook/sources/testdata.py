@@ -106,5 +106,6 @@ def with_ctes(names: str, body: str) -> str:
     for n in names.split():
         add(n)
     body = body.strip()
-    rest = ", " + body[5:] if body.upper().startswith("WITH ") else " " + body
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in order) + rest if order else body
+    word = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+    rest = ", " + body[len(word) :] if body.upper().startswith(word) else " " + body
+    return word + ", ".join(f"{n} AS ({CTES[n]})" for n in order) + rest if order else body
