@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from daybook.functions.columns import RECOVERY_RATES
+from daybook.functions.columns import MIN_LABEL_QUALITY, NON_TRAINABLE_SOURCES, RECOVERY_RATES
 from daybook.operators.histories import expanding_quantile, exponential_mean
 from daybook.operators.relational import date_ranks, head_fraction, over, safe_corr, with_scalar
 from daybook.operators.strata import first_rows, pin
@@ -318,36 +318,58 @@ PROFILES = {
 }
 
 
+#: Segments of products that have a cost profile of their own begin so.
+PRODUCT_SEGMENT = "product:"
+
+
 @dataclass(frozen=True)
 class DecisionConfig:
+    """Cost profiles of families, and of single products that have their own."""
+
     profiles: dict[str, CostProfile] = field(default_factory=lambda: dict(PROFILES))
+    products: dict[str, CostProfile] = field(default_factory=dict)
 
     def of(self, segment: str, attr: str) -> Column:
         out = F.lit(getattr(self.profiles.get("default", CostProfile()), attr))
-        for k, v in self.profiles.items():
+        for k, v in {**self.profiles, **{PRODUCT_SEGMENT + k: v for k, v in self.products.items()}}.items():
             out = F.when(F.col(segment) == k, getattr(v, attr)).otherwise(out)
         return out
 
+    def segment(self, family: str, product: str) -> Column:
+        """The product's own segment if it has a profile, else its family."""
+        own = F.col(product).cast("string")
+        return F.when(own.isin(*self.products), F.concat(F.lit(PRODUCT_SEGMENT), own)).otherwise(F.col(family)) if self.products else F.col(family)
 
-def decision_score(df: DataFrame, by: Sequence[str] = (), segment: str = "segment", y: str = "actual", p: str = "prediction", cfg: DecisionConfig | None = None) -> DataFrame:
-    """Asymmetric decision loss of each (by, segment): unit costs and penalties for biased plans.
 
-    Shortages up to 10 % of the actual demand are mild. Losses and biases are over the sum of |actual|,
-    or, where that is 0, over the larger of the row count, the sum of |prediction| and 1.
-    """
+def decision_sums(df: DataFrame, by: Sequence[str] = (), segment: str = "segment", y: str = "actual", p: str = "prediction", cfg: DecisionConfig | None = None) -> DataFrame:
+    """The sums of each (by, segment) that a decision loss is made of; sums of groups add up."""
     cfg = cfg or DecisionConfig()
     e = F.col(p) - F.col(y)
     under = F.greatest(-e, F.lit(0.0))
     mild = F.least(under, F.abs(F.col(y)) * cfg.of(segment, "mild_share"))
     rows = df.withColumns({"__over": F.greatest(e, F.lit(0.0)), "__mild": mild, "__severe": under - mild, "__e": e})
-    s = rows.groupBy(*by, segment).agg(F.count("*").alias("n_rows"), F.sum("__over").alias("over_units"), F.sum("__mild").alias("mild_units"), F.sum("__severe").alias("severe_units"), F.sum("__e").alias("__bias"), F.sum(F.abs(F.col(y))).alias("__y"), F.sum(F.abs(F.col(p))).alias("__p"))
+    return rows.groupBy(*by, segment).agg(F.count("*").alias("n_rows"), F.sum("__over").alias("over_units"), F.sum("__mild").alias("mild_units"), F.sum("__severe").alias("severe_units"), F.sum("__e").alias("__bias"), F.sum(F.abs(F.col(y))).alias("__y"), F.sum(F.abs(F.col(p))).alias("__p"), F.sum(F.abs(e)).alias("__abs"))
+
+
+def decided(s: DataFrame, segment: str = "segment", cfg: DecisionConfig | None = None) -> DataFrame:
+    """Losses of ``decision_sums``."""
+    cfg = cfg or DecisionConfig()
     den = F.when(F.col("__y") > 1e-8, F.col("__y")).otherwise(F.greatest(F.col("n_rows").cast("double"), F.col("__p"), F.lit(1.0)))
     s = s.withColumn("denominator", den)
     s = s.withColumn("economic_loss", F.col("over_units") * cfg.of(segment, "over") + F.col("mild_units") * cfg.of(segment, "mild") + F.col("severe_units") * cfg.of(segment, "severe"))
     s = s.withColumns({"normalized_loss": F.col("economic_loss") / F.col("denominator"), "normalized_bias": F.col("__bias") / F.col("denominator")})
     high = F.greatest(F.col("normalized_bias") - cfg.of(segment, "bias_goal"), F.lit(0.0)) * cfg.of(segment, "over_bias_weight")
     low = F.greatest(cfg.of(segment, "bias_floor") - F.col("normalized_bias"), F.lit(0.0)) * cfg.of(segment, "under_bias_weight")
-    return s.withColumns({"penalty": high + low, "decision_loss": F.col("normalized_loss") + high + low}).drop("__bias", "__y", "__p")
+    return s.withColumns({"penalty": high + low, "decision_loss": F.col("normalized_loss") + high + low})
+
+
+def decision_score(df: DataFrame, by: Sequence[str] = (), segment: str = "segment", y: str = "actual", p: str = "prediction", cfg: DecisionConfig | None = None) -> DataFrame:
+    """Asymmetric decision loss of each (by, segment): unit costs and penalties for biased plans.
+
+    Shortages up to 10 % of the actual demand are mild. Losses and biases are over the sum of |actual|,
+    or, where that is 0, over the larger of the row count, the sum of |prediction| and 1.
+    """
+    return decided(decision_sums(df, by, segment, y, p, cfg), segment, cfg).drop("__bias", "__y", "__p", "__abs")
 
 
 def segmented_score(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -356,6 +378,10 @@ def segmented_score(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scores.groupBy(*by).agg((F.sum("economic_loss") / d).alias("normalized_loss"), (F.sum(F.col("penalty") * F.col("denominator")) / d).alias("penalty"), (F.sum("economic_loss") / d + F.sum(F.col("penalty") * F.col("denominator")) / d).alias("decision_loss"))
 
 
+#: A product's predictions are flat below this share of the actual deviation.
+FLAT_RATIO = 0.5
+
+
 def shape_diagnostics(df: DataFrame, by: str, y: str = "actual", p: str = "prediction", high: float = 0.8, low: float = 0.2) -> DataFrame:
     """Whether predictions follow the shape of the actuals, per value of ``by``: spread and correlation, the error saved
     against predicting the mean or the median prediction, bias and error on days of high and of low actuals.
@@ -378,43 +404,148 @@ def shape_diagnostics(df: DataFrame, by: str, y: str = "actual", p: str = "predi
     )
 
 
+def shape_summary(per: DataFrame) -> DataFrame:
+    """One row over the products of ``shape_diagnostics``: the spread of their sigma ratios and correlations, how many predictions are flatter
+    than half the actual spread, and for how many products a constant would have been better."""
+    stats = lambda c: [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    return per.agg(
+        F.count("*").alias("product_count"),
+        F.sum("n_rows").alias("row_count"),
+        *[(F.sum(F.col(c) * F.col("n_rows")) / F.sum("n_rows")).alias(c) for c in ("gain_vs_mean", "gain_vs_median")],
+        F.count_if(F.col("gain_vs_mean") < 0).alias("constant_mean_beats_model"),
+        F.count_if(F.col("gain_vs_median") < 0).alias("constant_median_beats_model"),
+        F.count_if(F.col("sigma_ratio") < FLAT_RATIO).alias("low_variance_products"),
+        *stats("sigma_ratio"),
+        *stats("correlation"),
+    )
+
+
+def shape_daily(df: DataFrame, day: str = "dt", y: str = "actual", p: str = "prediction", base: str | None = None) -> DataFrame:
+    """One row over the days' totals: how they go together, their mean errors and, with a baseline, on how many days which one is nearer."""
+    names = {"model": p, **({"baseline": base} if base else {})}
+    daily = df.groupBy(day).agg(F.sum(y).alias("a"), *[x for n, c in names.items() for x in (F.sum(c).alias(n), F.avg(F.abs(F.col(c) - F.col(y))).alias(f"{n}_mae"))])
+    out = [F.count("*").alias("day_count")]
+    for n in names:
+        out += [F.avg(f"{n}_mae").alias(f"daily_{n}_mae"), F.avg(F.abs(F.col(n) - F.col("a"))).alias(f"daily_{n}_total_error"), safe_corr(n, "a").alias(f"daily_{n}_correlation")]
+    if base:
+        m, b = F.col("model_mae"), F.col("baseline_mae")
+        out += [F.count_if(m < b).alias("days_model_better"), F.count_if(b < m).alias("days_baseline_better"), F.count_if(m == b).alias("days_equal")]
+    return daily.agg(*out)
+
+
 def refit_report(df: DataFrame, date: str = "dt", y: str = "actual", p: str = "prediction") -> DataFrame:
-    """Per evaluation date: rows, rows of all dates before it, MAE and RMSE. The running sum is over one row a date."""
-    daily = df.groupBy(F.col(date).alias("eval_date")).agg(F.count("*").alias("n_rows"), mae(y, p).alias("mae"), rmse(y, p).alias("rmse"))
-    before = Window.orderBy("eval_date").rowsBetween(Window.unboundedPreceding, -1)
-    return daily.withColumn("history_rows", F.coalesce(F.sum("n_rows").over(before), F.lit(0).cast("long")))
+    """Per evaluation date: its place, rows, rows of all dates before it, MAE, RMSE and the parameters of its calibration.
+
+    Parameters come from the columns that ``ls_walk_forward`` (rows, slope, intercept) and ``apply_calibration`` (scopes) leave, if they
+    are there: a date has one least-squares calibration and as many economic scopes as its rows have. The running sum is over one row a date.
+    """
+    there = lambda c, agg, other: (agg(c) if c in df.columns else F.lit(other)).alias
+    scopes = F.array_join(F.array_sort(F.collect_set("calibration_scope")), ",") if "calibration_scope" in df.columns else F.lit("none")
+    daily = df.groupBy(F.col(date).alias("eval_date")).agg(
+        F.count("*").alias("n_rows"), mae(y, p).alias("mae"), rmse(y, p).alias("rmse"),
+        there("ls_slope", F.max, 1.0)("calibration_slope"), there("ls_intercept", F.max, 0.0)("calibration_intercept"), there("ls_rows", F.max, 0)("calibration_rows"), scopes.alias("economic_scopes"),
+    )
+    daily = daily.withColumn("economic_applied", ~F.col("economic_scopes").isin("none", ""))
+    w = Window.orderBy("eval_date")
+    return daily.withColumns({"fold": F.row_number().over(w), "history_rows": F.coalesce(F.sum("n_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
 
 
 # The grid of the economic calibration.
 GRID_SLOPES, GRID_INTERCEPTS = (0.90, 0.95, 1.0, 1.05), (-3.0, -2.0, -1.0, 0.0, 1.0)
 
 
-def fit_calibration(df: DataFrame, segment: str = "segment", min_rows: int = 60, guard: float = 1.05, y: str = "actual", p: str = "prediction", cfg: DecisionConfig | None = None) -> DataFrame:
-    """(key, slope, intercept, raw_loss, loss) of each segment with enough rows, by a grid of 4 x 5 points.
+SCALES = ("prediction_p2_5", "prediction_p10", "prediction_p50", "prediction_p90", "prediction_p97_5", "lower_80", "upper_80", "lower_95", "upper_95")
+
+
+def fit_calibration(df: DataFrame, segment: str = "segment", product: str | None = None, min_rows: int = 60, guard: float = 1.05, y: str = "actual", p: str = "prediction", cfg: DecisionConfig | None = None) -> DataFrame:
+    """(scope, key, slope, intercept, raw_loss, loss, raw_wape, wape, applied, n_rows): the best of a grid of 4 x 5 points for all rows
+    (scope and key ``global``), for each family and for each product with a profile of its own that have ``min_rows`` rows.
 
-    A point counts if its WAPE is at most ``guard`` times the raw one and its decision loss is smaller;
-    of equal ones the first wins. The grid is a literal array, so all points share one pass.
+    ``segment`` holds families, or ``product:`` and the product as ``DecisionConfig.segment`` gives it; such segments are no families. A
+    point counts if its WAPE is at most ``guard`` times the raw one and its decision loss is smaller than the raw one; of equal ones the
+    first wins. All points and scopes come from one pass over the rows: sums by grid point, segment and configured product, which
+    add up to those of the scopes (a few thousand rows at most).
     """
+    cfg = cfg or DecisionConfig()
     points = [F.struct(F.lit(-1).alias("k"), F.lit(1.0).alias("slope"), F.lit(0.0).alias("intercept"))]
     points += [F.struct(F.lit(i * len(GRID_INTERCEPTS) + j).alias("k"), F.lit(a).alias("slope"), F.lit(b).alias("intercept")) for i, a in enumerate(GRID_SLOPES) for j, b in enumerate(GRID_INTERCEPTS)]
-    rows = df.select(segment, y, p, F.explode(F.array(*points)).alias("g")).select(segment, y, p, "g.*")
-    rows = rows.withColumn("__p", F.when(F.col("k") < 0, F.col(p)).otherwise(F.greatest(F.col(p) * F.col("slope") + F.col("intercept"), F.lit(0.0))))
+    own = F.when(F.col(product).cast("string").isin(*cfg.products), F.col(product).cast("string")) if product and cfg.products else F.lit(None).cast("string")
+    rows = df.select(F.col(segment).alias("__segment"), own.alias("__own"), F.col(y).cast("double").alias("__actual"), F.col(p).cast("double").alias("__raw"), F.explode(F.array(*points)).alias("g")).select("*", "g.*").drop("g")
+    rows = rows.withColumn("__forecast", F.when(F.col("k") < 0, F.col("__raw")).otherwise(F.greatest(F.col("__raw") * F.col("slope") + F.col("intercept"), F.lit(0.0))))
     by = ["k", "slope", "intercept"]
-    scores = decision_score(rows, by, segment, y, "__p", cfg).join(rows.groupBy(*by, segment).agg(wape(y, "__p").alias("wape")), [*by, segment])
-    raw = scores.where("k = -1").select(segment, F.col("decision_loss").alias("raw_loss"), F.col("wape").alias("raw_wape"))
-    tried = scores.join(raw, segment).where(f"n_rows >= {min_rows}")
-    fine = tried.where((F.col("k") < 0) | ((F.col("wape") <= F.col("raw_wape") * guard) & (F.col("decision_loss") < F.col("raw_loss"))))
-    best = fine.withColumn("__r", F.row_number().over(Window.partitionBy(segment).orderBy("decision_loss", "k"))).where("__r = 1")
-    return best.select(F.col(segment).alias("key"), "slope", "intercept", "raw_loss", F.col("decision_loss").alias("loss"), (F.col("k") >= 0).alias("applied"), "n_rows")
-
-
-def apply_calibration(df: DataFrame, cal: DataFrame, segment: str = "segment", p: str = "prediction") -> DataFrame:
-    """The segment's entry, else the global one (key ``global``), else none; never below 0; raw kept."""
-    one = cal.select(F.col("key").alias(segment), F.col("slope").alias("__s"), F.col("intercept").alias("__i"))
-    glob = cal.where("key = 'global'").agg(F.first("slope").alias("__gs"), F.first("intercept").alias("__gi"))
-    out = with_scalar(df.join(one, segment, "left"), glob)
-    s, i = F.coalesce("__s", "__gs", F.lit(1.0)), F.coalesce("__i", "__gi", F.lit(0.0))
-    return out.withColumn("prediction_uncalibrated", F.col(p)).withColumn(p, F.greatest(F.col(p) * s + i, F.lit(0.0))).drop("__s", "__i", "__gs", "__gi")
+    sums = decision_sums(rows, [*by, "__own"], "__segment", "__actual", "__forecast", cfg)
+    scope = lambda name, key: F.struct(F.lit(name).alias("scope"), key.alias("key"))
+    scopes = F.array(
+        scope("global", F.lit("global")),
+        F.when(F.col("__segment").isNotNull() & ~F.col("__segment").startswith(PRODUCT_SEGMENT), scope("family", F.col("__segment"))),
+        F.when(F.col("__own").isNotNull(), scope("product", F.col("__own"))),
+    )
+    names = [c for c in sums.columns if c not in (*by, "__own", "__segment")]
+    of = sums.withColumn("s", F.explode(F.filter(scopes, lambda x: x.isNotNull()))).select("*", "s.*").groupBy("scope", "key", *by, "__segment").agg(*[F.sum(c).alias(c) for c in names])
+    d = F.greatest(F.sum("denominator"), F.lit(1e-12))
+    error = F.when(F.sum("__y") <= 1e-8, float("inf")).otherwise(F.sum("__abs") / F.nullif(F.sum("__y"), F.lit(0.0)))
+    loss = (F.sum("economic_loss") + F.sum(F.col("penalty") * F.col("denominator"))) / d
+    scores = decided(of, "__segment", cfg).groupBy("scope", "key", *by).agg(loss.alias("loss"), error.alias("wape"), F.sum("n_rows").alias("n_rows"))
+    whole = Window.partitionBy("scope", "key")
+    raw = lambda c: F.max(F.when(F.col("k") < 0, F.col(c))).over(whole)
+    tried = scores.withColumns({"raw_loss": raw("loss"), "raw_wape": raw("wape")}).where((F.col("scope") == "global") | (F.col("n_rows") >= min_rows))
+    fine = tried.where((F.col("k") < 0) | ((F.col("wape") <= F.col("raw_wape") * guard) & (F.col("loss") < F.col("raw_loss"))))
+    best = fine.withColumn("__r", F.row_number().over(whole.orderBy("loss", "k"))).where("__r = 1")
+    return best.select("scope", "key", "slope", "intercept", "raw_loss", "loss", "raw_wape", "wape", (F.col("k") >= 0).alias("applied"), "n_rows")
+
+
+def apply_calibration(df: DataFrame, cal: DataFrame, segment: str = "segment", product: str | None = None, p: str = "prediction", scales: Sequence[str] = SCALES) -> DataFrame:
+    """Predictions, and those columns of ``scales`` that are there, by the first entry that applies: the product's, the family's, the global one.
+
+    Never below 0. Adds the prediction as it was, its rounded value, and the scope, key, slope and intercept of the entry (``none``, an
+    empty key, 1 and 0 where none applies).
+    """
+    used = cal.where("applied").select("scope", F.col("key").alias("__key"), F.struct("scope", "key", "slope", "intercept").alias("__entry"))
+    of = lambda scope, out: used.where(F.col("scope") == scope).select("__key", F.col("__entry").alias(out))
+    out = df
+    for scope, key, name in (("product", product, "__p"), ("family", segment, "__f")):
+        if key:
+            out = out.join(of(scope, name), F.col(key).cast("string") == F.col("__key"), "left").drop("__key")
+        else:
+            out = out.withColumn(name, F.lit(None).cast(cal.select(F.struct("scope", "key", "slope", "intercept").alias("x")).schema["x"].dataType))
+    out = with_scalar(out, of("global", "__g").agg(F.first("__g").alias("__g")))
+    out = out.withColumn("__use", F.coalesce("__p", "__f", "__g"))
+    slope, intercept = F.coalesce("__use.slope", F.lit(1.0)), F.coalesce("__use.intercept", F.lit(0.0))
+    moved = lambda c: F.when(F.col("__use").isNull(), F.col(c)).otherwise(F.greatest(F.col(c) * slope + intercept, F.lit(0.0)))
+    out = out.withColumn("prediction_uncalibrated", F.col(p)).withColumns({c: moved(c) for c in [p, *scales] if c in df.columns})
+    audit = {"prediction_rounded": F.rint(p), "calibration_scope": F.coalesce("__use.scope", F.lit("none")), "calibration_key": F.coalesce("__use.key", F.lit("")), "calibration_slope": slope, "calibration_intercept": intercept}
+    return out.withColumns(audit).drop("__p", "__f", "__g", "__use")
+
+
+def flag_of(df: DataFrame, c: str) -> Column:
+    """A flag column of any kind as a boolean: numbers other than 0, and the words 1, true, t, yes and y; what is missing is false."""
+    kind = dict(df.dtypes)[c]
+    if kind == "boolean":
+        return F.coalesce(F.col(c), F.lit(False))
+    if kind == "string":
+        return F.coalesce(F.lower(F.trim(c)).isin("1", "true", "t", "yes", "y"), F.lit(False))
+    return F.coalesce(F.col(c) != 0, F.lit(False))
+
+
+def fallback(df: DataFrame, p: str = "prediction", base: str = "baseline") -> DataFrame:
+    """The baseline in place of a prediction whose target is not fit to learn from, where there is a baseline.
+
+    That is so if any of those columns that the table has says it: a source of no observations, not usable, censored, a label quality
+    that is missing or below 0.75. Adds prediction_raw, prediction_rounded and prediction_policy.
+    """
+    away = F.lit(False)
+    if "target_source" in df.columns:
+        away |= F.coalesce(F.col("target_source").isin(*NON_TRAINABLE_SOURCES), F.lit(False))
+    if "usable_for_training_flag" in df.columns:
+        away |= ~flag_of(df, "usable_for_training_flag")
+    if "censor_flag" in df.columns:
+        away |= flag_of(df, "censor_flag")
+    if "label_quality_score" in df.columns:
+        quality = F.col("label_quality_score").cast("double")
+        away |= quality.isNull() | F.isnan(quality) | (quality < MIN_LABEL_QUALITY)
+    away &= F.col(base).isNotNull() & ~F.isnan(F.col(base).cast("double"))
+    raw = F.when(away, F.col(base)).otherwise(F.col(p))
+    return df.withColumns({"prediction_raw": raw, "prediction_rounded": F.rint(raw), "prediction_policy": F.when(away, "baseline_non_trainable_or_low_quality").otherwise("model")})
 
 
 def ls_walk_forward(df: DataFrame, lo: float = 0.5, hi: float = 1.5, min_rows: int = 30, day: str = "dt", y: str = "actual", p: str = "prediction") -> DataFrame:
@@ -488,6 +619,29 @@ def leaks(df: DataFrame, banned: Sequence[str], y: str, usable: str = "usable_fo
     return one.unpivot([], one.columns, "violation", "n_rows").where("n_rows > 0")
 
 
+def violations_split(df: DataFrame, source: str, months: dict[str, int], prefixes: Sequence[str] = (), latest: DataFrame | None = None, bucket: str = "split_bucket", day: str = "dt") -> DataFrame:
+    """Sources whose splits break the contract, with what was found: (violation, source, n_splits, rows and first and last days of the splits).
+
+    A source of ``months`` must have the three splits in the order of time and test days in the last so many months only (before its last day in
+    ``latest``: (source, max_dt), by default of the table itself); one that begins with a prefix must have the three; any other is unexpected.
+    """
+    of = lambda name: F.col(bucket) == name
+    g = df.groupBy(source).agg(
+        F.countDistinct(bucket).alias("n_splits"),
+        *[F.count_if(of(n)).alias(f"{n}_rows") for n in ("train", "val", "test")],
+        *[F.min(F.when(of(n), F.col(day))).alias(f"{n}_min_dt") for n in ("train", "val", "test")],
+        F.max(F.when(of("train"), F.col(day))).alias("train_max_dt"),
+    )
+    latest = latest if latest is not None else df.groupBy(source).agg(F.max(day).alias("max_dt"))
+    g = g.join(latest.select(source, F.col("max_dt").alias("__max")), source, "left")
+    holdout = F.coalesce(*[F.when(F.col(source) == k, F.lit(v)) for k, v in months.items()], F.lit(None).cast("int"))
+    part = F.coalesce(*[F.when(F.col(source).startswith(x), F.lit(True)) for x in prefixes], F.lit(False))
+    lacks = (F.col("n_splits") != 3) | (F.col("train_rows") == 0) | (F.col("val_rows") == 0) | (F.col("test_rows") == 0)
+    order = (F.col("train_max_dt") >= F.col("val_min_dt")) | (F.col("val_min_dt") >= F.col("test_min_dt")) | (F.col("test_min_dt") <= F.add_months(F.col("__max"), -holdout))
+    broken = F.when(holdout.isNotNull(), F.when(lacks | F.coalesce(order, F.lit(False)), "train_val_test_holdout_contract")).when(part, F.when(lacks, "three_splits_contract")).otherwise("unexpected_source")
+    return g.select(broken.alias("violation"), "*").where("violation IS NOT NULL").drop("__max")
+
+
 def violations_expression(df: DataFrame, rule: str) -> DataFrame:
     return df.where(F.coalesce(~F.expr(rule), F.lit(False)))
 

@@ -50,8 +50,10 @@ def minus_rows(df: DataFrame, taken: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Every row with the columns of a relation of one row (an aggregate without keys)."""
-    return df.crossJoin(F.broadcast(one_row.limit(1)))
+    """Every row with the columns of a relation of one row (an aggregate without keys); one of several rows is an error."""
+    two = one_row.limit(2).agg(F.collect_list(F.struct(*one_row.columns)).alias("__rows")).where(F.size("__rows") > 0)
+    only = F.when(F.size("__rows") == 1, F.get("__rows", F.lit(0))).otherwise(F.raise_error(F.lit("a scalar relation has several rows")))
+    return df.crossJoin(F.broadcast(two.select(only.alias("__one")).select("__one.*")))
 
 
 def densify(bounds: DataFrame, lo: str, hi: str, out: str = "dt") -> DataFrame:
@@ -120,12 +122,17 @@ def keep_series(df: DataFrame, selected: DataFrame, key: Sequence[str]) -> DataF
     return df.join(selected.select(*key).distinct(), list(key), "left_semi")
 
 
-def add_cold_start(context: DataFrame, future: DataFrame, cold: DataFrame, key: str) -> DataFrame:
-    """Series of ``future`` without context get a copy of the aggregate context ``cold`` (a bounded history)."""
+def add_cold_start(context: DataFrame, future: DataFrame, cold: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """Series of ``future`` without context get a copy of the aggregate context ``cold``.
+
+    Missing series meet the context's rows by a constant that is salted: the context is cut into ``salts`` parts and each series asks for every
+    part, so no task holds the context whole, and none makes all copies of a part where AQE splits it.
+    """
     missing = future.select(key).distinct().join(context.select(key).distinct(), key, "left_anti")
-    whole = cold.agg(F.collect_list(F.struct(*cold.columns)).alias("__rows"))
-    copies = with_scalar(missing, whole).select(key, F.explode("__rows").alias("__r")).select(key, "__r.*")
-    return context.unionByName(copies, allowMissingColumns=True)
+    part = F.pmod(F.xxhash64(*cold.columns), F.lit(salts)).cast("int")
+    asked = missing.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = cold.withColumn("__part", part).join(asked, "__part").drop("__part")
+    return context.unionByName(copies.select(key, *cold.columns), allowMissingColumns=True)
 
 
 def year_ago(df: DataFrame, keys: Sequence[str], value: str, date_col: str = "dt", offsets: Sequence[int] = (365, 364, 366)) -> DataFrame:

@@ -327,15 +327,46 @@ def _(spark, d):
     return E.decision_score(segmented(spark, d).withColumn("fold", F.year("dt")), ["fold"]).groupBy("segment").agg(F.avg("decision_loss").alias("decision_loss"))
 
 
-@query("economic_calibration_fit")
+#: One product has costs of its own, so all scopes occur.
+OWN = E.DecisionConfig(products={"PROMO": E.CostProfile(1.2, 0.6, 1.8, 0.2)})
+
+
+def own_segments(spark, d):
+    return predictions(spark, d).withColumn("family", C.substitution_family(article("product_id"))).withColumn("segment", OWN.segment("family", "product_id"))
+
+
+def _own_cost(attr):
+    return "CASE segment WHEN 'product:PROMO' THEN " + str(getattr(OWN.products["PROMO"], attr)) + " " + " ".join(f"WHEN '{k}' THEN {getattr(v, attr)}" for k, v in E.PROFILES.items()) + " END"
+
+
+_SLOPES, _SHIFTS = list(E.GRID_SLOPES), list(E.GRID_INTERCEPTS)
+FIT = f"""sg AS (SELECT CASE WHEN product_id = 'PROMO' THEN 'product:PROMO' ELSE {SEG} END AS segment, product_id, dt, actual, prediction FROM p),
+gr AS (SELECT k, CASE WHEN k < 0 THEN 1.0 ELSE {_SLOPES}[k // 5 + 1] END AS slope, CASE WHEN k < 0 THEN 0.0 ELSE {_SHIFTS}[k % 5 + 1] END AS intercept FROM range(-1, 20) t(k)),
+fc AS (SELECT segment, k, slope, intercept, actual, CASE WHEN k < 0 THEN prediction ELSE greatest(prediction * CAST(slope AS DOUBLE) + CAST(intercept AS DOUBLE), 0) END AS f FROM sg CROSS JOIN gr),
+su AS (SELECT segment, k, slope, intercept, count(*) AS n, sum(greatest(f - actual, 0)) AS o, sum(least(greatest(actual - f, 0), abs(actual) * {_own_cost("mild_share")})) AS m, sum(greatest(actual - f, 0)) AS u, sum(f - actual) AS b, sum(abs(actual)) AS y, sum(abs(f - actual)) AS e FROM fc GROUP BY ALL),
+sc AS (SELECT 'global' AS scope, 'global' AS key, * FROM su UNION ALL SELECT 'family', segment, * FROM su WHERE NOT starts_with(segment, 'product:') UNION ALL SELECT 'product', substr(segment, 9), * FROM su WHERE starts_with(segment, 'product:')),
+de AS (SELECT *, o * {_own_cost("over")} + m * {_own_cost("mild")} + (u - m) * {_own_cost("severe")} AS loss, greatest(b / y + 0.02, 0) * 2.0 + greatest(-0.05 - b / y, 0) * 1.5 AS penalty FROM sc),
+tr AS (SELECT scope, key, k, slope, intercept, sum(n)::BIGINT AS n_rows, (sum(loss) + sum(penalty * y)) / sum(y) AS loss, sum(e) / sum(y) AS wape FROM de GROUP BY ALL),
+rw AS (SELECT *, max(CASE WHEN k < 0 THEN loss END) OVER q AS raw_loss, max(CASE WHEN k < 0 THEN wape END) OVER q AS raw_wape FROM tr WINDOW q AS (PARTITION BY scope, key)),
+ca AS (SELECT *, k >= 0 AS applied FROM rw WHERE (scope = 'global' OR n_rows >= 60) AND (k < 0 OR (wape <= raw_wape * 1.05 AND loss < raw_loss)) QUALIFY row_number() OVER (PARTITION BY scope, key ORDER BY loss, k) = 1)"""
+
+
+@query("economic_calibration_fit", f"{PRED}, {FIT} SELECT scope, key, CAST(slope AS DOUBLE) AS slope, CAST(intercept AS DOUBLE) AS intercept, round(raw_loss, 6) AS raw_loss, round(loss, 6) AS loss, round(raw_wape, 6) AS raw_wape, round(wape, 6) AS wape, applied, n_rows FROM ca", "panel")
 def _(spark, d):
-    return E.fit_calibration(segmented(spark, d))
+    return E.fit_calibration(own_segments(spark, d), product="product_id", cfg=OWN)
 
 
-@query("economic_calibration_apply")
+@query(
+    "economic_calibration_apply",
+    f"""{PRED}, {FIT}, us AS (SELECT s.segment, s.prediction AS raw, coalesce(p.scope, f.scope, g.scope, 'none') AS scope, coalesce(p.slope, f.slope, g.slope, 1.0) AS slope, coalesce(p.intercept, f.intercept, g.intercept, 0.0) AS intercept
+FROM sg s LEFT JOIN ca p ON p.applied AND p.scope = 'product' AND p.key = s.product_id LEFT JOIN ca f ON f.applied AND f.scope = 'family' AND f.key = s.segment LEFT JOIN ca g ON g.applied AND g.scope = 'global')
+SELECT segment, scope AS calibration_scope, count(*) AS n_rows, round(sum(raw), 4) AS raw, round(sum(CASE WHEN scope = 'none' THEN raw ELSE greatest(raw * CAST(slope AS DOUBLE) + CAST(intercept AS DOUBLE), 0) END), 4) AS calibrated FROM us GROUP BY ALL""",
+    "panel",
+)
 def _(spark, d):
-    s = segmented(spark, d)
-    return E.apply_calibration(s, E.fit_calibration(s)).groupBy("segment").agg(F.sum("prediction").alias("calibrated"), F.sum("prediction_uncalibrated").alias("raw"))
+    s = own_segments(spark, d)
+    out = E.apply_calibration(s, E.fit_calibration(s, product="product_id", cfg=OWN), product="product_id")
+    return out.groupBy("segment", "calibration_scope").agg(F.count("*").alias("n_rows"), F.round(F.sum("prediction_uncalibrated"), 4).alias("raw"), F.round(F.sum("prediction"), 4).alias("calibrated"))
 
 
 LS = "g AS (SELECT dt, count(*) AS n, sum(prediction) AS sx, sum(actual) AS sy, sum(prediction * prediction) AS sxx, sum(prediction * actual) AS sxy FROM p GROUP BY ALL), h AS (SELECT dt, " + ", ".join(f"coalesce(sum({c}) OVER (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS {c}" for c in ("n", "sx", "sy", "sxx", "sxy")) + " FROM g), i AS (SELECT *, CASE WHEN n < 30 OR n * sxx - sx * sx <= 1e-9 THEN 1.0 ELSE least(greatest((n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0), 0.5), 1.5) END AS slope FROM h)"
@@ -353,9 +384,18 @@ def _(spark, d):
     return g.where("n >= 30").drop("n")
 
 
-@query("daily_refit_report", f"{PRED}, r AS (SELECT dt, count(*) AS n_rows, avg(abs(prediction - actual)) AS mae, sqrt(avg((prediction - actual) ** 2)) AS rmse FROM p GROUP BY dt) SELECT CAST(dt AS VARCHAR) AS eval_date, n_rows, round(mae, 6) AS mae, round(rmse, 6) AS rmse, CAST(coalesce(sum(n_rows) OVER (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS history_rows FROM r", "panel")
+@query(
+    "daily_refit_report",
+    f"""{PRED}, {LS}, c AS (SELECT dt, slope, CASE WHEN n < 30 THEN 0 ELSE (sy - slope * sx) / n END AS intercept, n FROM i),
+r AS (SELECT dt, count(*) AS n_rows, avg(abs(greatest(prediction * slope + intercept, 0) - actual)) AS mae, sqrt(avg((greatest(prediction * slope + intercept, 0) - actual) ** 2)) AS rmse, max(slope) AS slope, max(intercept) AS intercept, max(n)::BIGINT AS n FROM p JOIN c USING (dt) GROUP BY dt)
+SELECT CAST(dt AS VARCHAR) AS eval_date, row_number() OVER (ORDER BY dt) AS fold, n_rows, round(mae, 6) AS mae, round(rmse, 6) AS rmse, CAST(coalesce(sum(n_rows) OVER (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS history_rows, round(slope, 6) AS calibration_slope, round(intercept, 6) AS calibration_intercept, n AS calibration_rows, 'none' AS economic_scopes, false AS economic_applied FROM r""",
+    "panel",
+)
 def _(spark, d):
-    return E.refit_report(predictions(spark, d))
+    p = predictions(spark, d)
+    fits = E.ls_walk_forward(p).select("dt", F.col("slope").alias("ls_slope"), F.col("intercept").alias("ls_intercept"), F.col("n").alias("ls_rows"))
+    moved = F.greatest(F.col("prediction") * F.col("ls_slope") + F.col("ls_intercept"), F.lit(0.0))
+    return E.refit_report(p.join(fits, "dt").withColumn("prediction", moved))
 
 
 @query(
@@ -378,9 +418,25 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", C.stock_position("value", F.floor(F.col("value") / 2), F.lit(1)).alias("stock"))
 
 
-@query("baseline_fallback_policy", f"{PRED} SELECT {G}, CASE WHEN label_quality_score < 0.75 THEN 0 ELSE prediction END AS prediction FROM p", "panel")
+#: Flags as feeds bring them: words, numbers and nothing.
+FLAGS = {
+    "usable_for_training_flag": "CASE WHEN day(dt) % 5 = 0 THEN 'no' WHEN day(dt) % 5 = 1 THEN ' Yes ' WHEN day(dt) % 5 = 2 AND month(dt) = 2 THEN NULL ELSE 'TRUE' END",
+    "censor_flag": "CASE WHEN day(dt) = 13 THEN 1 WHEN day(dt) = 14 THEN NULL ELSE 0 END",
+    "baseline": "CASE WHEN day(dt) = 20 THEN NULL ELSE actual * 0.5 + 1 END",
+}
+
+
+@query(
+    "baseline_fallback_policy",
+    f"""{PRED}, fl AS (SELECT p.*, target_source, {", ".join(f"{e} AS {n}" for n, e in FLAGS.items())} FROM p JOIN panel USING (dataset_source, location_id, product_id, dt)),
+aw AS (SELECT *, baseline IS NOT NULL AND (target_source IN ('closed_or_missing_observation', 'dense_calendar_zero_fill') OR coalesce(lower(trim(usable_for_training_flag)), '') NOT IN ('1', 'true', 't', 'yes', 'y') OR coalesce(censor_flag, 0) <> 0 OR label_quality_score IS NULL OR label_quality_score < 0.75) AS away FROM fl)
+SELECT dataset_source, location_id, product_id, CAST(dt AS VARCHAR) AS dt, round(CASE WHEN away THEN baseline ELSE prediction END, 6) AS prediction_raw, round_even(CASE WHEN away THEN baseline ELSE prediction END, 0) AS prediction_rounded, CASE WHEN away THEN 'baseline_non_trainable_or_low_quality' ELSE 'model' END AS prediction_policy FROM aw""",
+    "panel",
+)
 def _(spark, d):
-    return predictions(spark, d).select(*GRAIN, F.when(F.coalesce("label_quality_score", F.lit(0.0)) < C.MIN_LABEL_QUALITY, 0.0).otherwise(F.col("prediction")).alias("prediction"))
+    p = predictions(spark, d).join(panel(spark, d).select(*GRAIN, "target_source"), GRAIN)
+    flagged = p.withColumns({n: F.expr(e) for n, e in FLAGS.items()})
+    return E.fallback(flagged).select(*GRAIN, "prediction_raw", "prediction_rounded", "prediction_policy")
 
 
 # ---- feature selection
@@ -511,10 +567,21 @@ def _(spark, d):
     return E.violations_expression(table(spark, d, "events"), "value >= 1").select("event_id")
 
 
-@query("dq_split_contract", f"WITH {HOLD} SELECT dataset_source, CAST(max(CASE WHEN split_bucket = 'train' THEN dt END) AS VARCHAR) AS train_end, CAST(min(CASE WHEN split_bucket = 'test' THEN dt END) AS VARCHAR) AS test_start, count(DISTINCT split_bucket) AS n_splits FROM b GROUP BY ALL", "daily")
+#: Faults planted in the holdout splits: a source without a test split, one whose test begins among its training days, one nobody expects.
+FAULTS = "CASE WHEN dataset_source = 'ASIA' AND split_bucket = 'test' THEN 'val' WHEN dataset_source = 'EUROPE' AND dt < DATE '1995-06-01' THEN 'test' ELSE split_bucket END"
+
+
+@query(
+    "dq_split_contract",
+    f"""WITH {HOLD}, f AS (SELECT dataset_source, dt, {FAULTS} AS s FROM daily JOIN b USING (dataset_source, dt)),
+g AS (SELECT dataset_source, count(DISTINCT s) AS n_splits, count(*) FILTER (s = 'train') AS train_rows, count(*) FILTER (s = 'val') AS val_rows, count(*) FILTER (s = 'test') AS test_rows, max(dt) FILTER (s = 'train') AS a, min(dt) FILTER (s = 'val') AS v, min(dt) FILTER (s = 'test') AS t, max(dt) AS m FROM f GROUP BY ALL),
+w AS (SELECT *, n_splits <> 3 OR train_rows = 0 OR val_rows = 0 OR test_rows = 0 AS lacks FROM g)
+SELECT violation, dataset_source, n_splits, train_rows, val_rows, test_rows FROM (SELECT CASE WHEN dataset_source IN ('AMERICA', 'EUROPE') THEN CASE WHEN lacks OR coalesce(a >= v OR v >= t OR t <= m - INTERVAL 3 MONTH, false) THEN 'train_val_test_holdout_contract' END WHEN dataset_source LIKE 'A%' THEN CASE WHEN lacks THEN 'three_splits_contract' END ELSE 'unexpected_source' END AS violation, * FROM w) WHERE violation IS NOT NULL""",
+    "daily",
+)
 def _(spark, d):
-    s = E.holdout_split(TD.daily(spark, d), "dataset_source")
-    return s.groupBy("dataset_source").agg(F.max(F.when(F.col("split_bucket") == "train", F.col("dt"))).alias("train_end"), F.min(F.when(F.col("split_bucket") == "test", F.col("dt"))).alias("test_start"), F.countDistinct("split_bucket").alias("n_splits"))
+    s = E.holdout_split(TD.daily(spark, d), "dataset_source").withColumn("split_bucket", F.expr(FAULTS))
+    return E.violations_split(s, "dataset_source", {"AMERICA": 3, "EUROPE": 3}, ["A"]).select("violation", "dataset_source", "n_splits", "train_rows", "val_rows", "test_rows")
 
 
 @query("dq_incident_log", "SELECT event_id, rule_name, severity, md5(CAST(event_id AS VARCHAR) || '|' || rule_name) AS incident_id FROM (SELECT event_id, 'low_value' AS rule_name, 'high' AS severity FROM events WHERE value < 1 UNION ALL SELECT event_id, 'is_error', 'low' FROM events WHERE event_type = 'error')")
@@ -536,15 +603,26 @@ def _(spark, d):
     return R.top_rows(one.unpivot([], ["demand", "revenue"], "column_name", "null_rate"), [F.desc("null_rate"), F.col("column_name")], 25)
 
 
-@query("bronze_contract_check", "SELECT count(*) AS n_rows FROM customer")
+@query("bronze_contract_check", "SELECT 'missing columns: c_fax, c_email' AS failure, count(*) AS n_rows FROM customer")
 def _(spark, d):
-    return S.require_columns(table(spark, d, "customer"), ["c_custkey", "c_name"]).agg(F.count("*").alias("n_rows"))
+    raw = table(spark, d, "customer")
+    try:
+        S.require_columns(raw, ["c_custkey", "c_fax", "c_name", "c_email"])
+        failure = None
+    except ValueError as e:
+        failure = str(e)
+    return S.require_columns(raw, ["c_custkey", "c_name"]).agg(F.lit(failure).alias("failure"), F.count("*").alias("n_rows"))
 
 
 @query("fit_boosted_forecaster")
 def _(spark, d):
-    from daybook.operators.models import fit_boosted
+    """Held-out rows, errors of the model and of its baseline, and the rounds that early stopping kept."""
+    from daybook.operators.models import fit_forecaster
 
-    f = features(spark, d).where("y IS NOT NULL").fillna(0.0)
-    model = fit_boosted(f, FEATS, "y", rounds=5)
-    return model.transform(f).agg(F.count("*").alias("n_rows"), F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae"))
+    f = feature_panel(panel(spark, d), SERIES).where("target IS NOT NULL AND field_baseline IS NOT NULL")
+    f = f.select(*SERIES, F.col("dt"), "target", "field_baseline", "target_lag_1", "target_lag_7", "demand_mean_7", "demand_mean_28", F.weekday("target_dt").alias("weekday"), F.coalesce("next_quality", F.lit(0.0)).alias("weight"))
+    parts = E.chrono_split(f, "dataset_source", [("train", 0.6), ("val", 0.8), ("test", 1.0)])
+    of = lambda name: parts.where(F.col("split_bucket") == name)
+    model = fit_forecaster(of("train").where("weight > 0"), of("val"), ["target_lag_1", "target_lag_7", "demand_mean_7", "demand_mean_28"], ["product_id", "weekday"], "target", "field_baseline", "weight", rounds=12, depth=4)
+    out = model.predict(of("test"))
+    return out.agg(F.count("*").alias("n_rows"), E.mae("target", "prediction").alias("mae"), E.mae("target", "field_baseline").alias("baseline_mae"), F.lit(model.rounds).alias("rounds"))

@@ -106,9 +106,10 @@ def _(spark, d):
     return table(spark, d, "events").withColumn("k", F.col("user_id") % 2).join(p, "k").groupBy("event_type", "source_id").agg(F.count("*").alias("n_rows"))
 
 
-@query("quarantined_provider_sources", "SELECT e.event_type, r.source_id, count(*) AS n_rows FROM events e JOIN registry r ON r.source_kind = 'provider' AND coalesce(r.review_status, 'unreviewed') <> 'allowed' GROUP BY ALL", "registry")
+@query("quarantined_provider_sources", "SELECT e.event_type, r.source_id, count(*) AS n_rows FROM events e JOIN registry r ON r.source_kind = 'provider' AND coalesce(r.review_status, 'unreviewed') <> 'allowed' AND r.source_id = 'weather_' || substr('abcd', CAST(e.user_id % 4 AS INT) + 1, 1) GROUP BY ALL", "registry")
 def _(spark, d):
-    return R.with_scalar(table(spark, d, "events"), S.quarantined(TD.registry(spark)).select("source_id")).groupBy("event_type", "source_id").agg(F.count("*").alias("n_rows"))
+    e = table(spark, d, "events").withColumn("source_id", F.concat(F.lit("weather_"), F.substring(F.lit("abcd"), (F.col("user_id") % 4 + 1).cast("int"), F.lit(1))))
+    return e.join(S.quarantined(TD.registry(spark)).select("source_id"), "source_id").groupBy("event_type", "source_id").agg(F.count("*").alias("n_rows"))
 
 
 @query("label_contract_flags", "SELECT event_id, TRY_CAST(v AS DOUBLE) AS value, v IS NULL AS value_missing_flag, v IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NULL AS value_parse_error_flag FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN NULL WHEN event_type = 'error' THEN 'n/a' ELSE CAST(round(value, 2) AS VARCHAR) END AS v FROM events)")

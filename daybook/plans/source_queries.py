@@ -308,10 +308,9 @@ def _(spark, d):
 
 @query("walk_forward_predict")
 def _(spark, d):
-    from daybook.operators.models import fit_boosted, walk_forward
+    from daybook.operators.models import walk_forward
 
     s = E.baseline(E.baseline(series(spark, d), "lag_1", ["product_id"]), "rolling_mean_7", ["product_id"]).where("lag_1 IS NOT NULL")
     held = E.holdout_split(s.select("dt", F.lit("all").alias("source")), "source").where("split_bucket = 'test'")
     dates = [r["dt"] for r in held.select("dt").distinct().orderBy("dt").collect()]
-    out = walk_forward(s, dates, lambda rows: fit_boosted(rows, ["lag_1", "rolling_mean_7"], "demand", rounds=3), every=2)
-    return out.select("product_id", "dt", "demand", "prediction")
+    return walk_forward(s, dates, ["lag_1", "rolling_mean_7"], "demand", every=2).select("product_id", "dt", "demand", "prediction")

@@ -16,6 +16,7 @@ REGISTRY = [
     ("weather_a", "provider", None, True, True, True, "allowed", "exclude", 10, "provider"),
     ("weather_b", "provider", None, True, True, False, "allowed", "exclude", 20, "provider"),
     ("weather_c", "provider", None, False, True, True, "quarantine", "exclude", None, "provider"),
+    ("weather_d", "provider", None, True, True, True, None, "exclude", 40, "provider"),
 ]
 REGISTRY_SCHEMA = "source_id string, source_kind string, dataset_source string, commercial_use_allowed boolean, ml_training_allowed boolean, caching_allowed boolean, review_status string, include_in_training string, source_priority int, source_role string"
 MACRO = [
