@@ -30,7 +30,7 @@ class Forecaster:
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Absolute predictions: the baseline, where the model learned what is left of it, and never below 0."""
-        kept = df.withColumn("__row", F.struct(*df.columns))
+        kept = df.select(F.struct(*df.columns).alias("__row"), *self.numeric, *self.categorical)
         got = self.model.transform(self.prepare.transform(typed(kept, self.numeric, self.categorical)))
         level = F.col("__learned") + (F.col(f"__row.{self.baseline}") if self.baseline else F.lit(0.0))
         return got.select("__row.*", F.greatest(level, F.lit(0.0)).alias(out))
@@ -52,7 +52,7 @@ def fit_forecaster(train: DataFrame, valid: DataFrame, numeric: Sequence[str], c
     from pyspark.ml.regression import GBTRegressor
 
     learn = F.col(target).cast("double") - (F.col(baseline).cast("double") if baseline else F.lit(0.0))
-    ready = lambda df, held: df.withColumns({"__y": learn, "__w": F.col(weight).cast("double") if weight else F.lit(1.0), "__held": F.lit(held)}).where("__y IS NOT NULL AND NOT isnan(__y) AND __w > 0")
+    ready = lambda df, held: df.select(*numeric, *categorical, learn.alias("__y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"), F.lit(held).alias("__held")).where("__y IS NOT NULL AND NOT isnan(__y) AND __w > 0")
     known = ready(train, False)
     prepared = [
         *([StringIndexer(inputCols=list(categorical), outputCols=[f"__c_{c}" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc")] if categorical else []),
@@ -62,7 +62,7 @@ def fit_forecaster(train: DataFrame, valid: DataFrame, numeric: Sequence[str], c
     prepare = Pipeline(stages=prepared).fit(typed(known, numeric, categorical))
     widest = max([len(x) + 1 for x in prepare.stages[0].labelsArray], default=0) if categorical else 0
     gbt = GBTRegressor(featuresCol="__x", labelCol="__y", weightCol="__w", validationIndicatorCol="__held", validationTol=tolerance, predictionCol="__learned", maxIter=rounds, maxDepth=depth, stepSize=rate, maxBins=max(32, widest), seed=7)
-    both = prepare.transform(typed(known.unionByName(ready(valid, True).select(*known.columns)), numeric, categorical)).select("__x", "__y", "__w", "__held")
+    both = prepare.transform(typed(known.unionByName(ready(valid, True)), numeric, categorical)).select("__x", "__y", "__w", "__held")
     return Forecaster(prepare, gbt.fit(both), list(numeric), list(categorical), baseline)
 
 

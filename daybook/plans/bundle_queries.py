@@ -83,12 +83,22 @@ def _(spark, d):
     return out.select(F.col("location_id").alias("user_id"), "dt", F.col("temperature_2m_mean").alias("temperature"))
 
 
-@query("holiday_rules_calendar", "SELECT year, count(*) AS n_lines FROM (SELECT year(dt) AS year, dt FROM lines) WHERE (month(dt), day(dt)) IN ((1, 1), (5, 1), (5, 8), (7, 14), (8, 15), (11, 1), (11, 11), (12, 25)) OR dt IN (SELECT easter + later FROM (VALUES (DATE '1995-04-16'), (DATE '1996-04-07'), (DATE '1997-03-30'), (DATE '1998-04-12'), (DATE '1999-04-04'), (DATE '2000-04-23'), (DATE '2001-04-15'), (DATE '2002-03-31')) e(easter), (VALUES (1), (39), (50)) l(later)) GROUP BY ALL", "lines")
+_GB_FIXED = "dt IN (SELECT CASE WHEN m = 12 AND dd = 26 THEN CASE isodow(x) WHEN 6 THEN x + 2 WHEN 7 THEN x + 2 WHEN 1 THEN x + 1 ELSE x END ELSE CASE isodow(x) WHEN 6 THEN x + 2 WHEN 7 THEN x + 1 ELSE x END END FROM (SELECT make_date(y, m, dd) AS x, m, dd FROM range(1990, 2010) t(y), (VALUES (1, 1), (12, 25), (12, 26)) f(m, dd)))"
+_GB_MONDAYS = "isodow(dt) = 1 AND (month(dt) = 5 AND (day(dt) <= 7 OR day(dt) > 24) OR month(dt) = 8 AND day(dt) > 24)"
+_EASTERS = "(VALUES (DATE '1995-04-16'), (DATE '1996-04-07'), (DATE '1997-03-30'), (DATE '1998-04-12'), (DATE '1999-04-04'), (DATE '2000-04-23'), (DATE '2001-04-15'), (DATE '2002-03-31')) e(easter)"
+
+
+@query(
+    "holiday_rules_calendar",
+    f"""SELECT 'FR' AS country_code, year, count(*) AS n_lines FROM (SELECT year(dt) AS year, dt FROM lines) WHERE (month(dt), day(dt)) IN ((1, 1), (5, 1), (5, 8), (7, 14), (8, 15), (11, 1), (11, 11), (12, 25)) OR dt IN (SELECT easter + later FROM {_EASTERS}, (VALUES (1), (39), (50)) l(later)) GROUP BY ALL
+UNION ALL SELECT 'GB', year(dt), count(*) FROM lines WHERE {_GB_FIXED} OR {_GB_MONDAYS} OR dt IN (SELECT easter + later FROM {_EASTERS}, (VALUES (-2), (1)) l(later)) GROUP BY ALL""",
+    "lines",
+)
 def _(spark, d):
     lines = TD.order_lines(spark, d)
-    b = lines.agg(F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt")).withColumn("country_code", F.lit("FR"))
-    days = P.holiday_calendar(P.country_years(b)).select("dt").distinct()
-    return lines.join(days, "dt", "left_semi").groupBy(F.year("dt").alias("year")).agg(F.count("*").alias("n_lines"))
+    b = lines.agg(F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt")).withColumn("country_code", F.explode(F.array(F.lit("FR"), F.lit("GB"))))
+    days = P.holiday_calendar(P.country_years(b)).select("country_code", "dt").distinct()
+    return lines.join(days, "dt").groupBy("country_code", F.year("dt").alias("year")).agg(F.count("*").alias("n_lines"))
 
 
 @query("country_years", "SELECT dataset_source AS country_code, unnest(generate_series(year(a), year(b + 1))) AS year FROM (SELECT dataset_source, min(dt) AS a, max(dt) AS b FROM daily GROUP BY ALL)", "daily")

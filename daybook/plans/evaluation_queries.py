@@ -274,6 +274,31 @@ def _(spark, d):
     return E.shape_diagnostics(predictions(spark, d), "product_id")
 
 
+@query(
+    "shape_summary",
+    f"""{PRED}, m AS (SELECT product_id, avg(prediction) AS mean, median(prediction) AS med FROM p GROUP BY ALL),
+g AS (SELECT product_id, count(*) AS n, stddev_pop(prediction) / nullif(stddev_pop(actual), 0) AS s, corr(prediction, actual) AS c, avg(abs(mean - actual)) - avg(abs(prediction - actual)) AS gm, avg(abs(med - actual)) - avg(abs(prediction - actual)) AS gd FROM p JOIN m USING (product_id) GROUP BY ALL)
+SELECT count(*) AS product_count, sum(n)::BIGINT AS row_count, round(sum(gm * n) / sum(n), 6) AS gain_vs_mean, round(sum(gd * n) / sum(n), 6) AS gain_vs_median, count(*) FILTER (gm < 0) AS constant_mean_beats_model, count(*) FILTER (gd < 0) AS constant_median_beats_model, count(*) FILTER (s < 0.5) AS low_variance_products,
+count(s) AS sigma_ratio_count, round(avg(s), 6) AS sigma_ratio_mean, round(median(s), 6) AS sigma_ratio_median, round(min(s), 6) AS sigma_ratio_min, round(max(s), 6) AS sigma_ratio_max, count(c) AS correlation_count, round(avg(c), 6) AS correlation_mean, round(median(c), 6) AS correlation_median, round(min(c), 6) AS correlation_min, round(max(c), 6) AS correlation_max FROM g""",
+    "panel",
+)
+def _(spark, d):
+    return E.shape_summary(E.shape_diagnostics(predictions(spark, d), "product_id"))
+
+
+@query(
+    "shape_daily",
+    f"""{PRED}, b AS (SELECT dt, actual, prediction, avg(actual) OVER (PARTITION BY dataset_source, location_id, product_id) AS base FROM p),
+g AS (SELECT dt, sum(actual) AS a, sum(prediction) AS m, sum(base) AS b, avg(abs(prediction - actual)) AS me, avg(abs(base - actual)) AS be FROM b GROUP BY ALL)
+SELECT count(*) AS day_count, round(avg(me), 6) AS daily_model_mae, round(avg(abs(m - a)), 6) AS daily_model_total_error, round(corr(m, a), 6) AS daily_model_correlation, round(avg(be), 6) AS daily_baseline_mae, round(avg(abs(b - a)), 6) AS daily_baseline_total_error, round(corr(b, a), 6) AS daily_baseline_correlation, count(*) FILTER (me < be) AS days_model_better, count(*) FILTER (be < me) AS days_baseline_better, count(*) FILTER (be = me) AS days_equal FROM g""",
+    "panel",
+)
+def _(spark, d):
+    p = predictions(spark, d)
+    base = p.groupBy(*SERIES).agg(F.avg("actual").alias("base"))
+    return E.shape_daily(p.join(base, SERIES), base="base")
+
+
 @query("ensemble_equal", f"WITH {LONG} SELECT product_id, CAST(dt AS VARCHAR) AS dt, round(avg(prediction), 6) AS prediction FROM l WHERE prediction IS NOT NULL GROUP BY ALL", "daily")
 def _(spark, d):
     return long_(spark, d).groupBy("product_id", "dt").agg(F.avg("prediction").alias("prediction"))

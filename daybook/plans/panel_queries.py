@@ -52,46 +52,6 @@ def _(spark, d):
     return S.conform(table(spark, d, "part"), T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_type", T.StringType()), T.StructField("colour", T.StringType())]))
 
 
-@query("bronze_replace_load", "SELECT 'customers' AS source_name, count(*) AS loaded_rows FROM customer UNION ALL SELECT 'suppliers', count(*) FROM supplier")
-def _(spark, d):
-    frames = {"customers": table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), "suppliers": table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))}
-    return S.load_table(spark, frames, T.StructType([T.StructField("nation", T.IntegerType())]), None)
-
-
-@query("source_manifest", "SELECT 'events' AS source_name, 'r1' AS run_id, count(*) AS loaded_rows FROM events")
-def _(spark, d):
-    counts = table(spark, d, "events").agg(F.count("*").alias("loaded_rows")).select(F.lit("events").alias("source_name"), "loaded_rows")
-    return S.source_manifest(spark, {"events": f"{d}/events.parquet"}, counts, "r1", content_hash=False).select("source_name", "run_id", "loaded_rows")
-
-
-@query("order_line_normalize", "SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_extendedprice AS unit_price, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS dt, upper(l_returnflag) AS product_id FROM lineitem")
-def _(spark, d):
-    raw = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").alias("quantity_raw"), F.concat(F.translate(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), ".", ","), F.lit(" €")).alias("unit_price_raw"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date_raw"), F.lit("08:15").alias("time_raw"), F.concat(F.lit(" "), F.lower("l_returnflag")).alias("article_raw"))
-    return S.normalize_lines(raw).select("l_orderkey", "l_linenumber", "quantity", "unit_price", "dt", "product_id")
-
-
-@query("money_parse", "SELECT s_suppkey, s_acctbal AS strict, s_acctbal AS lenient FROM supplier")
-def _(spark, d):
-    text = F.concat(F.translate(F.col("s_acctbal").cast("decimal(18,2)").cast("string"), ".", ","), F.lit(" €"))
-    return table(spark, d, "supplier").select("s_suppkey", C.parse_money(text).alias("strict"), C.parse_money(text, True).alias("lenient"))
-
-
-@query("order_line_enrich", "SELECT l_orderkey, l_linenumber, location_id || '__' || product_id AS series_id, round(quantity * amount, 6) AS revenue, (isodow(dt) - 1)::BIGINT AS weekday, month(dt) AS month FROM lines", "lines")
-def _(spark, d):
-    return TD.order_lines(spark, d).select("l_orderkey", "l_linenumber", C.series_id("location_id", "product_id").alias("series_id"), (F.col("quantity") * F.col("amount")).alias("revenue"), F.weekday("dt").alias("weekday"), F.month("dt").alias("month"))
-
-
-@query("staging_clean", "SELECT event_id, CAST(value AS BIGINT) AS value_int, nullif(trim(CASE WHEN event_type = 'click' THEN '  ' ELSE event_type END), '') AS event_type FROM events WHERE value = floor(value)")
-def _(spark, d):
-    e = table(spark, d, "events").where("value = floor(value)").withColumn("event_type", F.when(F.col("event_type") == "click", "  ").otherwise(F.col("event_type")))
-    return S.stage_columns(e, {"value_int": ("value", "long")}, ["event_type"]).select("event_id", "value_int", "event_type")
-
-
-@query("canonical_source_id", "SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_mktsegment END), ''), nullif(trim(c_name), '')) AS source_id FROM customer")
-def _(spark, d):
-    return table(spark, d, "customer").select("c_custkey", C.canonical_source_id(F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(F.col("c_mktsegment")), "c_name").alias("source_id"))
-
-
 ALLOWED = "SELECT DISTINCT dataset_source FROM registry WHERE source_kind = 'dataset' AND commercial_use_allowed AND ml_training_allowed AND include_in_training = 'include' AND review_status = 'allowed'"
 
 

@@ -20,6 +20,7 @@ from daybook.plans.registry import query
 from daybook.sources import payloads as P
 from daybook.sources import readers as S
 from daybook.sources import testdata as TD
+from daybook.sources.tables import VersionedTable, publish_manifest, source_manifest
 
 
 def scratch(spark) -> str:
@@ -69,10 +70,57 @@ def _(spark, d):
     return there.unionByName(S.empty_table(spark, CUSTOMER)).groupBy("c_mktsegment").agg(F.count("*").alias("n_rows"))
 
 
-@query("manifest_publish", "SELECT user_id, coalesce(nullif(trim(CASE WHEN event_type = 'click' THEN '' ELSE event_type END), ''), 'src') AS source_id, count(*) AS n_rows FROM events GROUP BY ALL")
+NATIONS = T.StructType([T.StructField("nation", T.IntegerType())])
+
+
+@query("bronze_replace_load", "SELECT 'second' AS load, 'customers' AS source_name, count(*) AS loaded_rows FROM customer UNION ALL SELECT 'second', 'suppliers', count(*) FROM supplier UNION ALL SELECT 'table', 'customers', count(*) FROM customer UNION ALL SELECT 'table', 'suppliers', count(*) FROM supplier UNION ALL SELECT 'kept', 'parts', count(*) FROM part")
+def _(spark, d):
+    """A table of parts is replaced by one of customers and suppliers: what the second load counted, what a reader finds then, and what one that had begun before still reads."""
+    path = scratch(spark)
+    S.load_table(spark, {"parts": table(spark, d, "part").select(F.col("p_size").alias("nation"))}, NATIONS, path)
+    begun = VersionedTable(spark, path).read()
+    frames = {"customers": table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), "suppliers": table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))}
+    second = S.load_table(spark, frames, NATIONS, path)
+    counts = lambda df: df.groupBy("source_name").agg(F.count("*").alias("loaded_rows"))
+    found = {"second": second, "table": counts(VersionedTable(spark, path).read()), "kept": counts(begun)}
+    return R.tag_and_union(found, "load")
+
+
+@query("inline_frame_load", "SELECT 'segments' AS source_name, count(DISTINCT c_mktsegment) AS loaded_rows FROM customer")
+def _(spark, d):
+    few = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).toPandas()
+    spec = S.SourceSpec("segments", "memory", renames={"c_mktsegment": "segment"}, constants={"origin": "inline"}, expected=("segment", "n"))
+    schema = T.StructType([T.StructField("segment", T.StringType()), T.StructField("n", T.LongType()), T.StructField("origin", T.StringType())])
+    return S.load_inline(spark, few, spec, schema, scratch(spark))
+
+
+def _feeds(spark, d):
+    """Events and parts as files of text, one for each of eight parts, and their manifest."""
+    out = {}
+    for name, key in (("events", "event_id"), ("part", "p_partkey")):
+        rows = table(spark, d, name).select(F.col(key).cast("string").alias("line"), (F.col(key) % 8).alias("part"), F.col(key).alias("key"))
+        out[name] = scratch(spark)
+        rows.repartition(8, "part").sortWithinPartitions("part", "key").select("line", "part").write.partitionBy("part").text(out[name])
+    counts = R.union_all([table(spark, d, n).agg(F.count("*").alias("loaded_rows")).select(F.lit(n).alias("source_name"), "loaded_rows") for n in out])
+    return out, counts
+
+
+def _feed_sql(name, key):
+    return f"SELECT '{name}' AS source_name, count(*) AS files, sum(strlen(body))::BIGINT AS bytes, sha256(string_agg(sha256(body), '' ORDER BY sha256(body))) AS sha256, sum(n)::BIGINT AS loaded_rows FROM (SELECT string_agg(CAST({key} AS VARCHAR) || chr(10), '' ORDER BY {key}) AS body, count(*) AS n FROM {name} GROUP BY {key} % 8)"
+
+
+@query("source_manifest", f"SELECT *, 'r1' AS run_id, true AS is_dated FROM ({_feed_sql('events', 'event_id')} UNION ALL {_feed_sql('part', 'p_partkey')})")
+def _(spark, d):
+    paths, counts = _feeds(spark, d)
+    m = source_manifest(spark, paths, counts, "r1")
+    return m.select("source_name", "run_id", "files", "bytes", "sha256", "loaded_rows", (F.col("modified_at") <= F.current_timestamp()).alias("is_dated"))
+
+
+@query("manifest_publish", "SELECT 'events' AS source_name, 'events' AS source_policy_id, 'r2' AS run_id, count(DISTINCT event_id % 8) AS files, count(*) AS loaded_rows FROM events UNION ALL SELECT 'part', 'open-parts', 'r2', count(DISTINCT p_partkey % 8), count(*) FROM part")
 def _(spark, d):
-    policy = F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type"))
-    return table(spark, d, "events").groupBy("user_id", C.canonical_source_id(policy, F.lit("src")).alias("source_id")).agg(F.count("*").alias("n_rows"))
+    paths, counts = _feeds(spark, d)
+    m = source_manifest(spark, paths, counts, "r2", content_hash=False, policies={"events": "  ", "part": "open-parts"})
+    return publish_manifest(m).select("source_name", "source_policy_id", "run_id", "files", "loaded_rows")
 
 
 @query("daily_std_order_lines", f"SELECT location_id || '__' || product_id AS series_id, CAST(dt AS VARCHAR) AS dt, sum(quantity) AS observed_demand_qty FROM lines GROUP BY ALL", "lines")

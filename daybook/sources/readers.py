@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daybook.functions.columns import TARGET_SEMANTICS, blank_to_null, parse_money, parse_timestamp, series_id
+from daybook.sources.tables import load_sources
 
 
 @dataclass(frozen=True)
@@ -90,43 +91,15 @@ def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def load_table(spark: SparkSession, frames: dict[str, DataFrame], schema: T.StructType, path: str | None) -> DataFrame:
-    """Replace the table at ``path`` by all its sources; (source_name, loaded_rows).
-
-    It is written beside the old one and takes its place at the end. Without a path it is only counted.
-    """
-    out = None
-    for name, df in frames.items():
-        part = conform(df, schema).withColumn("source_name", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    if path:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-        write_parquet(out, beside)
-        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
-        out = spark.read.parquet(path)
-    return out.groupBy("source_name").agg(F.count("*").alias("loaded_rows"))
-
-
-def load_inline(spark: SparkSession, rows: list, spec: SourceSpec, schema: T.StructType) -> DataFrame:
-    return conform(spark.createDataFrame(rows), schema).withColumn("source_name", F.lit(spec.name))
-
-
-def source_manifest(spark: SparkSession, paths: dict[str, str], counts: DataFrame, run_id: str, content_hash: bool = True) -> DataFrame:
-    """Per source: run, files, bytes, newest change and, if asked, a hash of the file hashes."""
-    out = None
-    for name, path in paths.items():
-        f = spark.read.format("binaryFile").load(path)
-        aggs = [F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified_at")]
-        if content_hash:
-            f = f.withColumn("h", F.sha2("content", 256))
-            aggs.append(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("sha256"))
-        one = f.agg(*aggs).select(F.lit(name).alias("source_name"), F.lit(run_id).alias("run_id"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out.join(counts, "source_name", "left")
+def load_table(spark: SparkSession, frames: dict[str, DataFrame], schema: T.StructType, path: str) -> DataFrame:
+    """Replace the table at ``path`` by all its sources, each conformed to the schema; (source_name, loaded_rows)."""
+    return load_sources(spark, {name: conform(df, schema) for name, df in frames.items()}, path)
+
+
+def load_inline(spark: SparkSession, rows: list | pd.DataFrame, spec: SourceSpec, schema: T.StructType, path: str) -> DataFrame:
+    """``load_table`` of a frame in the driver's memory: headers mapped, constants added, the expected columns checked."""
+    df = spark.createDataFrame(rows).withColumnsRenamed(spec.renames).withColumns({k: F.lit(v) for k, v in spec.constants.items()})
+    return load_table(spark, {spec.name: require_columns(df, spec.expected)}, schema, path)
 
 
 # ---- normalisation
