@@ -21,7 +21,7 @@ RANKED_BYTES = 64
 #: A tile has so many ids on a side; one with a pair for every ``SPARSE`` cells at least is counted densely.
 SIDE, SPARSE = 1024, 16
 #: Pairs that a task gathers before it counts them.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 #: A slice of a text that is cut into words at once.
 SLICE = 1 << 20
 #: Codes from here on are hashes of words without a rank.
