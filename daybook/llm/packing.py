@@ -189,8 +189,10 @@ def dominating_set(stock: _Stock, j: int, capacity: int) -> tuple[int, ...] | No
 def pack_counts(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """Patterns (sizes in a bin) with their multiplicities, and how many bins the reduction fixed.
 
-    All items of a size are treated together: a dominating set is fixed as often as the
-    stock of its sizes lasts, since the reasons for it hold until one of them is used up.
+    All items of a size are treated together: a dominating set is fixed as often as the stock of
+    its sizes lasts. Every reason for it says that what is left is too large to do better, so items
+    that go only strengthen it, as long as the set's own sizes are there. Each turn so uses a size up
+    but for two items at most: turns and patterns are bounded by the number of sizes, not of items.
     What remains is packed by best-fit decreasing on counts.
     """
     stock, patterns = _Stock(counts), []
@@ -201,9 +203,6 @@ def pack_counts(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple
             while stock.n.get(j) and (found := dominating_set(stock, j, capacity)):
                 need = Counter(found)
                 times = min(stock.n[w] // q for w, q in need.items())
-                smallest = set(stock.smallest(3, Counter()))
-                if len(found) > 1 and smallest & need.keys():
-                    times = 1  # the reasons lean on the smallest sizes: look again
                 for w, q in need.items():
                     stock.take(w, q * times)
                 patterns.append((found, times))

@@ -447,6 +447,27 @@ def test_reduction_never_loses_the_optimum():
         assert not done and reduced + optimal_bins(list(left.elements()), 20) == optimal_bins(sizes, 20)
 
 
+def test_reduction_of_many_equal_items_keeps_the_optimum_and_few_patterns():
+    r = random.Random(9)
+    for _ in range(300):
+        capacity = r.choice([8, 10, 13, 20, 30])
+        pool = [r.randint(1, capacity) for _ in range(r.randint(1, 5))]
+        sizes = [r.choice(pool) for _ in range(r.randint(1, 11))]
+        patterns, fixed = packing.pack_counts(Counter(sizes), capacity)
+        left, reduced = Counter(sizes), 0
+        for p, m in patterns:
+            if reduced >= fixed:
+                break
+            for w in p:
+                left[w] -= m
+            reduced += m
+        assert reduced + optimal_bins(list(left.elements()), capacity) == optimal_bins(sizes, capacity)
+    for first, step in ((1, 3), (400, 7), (1000, 7), (1400, 1)):
+        sizes = range(first, 4097, step)
+        found = [packing.pack_counts(dict.fromkeys(sizes, m), 4096)[0] for m in (100, 1000, 100_000)]
+        assert len({len(patterns) for patterns in found}) == 1 and len(found[0]) < 2 * len(sizes)
+
+
 def test_packing_places_every_piece_gaplessly(spark):
     from tokenizers import Tokenizer
 
