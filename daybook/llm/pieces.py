@@ -30,6 +30,8 @@ KNOWN_WORDS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Behind a character without a piece, or at a word's beginning, anything may follow.
 OPEN = -1
+#: Longer words are cut into windows that advance together; so many characters of each are also those of the next one.
+WINDOW, OVERLAP = 1024, 256
 #: Borders of two pieces whose answers a worker keeps, each at the place that its hash names.
 KNOWN_BORDERS = 1 << 20
 
@@ -74,6 +76,7 @@ class PieceModel:
             ids.append(i)
             left.append(made[0])
             right.append(made[1])
+        self.number, self.texts = number, texts
         self.left, self.right, self.ids = np.array(left), np.array(right), np.array(ids, dtype=np.int64)
         self.lengths = np.array([len(p) for p in texts])
         self.hashes = np.array([self.key(p) for p in texts], dtype=np.uint64)
@@ -191,6 +194,10 @@ class PieceModel:
 
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length."""
+        return self.paths(words, *self.lattice(words))
+
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For every end in words of one length: the last piece of the best path to it, and where that begins."""
         codes, length = self.codes(words), len(words[0])
         run = np.ascontiguousarray(self.running(codes).T)  # a row for each end
         last = np.full((length + 1, len(words)), OPEN, dtype=np.int64)
@@ -216,7 +223,72 @@ class PieceModel:
                 stays[at[worth]] = False
                 left = left[stays]
             back[end][left] = end - 1  # one character by its bytes
-        return self.paths(words, last, back)
+        return last, back
+
+    def stands(self, a: int, b: int) -> bool:
+        """``undone`` for one border."""
+        x, y, limit = a, b, len(self.ids)
+        while True:
+            across = self.number.get(self.texts[x] + self.texts[y])
+            if across is not None and across < limit:
+                return False
+            if x > y or self.left[y] == y:
+                if self.right[x] == x:
+                    return True
+                limit, x = x, int(self.right[x])
+            else:
+                limit, y = y + 1, int(self.left[y])
+
+    def long_word(self, word: str) -> bytes:
+        """Ids of a word without any place to cut it: windows of it advance together and are joined where they agree.
+
+        What follows an end depends on the best last pieces of as many ends before as the longest piece has characters. So where a window gives so
+        many ends in a row the pieces that the windows before gave them, all that follows in it is right. Until it does (texts of one
+        repeated pattern may never), single steps go on.
+        """
+        n, size = len(word), WINDOW + OVERLAP
+        last = np.full(n + 1, OPEN, dtype=np.int64)
+        starts = [*range(0, n - size, WINDOW), n - size]
+        asked: dict[tuple[int, int], bool] = {}
+        done = 0
+        for at in range(0, len(starts), 1024):
+            some = starts[at : at + 1024]
+            found, _ = self.lattice([word[s : s + size] for s in some])
+            for s, own in zip(some, found.T, strict=True):
+                same = np.cumsum(np.r_[0, last[s + 1 : done + 1] == own[1 : done - s + 1]])
+                agreed = np.flatnonzero(same[self.longest :] - same[: -self.longest] == self.longest) if len(same) > self.longest else []
+                end = s + size
+                if not done or len(agreed):
+                    after = s + int(agreed[0]) + self.longest if done else 0
+                    last[after + 1 : end + 1] = own[after - s + 1 :]
+                else:
+                    self._go_on(word, last, done, end, own[-(end - done) :], asked)
+                done = end
+        ids, end = [], n
+        while end:
+            piece = int(last[end])
+            ids += [int(self.ids[piece])] if piece >= 0 else [self.byte_id[b] for b in reversed(word[end - 1].encode("utf-8"))]
+            end -= int(self.lengths[piece]) if piece >= 0 else 1
+        return np.array(ids[::-1], dtype="<u4").tobytes()
+
+    def _go_on(self, word: str, last: np.ndarray, done: int, end: int, own: np.ndarray, asked: dict) -> None:
+        """Single steps from ``done``; from where the window's pieces ``own`` are met for long enough, they are taken."""
+        row = 0
+        for e in range(done + 1, end + 1):
+            for n in range(min(e, self.longest), 0, -1):
+                piece = self.number.get(word[e - n : e])
+                if piece is None:
+                    continue
+                border = (int(last[e - n]), piece)
+                if border[0] >= 0 and border not in asked:
+                    asked[border] = self.stands(*border)
+                if border[0] < 0 or asked[border]:
+                    last[e] = piece
+                    break
+            row = row + 1 if last[e] == own[e - done - 1] else 0
+            if row == self.longest:
+                last[e + 1 : end + 1] = own[e - done :]
+                return
 
     def paths(self, words: list[str], last: np.ndarray, back: np.ndarray) -> list[bytes]:
         """Ids along the backpointers of all words at once, from the end."""
@@ -244,6 +316,8 @@ class PieceModel:
         by_length: dict[int, list[str]] = {}
         for w in set(itertools.chain.from_iterable(split)).difference(self.known):
             by_length.setdefault(len(w), []).append(w)
+        for length in [n for n in by_length if n > WINDOW + OVERLAP]:
+            self.known.update((w, self.long_word(w)) for w in by_length.pop(length))
         for length, words in by_length.items():
             step = max(1, 200_000 // length)
             for s in range(0, len(words), step):

@@ -430,6 +430,23 @@ def optimal_bins(sizes, capacity):
     return best
 
 
+def test_texts_without_blanks_take_seconds_and_equal_the_model():
+    import time
+
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    r = random.Random(3)
+    made = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    parts = ["".join(r.choice(["the", "hand", "ing", "Xq", "ß", "er", "日本", "\U0001f600"]) for _ in range(3000)), made("abcdefghijklmnopqrstuvwxyz", 9000), made("aé", 5000), "a" * 7001, "ha" * 3001, "-" * 5003, "hahaho" * 900, made("日本語中文字", 6000), "aaaaaaab" * 700, "x" + "\u0000\ufffe" * 2000]
+    for text in [*parts, "".join(parts), "y" * 1281, "y" * 1280, "lo" * 640 + "z"]:
+        assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == sp.encode(text, out_type=int)
+    began = time.time()
+    model.encode([made("abcdefghijklmnopqrstuvwxyz", 300_000)])
+    assert time.time() - began < 60
+
+
 def test_reduction_never_loses_the_optimum():
     r = random.Random(4)
     for _ in range(150):
