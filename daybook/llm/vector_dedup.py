@@ -16,6 +16,8 @@ from daybook.llm.topk import usable
 
 #: The index is fitted on at most so many vectors, or FIT_ROWS for each list, chosen by a hash; every vector is indexed.
 FIT_SAMPLE, FIT_ROWS = 20_000, 16
+#: Bounds of that sample in rows and in bytes of doubles, and so of the lists (16,384 at 64 components: from some 67 million vectors on they grow longer).
+FIT_MOST, FIT_BYTES = 1 << 18, 1 << 27
 #: Rows of a list, while the lists are few; least number of lists that is probed.
 LIST_ROWS, PROBES = 256, 8
 SUBSPACES, WORDS = 8, 256
@@ -197,8 +199,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 def _links_of(classes: DataFrame, dim: int, count: int, threshold: float, probes: int | None) -> DataFrame:
     spark = classes.sparkSession
     lists, follow = how_many(count)
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(max(FIT_SAMPLE, FIT_ROWS * lists)).select("v").collect()
-    index = Index.fit(unit(np.array([r["v"] for r in sample])), lists, probes or follow)
+    most = max(FIT_ROWS, min(FIT_MOST, FIT_BYTES // (8 * dim)))
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(min(most, max(FIT_SAMPLE, FIT_ROWS * lists))).select("v").toArrow().column("v").combine_chunks()
+    index = Index.fit(unit(sample.flatten().to_numpy().reshape(len(sample), dim)), min(lists, most // FIT_ROWS), probes or follow)
 
     def encode(batches):
         for batch in batches:
