@@ -79,9 +79,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word", "code").agg(F.sum("n").alias("n"))
 
 
-def ranked(df: DataFrame, order: list[Column], k: int) -> list:
-    """The first k rows; k is a parameter, so what comes to the driver is bounded."""
-    return df.orderBy(*order).limit(k).collect()
+def ranked(df: DataFrame, by: list[str], k: int) -> list:
+    """At most k rows with the largest n, ties by the columns ``by``. Rows that equal a quantile of n are left out, so that not more than
+    some k rows come to the driver, from all tasks together; who has no rank is only counted in another way."""
+    count = df.count() if k else 0
+    if count > k:
+        df = df.where(F.col("n") > df.agg(F.percentile_approx("n", 1 - k / count, 100_000)).first()[0])
+    return sorted(df.collect(), key=lambda r: (-r["n"], *(r[c] for c in by)))[:k] if count else []
 
 
 class Ranks:
@@ -97,7 +101,7 @@ class Ranks:
         if clash:
             raise ValueError(f"two words have the code {clash[0]['code']}; choose another seed")
         often = vocabulary.where(F.col("n") >= least)
-        top = ranked(often.where(F.octet_length("word") <= RANKED_BYTES), [F.desc("n"), F.col("lang"), F.col("word")], RANKED)
+        top = ranked(often.where(F.octet_length("word") <= RANKED_BYTES).select("lang", "word", "n"), ["lang", "word"], RANKED)
         self.ids: dict[str, dict[bytes, int]] = {}
         for i, r in enumerate(top):
             self.ids.setdefault(r["lang"], {})[r["word"].encode()] = i
@@ -248,7 +252,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
 
     words = stage(vocabulary.where(F.col("n") >= least).mapInArrow(identified, "lang string, word string, id long, f long"), "words")
     pairs = stage(_counted(docs, ranks, adjacent, count_tiles, ["a", "b"]).where(F.col("n") >= least), "pairs")
-    best = ranked(pairs.where((F.col("a") < RANKED) & (F.col("b") < RANKED)), [F.desc("n"), F.col("a"), F.col("b")], RANKED)
+    best = ranked(pairs.where((F.col("a") < RANKED) & (F.col("b") < RANKED)), ["a", "b"], RANKED)
     keys = np.array([r["a"] << 31 | r["b"] for r in best], dtype=np.int64)
     order = np.argsort(keys)
 
@@ -291,3 +295,43 @@ def score_of(a: str, l: str, r: str) -> Column:  # noqa: E741
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of each language of ``documents``."""
     return phrases(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p
+), g AS (
+  SELECT lang, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0)
+), f1 AS (
+  SELECT lang, a, count(*) AS f FROM g GROUP BY ALL
+), f2 AS (
+  SELECT lang, a, b, count(*) AS f FROM g WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+  SELECT lang, a, b, c, count(*) AS f FROM g WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) GROUP BY ALL
+), cuts AS (
+  SELECT f2.lang, f2.a || ' ' || f2.b AS phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.a = f2.a JOIN f1 y ON y.lang = f2.lang AND y.a = f2.b
+  LEFT JOIN longer o ON o.lang = f2.lang AND o.a = f2.a AND o.b = f2.b
+  WHERE o.f IS NULL OR 100 * o.f < 50 * f2.f
+  UNION ALL
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c, f3.f, 1, x.f, y.f
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.a = f3.a JOIN f2 y ON y.lang = f3.lang AND y.a = f3.b AND y.b = f3.c
+  UNION ALL
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c, f3.f, 2, x.f, y.f
+  FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.a = f3.a AND x.b = f3.b JOIN f1 y ON y.lang = f3.lang AND y.a = f3.c
+), scored AS (
+  SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), total AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best b JOIN total t ON t.lang = b.lang
+QUALIFY rank <= 2000
+"""

@@ -1,6 +1,6 @@
 """Queries of this subpackage, with their SQL where SQL can express them."""
 
-from daybook.llm.collocations import op12_collocations
+from daybook.llm.collocations import PHRASES_SQL, op12_collocations
 from daybook.llm.html_text import op4_html_text
 from daybook.llm.line_dedup import op10_line_dedup
 from daybook.llm.negatives import NEGATIVES_SQL, op11_negatives
@@ -33,4 +33,5 @@ QUERIES = {
 ORACLES = {
     "op9_topk": TOPK_SQL,
     "op11_negatives": NEGATIVES_SQL,
+    "op12_collocations": PHRASES_SQL,
 }
