@@ -92,8 +92,8 @@ def _merged(lists: DataFrame, keys: list[str], shards: int, k: int) -> DataFrame
 def _centres(anchors: DataFrame, dim: int, count: int) -> np.ndarray:
     sample = anchors.where(F.col("dim") == dim).orderBy(F.xxhash64("anchor_id", F.lit(23)), "anchor_id").select("v").limit(FIT_ANCHORS).collect()
     x = np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), dim)
-    x = unit(x[x.any(axis=1)])
-    return k_means(x, min(len(x), MAX_CENTRES, max(1, math.ceil(count / CLUSTER)))) if len(x) else np.zeros((1, dim))
+    x = x[x.any(axis=1)]
+    return k_means(unit(x), min(len(x), MAX_CENTRES, max(1, math.ceil(count / CLUSTER)))) if len(x) else np.zeros((1, dim))
 
 
 def _tiles(asking: DataFrame, rows: DataFrame, shards: int, blocks: int, k: int, second: bool) -> DataFrame:
@@ -101,7 +101,7 @@ def _tiles(asking: DataFrame, rows: DataFrame, shards: int, blocks: int, k: int,
     cand = rows.select("vec_id", "label", "v", "dim", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asking = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
-    def tile(key, qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+    def tile(key, qs, cs):
         out = []
         if len(qs) and len(cs):
             ids, labels, dim = cs["vec_id"].to_numpy(np.int64), cs["label"].to_numpy(np.int64), int(key[2])
@@ -165,7 +165,8 @@ def hard_negatives(anchors: DataFrame, rows: DataFrame, id_col: str, vector_col:
             for d, part in f.groupby("dim"):
                 x = np.stack(part["v"].to_numpy()).reshape(len(part), d)
                 there = x.any(axis=1)  # zero vectors have no direction and stay in cluster 0
-                f.loc[part.index[there], "cluster"] = nearest(unit(x[there]), centres[d], 1)[:, 0]
+                if there.any():
+                    f.loc[part.index[there], "cluster"] = nearest(unit(x[there]), centres[d], 1)[:, 0]
             yield f
 
     # clusters stay together, but one of more than a block's anchors is dealt into parts

@@ -199,7 +199,7 @@ class ShardedTable:
         keys = self.spark.createDataFrame([(e, s, f, [(p["goal"], p["part"]) for p in parts]) for (e, s, f), parts in cuts.items()], "epoch int, shard int, file string, parts array<struct<goal: int, part: long>>")
         rows = self.read(v).select("epoch", "shard", "file", "place", "bytes").join(F.broadcast(keys), ["epoch", "shard", "file"])
 
-        def deal(key, f: pd.DataFrame) -> pd.DataFrame:
+        def deal(key, f):
             lack = [[-int(p["part"]), int(p["goal"])] for p in f["parts"].iloc[0]]
             heapq.heapify(lack)
             out = np.zeros(int(f["place"].max()) + 1, dtype=">u2")
