@@ -21,7 +21,9 @@ RANKED_BYTES = 64
 #: A tile has so many ids on a side; one with a pair for every ``SPARSE`` cells at least is counted densely.
 SIDE, SPARSE = 1024, 16
 #: Pairs that a task gathers before it counts them.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
+#: Counted rows that a task hands over at once.
+SENT = 1 << 15
 #: A slice of a text that is cut into words at once.
 SLICE = 1 << 20
 #: Codes from here on are hashes of words without a rank.
@@ -167,7 +169,8 @@ def _counted(docs: DataFrame, ranks: Ranks, split: Callable, tiled: Callable, na
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
             for found in tiled(*cols):
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=[*names, "n"])
+                batch = pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=[*names, "n"])
+                yield from (batch.slice(at, SENT) for at in range(0, batch.num_rows, SENT))
 
         for batch in batches:
             for lang, texts in by_lang(batch):
@@ -237,7 +240,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
 
     Three passes over the texts: words, pairs of frequent words, triples of frequent pairs. Ids are ranks by frequency for the ``RANKED``
     most frequent words (and pairs), hashes without clashes for all others. Tasks count tiles of ids and emit each pair once for
-    some two million; Spark adds the tasks' counts, so no key's rows meet in one task. Counts are exact; products are decimals.
+    some half a million; Spark adds the tasks' counts, so no key's rows meet in one task. Counts are exact; products are decimals.
     """
     docs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     vocabulary = stage(count_words(docs), "vocabulary")
