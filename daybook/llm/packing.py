@@ -25,8 +25,9 @@ from pyspark.sql.window import Window
 
 from daybook.llm.common import lean, stage
 
-#: Encoded words, and encoded stems, that a worker keeps; beyond it a store starts anew.
-CACHED_WORDS = 150_000
+#: Encoded words, and encoded stems, that a worker keeps in a store; beyond it a new store begins and the full one stays beside it,
+#: so that words which come again are taken over.
+CACHED_WORDS = 250_000
 BLANKS = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Only these split str.split() from the tokenizer's own white space.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -49,6 +50,7 @@ class CachedEncoder:
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -91,11 +93,14 @@ class CachedEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > self.keep:
-            self.words = {}
+            self.older, self.words = self.words, {}
         split = [[] if not t else BLANKS.split(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
         known = self.words
         if new := {w for words in split for w in words if w not in known}:
-            self._add(new)
+            older = self.older
+            known.update((w, older[w]) for w in new if w in older)
+            if new := {w for w in new if w not in known}:
+                self._add(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
