@@ -378,7 +378,7 @@ def segmented_score(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scores.groupBy(*by).agg((F.sum("economic_loss") / d).alias("normalized_loss"), (F.sum(F.col("penalty") * F.col("denominator")) / d).alias("penalty"), (F.sum("economic_loss") / d + F.sum(F.col("penalty") * F.col("denominator")) / d).alias("decision_loss"))
 
 
-#: A product's predictions are flat below this share of the actual deviation.
+# Fixed value: a product's predictions are flat below this share of the actual deviation.
 FLAT_RATIO = 0.5
 
 
@@ -454,6 +454,7 @@ def refit_report(df: DataFrame, date: str = "dt", y: str = "actual", p: str = "p
 GRID_SLOPES, GRID_INTERCEPTS = (0.90, 0.95, 1.0, 1.05), (-3.0, -2.0, -1.0, 0.0, 1.0)
 
 
+# Columns that are calibrated along with the prediction.
 SCALES = ("prediction_p2_5", "prediction_p10", "prediction_p50", "prediction_p90", "prediction_p97_5", "lower_80", "upper_80", "lower_95", "upper_95")
 
 
