@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daybook.operators import selection as FS
+from daybook.sources.readers import conform
 
 STATIC_AND_KNOWN = ("static_cat", "static_real", "known_cat", "known_real")
 KNOWN = ("known_cat", "known_real")
@@ -49,6 +50,16 @@ FORECAST_SCHEMA = T.StructType(
 )
 
 
+def weather_forecasts(feed: DataFrame) -> DataFrame:
+    """``feed`` under the forecast contract: its columns cast, those it lacks null, tagged ``forecast``.
+
+    A forecast for a day counts only if it was generated before that day began; rows that come later, that say no time of
+    generation or that have no day go, as features made of them would know the future. A feed without rows gives the typed empty table.
+    """
+    rows = conform(feed, FORECAST_SCHEMA).withColumn("weather_observation_type", F.lit("forecast"))
+    return rows.where(F.col("forecast_generated_at") < F.col("dt").cast("timestamp"))
+
+
 def _first_match(name: Column, rules: Sequence[tuple], extra: Sequence[tuple[Column, str]] = (), default: str = "") -> Column:
     tests = [(reduce(Column.__or__, [*[name.startswith(p) for p in starts], *[name.endswith(e) for e in ends], *[name.contains(i) for i in inside]]), out) for out, starts, ends, inside in rules]
     return reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), reversed([*tests, *extra]), F.lit(default))

@@ -96,11 +96,21 @@ def _(spark, d):
     return K.cast_feature_registry(raw).select("feature_name", "feature_family", "available_at_prediction", "include_in_training", "default_value", "notes")
 
 
-@query("weather_forecast_contract", "SELECT 'actual' AS weather_observation_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, round(avg(value), 6) AS weather_temperature_mean FROM events GROUP BY CAST(ts AS DATE)")
+#: Forecasts of the next day as feeds bring them: known in time, known too late, and of unknown age.
+FORECAST_AGE = "CASE event_type WHEN 'view' THEN ts WHEN 'click' THEN ts + INTERVAL 2 DAYS END"
+
+
+@query(
+    "weather_forecast_contract",
+    """SELECT 'actual' AS weather_observation_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, round(avg(value), 6) AS weather_temperature_mean, count(*) AS n_rows FROM events GROUP BY CAST(ts AS DATE)
+UNION ALL SELECT 'forecast', CAST(CAST(ts AS DATE) + 1 AS VARCHAR), round(avg(value), 6), count(*) FROM events WHERE event_type = 'view' GROUP BY CAST(ts AS DATE)""",
+)
 def _(spark, d):
-    actual = table(spark, d, "events").groupBy(F.to_date("ts").alias("dt")).agg(F.avg("value").alias("weather_temperature_mean")).withColumn("weather_observation_type", F.lit("actual"))
-    both = actual.unionByName(S.empty_table(spark, K.FORECAST_SCHEMA), allowMissingColumns=True)
-    return both.select("weather_observation_type", "dt", "weather_temperature_mean")
+    e = table(spark, d, "events")
+    feed = e.select(F.col("user_id").alias("location_id"), F.date_add(F.to_date("ts"), 1).alias("dt"), F.expr(FORECAST_AGE).alias("forecast_generated_at"), F.col("value").alias("weather_temperature_mean"))
+    actual = e.select(F.to_date("ts").alias("dt"), F.col("value").alias("weather_temperature_mean"), F.lit("actual").alias("weather_observation_type"))
+    both = actual.unionByName(K.weather_forecasts(feed), allowMissingColumns=True)
+    return both.groupBy("weather_observation_type", "dt").agg(F.avg("weather_temperature_mean").alias("weather_temperature_mean"), F.count("*").alias("n_rows"))
 
 
 @query("provider_policy_snapshot", "SELECT r.source_id, r.review_status IN ('allowed', 'quarantine') AS enabled, r.review_status, count(e.event_id) AS n_rows FROM registry r LEFT JOIN events e ON r.source_id = 'weather_' || chr((97 + e.user_id % 3)::INT) WHERE r.source_id IN ('weather_a', 'weather_c') GROUP BY ALL", "registry")

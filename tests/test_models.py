@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from daybook.operators import contracts as K
 from daybook.operators import evaluation as E
 from daybook.operators import models as M
 from daybook.operators import relational as R
@@ -161,3 +162,16 @@ def test_cold_series_get_the_whole_context(spark):
     cold = spark.createDataFrame([(d, d * 1.0) for d in range(200)] + [(7, 7.0)], "d int, v double")
     out = R.add_cold_start(context, spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "k string"), cold, "k")
     assert {r["k"]: r["count"] for r in out.groupBy("k").count().collect()} == {"a": 1, "b": 201, "c": 201}
+
+
+def test_forecasts_that_know_the_future_go(spark):
+    at = dt.datetime
+    feed = spark.createDataFrame(
+        [("a", D(2024, 5, 2), at(2024, 5, 1, 23, 59), 1.5, 7), ("b", D(2024, 5, 2), at(2024, 5, 2), 2.5, 7), ("c", D(2024, 5, 2), None, 3.5, 7), ("d", None, at(2024, 5, 1), 4.5, 7), (None, D(2024, 5, 2), at(2024, 1, 1), None, 7)],
+        "location_id string, dt date, forecast_generated_at timestamp, weather_temperature_mean double, weather_observation_type long",
+    )
+    out = K.weather_forecasts(feed.withColumn("noise", F.lit(1)))
+    assert out.columns == K.FORECAST_SCHEMA.names and [t for _, t in out.dtypes] == [f.dataType.simpleString() for f in K.FORECAST_SCHEMA]
+    got = sorted((r["location_id"] or "", r["weather_temperature_mean"], r["weather_observation_type"], r["latitude"]) for r in out.collect())
+    assert got == [("", None, "forecast", None), ("a", 1.5, "forecast", None)]
+    assert K.weather_forecasts(feed.limit(0)).columns == K.FORECAST_SCHEMA.names and K.weather_forecasts(feed.limit(0)).isEmpty()
