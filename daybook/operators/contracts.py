@@ -93,13 +93,15 @@ def projection_columns(df: DataFrame, required: Sequence[str], explicit: Sequenc
     return [f.name for f in df.schema if f.name in {*required, *explicit} or isinstance(f.dataType, plain)]
 
 
-def model_features(df: DataFrame, roles: Mapping[str, str], excluded: Sequence[str] = (), identifiers: Sequence[str] = ()) -> dict[str, list[str]]:
+def model_features(df: DataFrame, roles: Mapping[str, str], excluded: Sequence[str] = (), identifiers: Sequence[str] = (), zero_only: bool = False) -> dict[str, list[str]]:
     """Model inputs: columns with a role, less excluded ones, identifiers and those with one value only.
 
-    One aggregation finds the constant ones. Returns features, constant and identifiers.
+    With ``zero_only`` a column goes only if it is zero in every row, and other constants stay: whether a flag or a
+    static attribute varies is then no matter of how many rows a table has. One aggregation finds the constant ones. Returns features, constant and
+    identifiers.
     """
     mapped = [c for c in df.columns if c in roles and c not in {*excluded, *identifiers}]
-    kept = FS.drop_constant(df, mapped) if mapped else []
+    kept = (FS.drop_zero_only if zero_only else FS.drop_constant)(df, mapped) if mapped else []
     return {"features": kept, "constant": [c for c in mapped if c not in kept], "identifiers": [c for c in identifiers if c in df.columns]}
 
 

@@ -79,7 +79,7 @@ def _(spark, d):
 def _(spark, d):
     p = panel(spark, d).withColumns({"always_zero": F.lit(0.0), "unmapped": F.col("demand")})
     roles = {"demand": "unknown_real", "is_observed_row": "unknown_cat", "always_zero": "unknown_real", "revenue": "unknown_real", "product_id": "static_cat"}
-    chosen = K.model_features(p, roles, excluded=["revenue"], identifiers=["product_id"])["features"]
+    chosen = K.model_features(p, roles, excluded=["revenue"], identifiers=["product_id"], zero_only=True)["features"]
     return p.agg(*[F.count(c).alias(c) for c in chosen]).unpivot([], chosen, "feature", "n_known")
 
 
