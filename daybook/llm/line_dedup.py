@@ -25,8 +25,10 @@ VALUES, BANDS = 20, 16
 TILE_ROWS = 256
 #: Crowded buckets get so many rounds of stars while a round leaves at most this share of their rows open.
 STAR_ROUNDS, STILL_OPEN = 8, 0.9
-#: 64-bit words of a set's parity bitmap.
-PARITY = 8
+#: 64-bit words of a set's parity bitmap: 2048 bits do not fill up with the some hundred shingles of a long line.
+PARITY = 32
+#: Words of the shorter ones that lines of a bucket meet with.
+FOLDED = 16
 #: A side is broadcast where it was counted to have at most so many numbers; else both are shuffled.
 BROADCAST_NUMBERS = 2_000_000
 #: What a blank line consists of, besides nothing.
@@ -90,34 +92,58 @@ def signed(distinct: DataFrame) -> DataFrame:
     return values.select("lid", "c", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in places]) for b, places in enumerate(bands())]).alias("keys"))
 
 
-def sets_of(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """(*keep, hashes): the set of shingles of each ``line``, one line for each value of ``keep``."""
-    rows = in_blocks(lines, keep).select(*keep, F.array(*[f"h{k}" for k in range(BLOCK)]).alias("block"))
-    return rows.groupBy(*keep).agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("hashes"))
+def set_of(line: Column) -> Column:
+    """The distinct hashes of a line's shingles, the ones of ``in_blocks``, as an array made within its row."""
+    width = SHINGLE * UNIT
+    places = lambda u: F.sequence(F.lit(1), F.greatest(F.length(u) - (width - 1), F.lit(1)), F.lit(UNIT))
+    # bound as a lambda's argument, a line is encoded once, not for each shingle
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.array_distinct(F.transform(places(u), lambda at: F.xxhash64(F.substring(u, at, F.lit(width)))))), F.lit(0))
+
+
+def maps_of(texts: DataFrame) -> DataFrame:
+    """(lid, n, w0, w1, ...), staged: the size and the parity bitmap of each line's set of shingles."""
+    hashes = texts.repartition("lid").select("lid", F.explode(set_of(F.col("line"))).alias("h"))
+    words = hashes.groupBy("lid", (F.shiftrightunsigned("h", 6) % PARITY).alias("k")).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, CAST(h & 63 AS int))")).alias("bits"))
+    of = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}")
+    return stage(words.groupBy("lid").agg(F.sum("n").alias("n"), *map(of, range(PARITY))), "maps")
+
+
+def may_be_similar(threshold: float, words: int = PARITY) -> Column:
+    """Whether the sizes and bitmaps of rows x and y, from ``maps_of`` or ``folded``, allow the similarity:
+    bitmaps never differ in more bits than sets do in elements."""
+    a, b = F.col("x.n"), F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(words)), F.lit(0))
+    return (F.least(a, b) >= threshold * F.greatest(a, b)) & (apart * (1 + threshold) <= (a + b) * (1 - threshold) + 1e-6)
+
 
+def folded(maps: DataFrame) -> DataFrame:
+    """``maps`` with bitmaps of FOLDED words, which are parity bitmaps as well."""
+    word = lambda k: functools.reduce(Column.bitwiseXOR, [F.col(f"w{j}") for j in range(k, PARITY, FOLDED)]).alias(f"w{k}")
+    return maps.select("lid", "n", *[word(k) for k in range(FOLDED)])
 
-def texts_of(distinct: DataFrame, lids: DataFrame) -> DataFrame:
-    """(lid, line), staged: the lines of ``lids``, a staged table."""
-    return stage(distinct.select("lid", "line").join(small_side(lids), "lid", "left_semi"), "texts")
 
+def likely_pairs(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), staged: those of the staged pairs (a, b) that may be similar."""
+    x, y = maps.alias("x"), maps.alias("y")
+    met = pairs.join(x, F.col("a") == F.col("x.lid")).join(y, F.col("b") == F.col("y.lid"))
+    return stage(met.where(may_be_similar(threshold)).select("a", "b"), "likely")
 
-def verified(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of those of the staged pairs (a, b) whose sets of shingles are similar; staged.
 
     Texts, an eighth of their sets, meet first and are dealt out by pairs, so that a line with many
     partners is dealt to many tasks; each pair's two sets are made there.
     """
-    needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "needed")
-    texts = texts_of(distinct, needed)
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = both.repartition(tasks, "a", "b").select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("line")), F.struct(F.lit(1).alias("side"), F.col("y").alias("line")))).alias("s"))
-    rows = in_blocks(sides.select("a", "b", "s.side", "s.line"), ["a", "b", "side"]).select("a", "b", "side", F.array(*[f"h{k}" for k in range(BLOCK)]).alias("block"))
-    side = lambda k: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == k, F.col("block"))))).alias(f"s{k}")
-    sizes = rows.groupBy("a", "b").agg(side(0), side(1)).select("a", "b", F.size("s0").alias("m"), F.size("s1").alias("n"), F.size(F.array_intersect("s0", "s1")).alias("shared"))
-    links = stage(sizes.where(F.col("shared") >= threshold * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b"), "links")
-    forget(needed, texts)
-    return links
+
+    def similar(s):
+        shared = F.size(F.array_intersect(s["x"], s["y"]))
+        return shared >= threshold * (F.size(s["x"]) + F.size(s["y"]) - shared)
+
+    sets = F.array(F.struct(set_of(F.col("x")).alias("x"), set_of(F.col("y")).alias("y")))
+    return stage(both.repartition(tasks, "a", "b").where(F.exists(sets, similar)).select("a", "b"), "links")
 
 
 def open_rows(large: DataFrame, components: DataFrame) -> DataFrame:
@@ -138,30 +164,24 @@ def star_pairs(live: DataFrame, turn: int) -> DataFrame:
     return pairs
 
 
-def unmet_pairs(live: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), staged: the pairs of different components that share a bucket of ``live``, from ``open_rows``.
+def unmet_pairs(live: DataFrame, keyed: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), staged: the pairs of different components that share a bucket of ``live``, from ``open_rows``, and may be similar.
 
     Blocks of about TILE_ROWS rows of a bucket meet in tiles, each a key of a join, so a bucket is dealt
-    to as many tasks as it needs. A tile gives only pairs whose sizes and parity bitmaps allow
-    the similarity: bitmaps never differ in more bits than sets do in elements.
+    to as many tasks as it needs. A pair is made in the first bucket that both lines are in, not in
+    each: that one is live too, as it holds two components, or held no other line and was decided.
     """
-    needed = stage(live.select("lid").distinct(), "needed")
-    texts = texts_of(distinct, needed)
-    bits = sets_of(texts, ["lid"]).select("lid", F.explode("hashes").alias("h"))
-    bit = F.expr("shiftleft(1L, CAST(h & 63 AS int))")
-    words = [F.coalesce(F.bit_xor(F.when(F.shiftrightunsigned("h", 6) % PARITY == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(PARITY)]
-    maps = stage(bits.groupBy("lid").agg(F.count("*").alias("n"), *words), "maps")
     blocks = F.ceil(F.col("c") / TILE_ROWS).cast("int")
-    dealt = stage(live.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("lid"), F.col("last") + 1).cast("int")).join(maps, "lid"), "dealt")
+    lines = stage(folded(maps).join(keyed.select("lid", "keys"), "lid"), "lines")
+    dealt = stage(live.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("lid"), F.col("last") + 1).cast("int")).join(lines, "lid"), "dealt")
     x = dealt.withColumnRenamed("own", "i").withColumn("j", F.explode(F.sequence("i", "last"))).alias("x")
     y = dealt.withColumnRenamed("own", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).alias("y")
-    of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
     tile = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     unmet = ((F.col("x.i") < F.col("x.j")) | (F.col("x.lid") > F.col("y.lid"))) & (F.col("x.label") != F.col("y.label"))
-    (a, b), apart = of("n"), sum((F.bit_count(u.bitwiseXOR(v)) for u, v in (of(f"w{k}") for k in range(PARITY))), F.lit(0))
-    allowed = (F.least(a, b) >= threshold * F.greatest(a, b)) & (apart * (1 + threshold) <= (a + b) * (1 - threshold) + 1e-6)
-    rest = stage(x.join(y, tile & unmet & allowed).select(F.greatest("x.lid", "y.lid").alias("a"), F.least("x.lid", "y.lid").alias("b")).distinct(), "rest")
-    forget(needed, texts, maps, dealt)
+    first = F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("x.key")
+    met = x.join(y, tile & unmet & may_be_similar(threshold, FOLDED) & first)
+    rest = stage(met.select(F.greatest("x.lid", "y.lid").alias("a"), F.least("x.lid", "y.lid").alias("b")).distinct(), "rest")
+    forget(lines, dealt)
     return rest
 
 
@@ -180,15 +200,20 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
     large = stage(entries.join(small_side(crowded), "key").select("key", "lid", "least", "c"), "large")
     stars = buckets.where("c = 2").select(F.col("most").alias("a"), F.col("least").alias("b")).unionByName(large.where("lid <> least").select(F.col("lid").alias("a"), F.col("least").alias("b")))
     pairs = stage(stars.distinct(), "pairs")
-    links = [verified(pairs, distinct, threshold)]
+    needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "needed")
+    texts = stage(distinct.select("lid", "line").join(small_side(needed), "lid", "left_semi"), "texts")
+    maps = maps_of(texts)
+    likely = likely_pairs(pairs, maps, threshold)
+    links = [verified(likely, texts, threshold)]
     components = connected_components(links[0])
     live = open_rows(large.select("key", "lid", "c"), components.withColumnRenamed("node", "lid"))
-    forget(buckets, crowded, large, pairs)
+    forget(buckets, crowded, large, pairs, needed, likely)
     rows, turn = live.count(), 0
     while rows:
-        pairs = star_pairs(live, turn) if turn < STAR_ROUNDS else unmet_pairs(live, distinct, threshold)
-        more = verified(pairs, distinct, threshold)
-        forget(pairs)
+        pairs = star_pairs(live, turn) if turn < STAR_ROUNDS else unmet_pairs(live, keyed, maps, threshold)
+        likely = likely_pairs(pairs, maps, threshold)
+        more = verified(likely, texts, threshold)
+        forget(pairs, likely)
         before, found = rows, not more.isEmpty()
         if found:
             links.append(more)
@@ -201,7 +226,7 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
             forget(live)
             live, rows = still, still.count()
         turn = turn + 1 if rows <= STILL_OPEN * before else STAR_ROUNDS
-    forget(live, *links)
+    forget(live, texts, maps, *links)
     out = components.withColumnRenamed("node", "lid")
     out.staged_in = components.__dict__.pop("staged_in")
     return out

@@ -617,6 +617,22 @@ def test_similar_lines_are_found_among_many_lines_of_one_template(spark, monkeyp
     assert len(links) == 300 and len(got) == 600 and all(got[k] == want[k] for k in keys)
 
 
+def test_long_lines_of_one_template_are_decided_only_near_the_threshold(spark, monkeypatch):
+    decided, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *rest: decided.append(pairs.count()) or verified(pairs, *rest))
+    r = random.Random(11)
+    base, lines = [r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500)], []
+    for n in range(90):
+        w = list(base)
+        for _ in range(5):
+            w[r.randrange(1, 499)] = r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        lines.append("".join(w))
+    distinct, got = near(with_ids(spark, lines))
+    keys, links, want = brute_lines(distinct)
+    assert 0 < len(links) < 400 and all(got.get(k, k) == want[k] for k in keys)
+    assert sum(decided) < len(links) + 400 < 90 * 89 / 8
+
+
 def test_similar_lines_of_different_word_counts_are_found(spark):
     r = random.Random(10)
     word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
