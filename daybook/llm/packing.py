@@ -55,13 +55,17 @@ class CachedEncoder:
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
+    def _ids(self, text: str) -> np.ndarray:
+        # of the tokenizer's calls the one that tracks no offsets
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _alone(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids(text).tobytes()
 
     def _add_stems(self, new: list[str]) -> None:
         for s in range(0, len(new), 2000):
             some = new[s : s + 2000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
                 data, at = ids.tobytes(), 0
@@ -71,22 +75,19 @@ class CachedEncoder:
                 self.stems.update((stem, self._alone(stem)) for stem in some)
 
     def _add(self, new: set[str]) -> None:
-        parts, stems = [], set()
+        whole, stems, tails = [], [], []
         for w in new:
             stem = w.rstrip(TAIL)
             if stem.isalpha():
-                tail, stem = w[len(stem) :], stem.lower() if stem.isascii() else stem
-                stems.add(stem)
-                if tail:
-                    stems.add(tail)
-                parts.append((w, stem, tail))
+                whole.append(w)
+                tails.append(w[len(stem) :])
+                stems.append(stem.lower() if stem.isascii() else stem)
             else:
                 self.words[w] = self._alone(w)
-        stems = {s for s in stems if s not in self.stems}
-        self._add_stems([s for s in stems if s.isalpha()])
-        self.stems.update((s, self._alone(s)) for s in stems if not s.isalpha())
         known = self.stems
-        for w, stem, tail in parts:
+        self._add_stems([s for s in set(stems) if s not in known])
+        known.update((t, self._alone(t)) for t in set(tails) if t and t not in known)
+        for w, stem, tail in zip(whole, stems, tails, strict=True):
             self.words[w] = known[stem] + known[tail] if tail else known[stem]
         if len(known) > self.keep:
             self.stems = {}

@@ -485,6 +485,19 @@ def test_reduction_of_many_equal_items_keeps_the_optimum_and_few_patterns():
         assert len({len(patterns) for patterns in found}) == 1 and len(found[0]) < 2 * len(sizes)
 
 
+def test_words_are_encoded_without_offsets_and_as_in_their_text():
+    coder = packing.CachedEncoder(P.path("word_bpe_49k.json"), keep=20)
+    texts = ["Ab, ab abc123 (x) \u00c9t\u00e9! \u00c9T\u00c9 ...", None, "", "x1 , 9. Ab,ab a\x1cb \u6f22\u5b57. Stra\u00dfe's", " ".join(f"w{chr(97 + n % 26) * (n // 26 + 1)}{',.'[n % 2]}" for n in range(90)), "ab Ab,"]
+    want = [np.asarray(coder.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+    class Fast:
+        def __init__(self, inner):
+            self.encode_batch_fast = inner.encode_batch_fast
+
+    coder.tokenizer = Fast(coder.tokenizer)
+    assert [coder.encode([t])[0] for t in texts] == want and coder.encode(texts) == want
+
+
 def test_packing_places_every_piece_gaplessly(spark):
     from tokenizers import Tokenizer
 
