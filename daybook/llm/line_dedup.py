@@ -17,7 +17,7 @@ from daybook.llm.common import connected_components, forget, stage
 #: Characters (UTF-16 units) of a shingle, and bytes of a unit.
 SHINGLE, UNIT = 8, 2
 #: Shingles in a row of work: the loop over them is compiled, and one aggregation step serves all.
-BLOCK = 16
+BLOCK = 24
 #: MinHash values of a line. A band joins four of them, any two bands share one at most; at a similarity
 #: of 0.8 a pair agrees in one of the bands with a probability of 0.993.
 VALUES, BANDS = 20, 16
@@ -59,6 +59,11 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * len(df.columns) <= BROADCAST_NUMBERS else df
 
 
+def never_null(df: DataFrame) -> DataFrame:
+    """``df``, whose whole numbers are never null, in a form that says so: what is compiled for them tests no nulls."""
+    return df.select(*[F.coalesce(c, F.lit(0).cast(kind)).alias(c) if kind in ("int", "bigint") else c for c, kind in df.dtypes])
+
+
 def line_id(line: Column, salt: int = 0) -> Column:
     return F.xxhash64(line) if not salt else F.xxhash64(F.lit(salt), line)
 
@@ -85,24 +90,31 @@ def in_blocks(lines: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def signed(distinct: DataFrame) -> DataFrame:
-    """(lid, c, keys): a key for each band of each line's signature; c: how many lines have this lid."""
+    """``distinct``, rows that differ in ``lid`` or ``line``, with ``keys``: one for each band of the line's signature.
+
+    The rows are grouped by all that they hold: what was dealt by (lid, line) is not dealt out again.
+    """
     block = [F.col(f"h{k}") for k in range(BLOCK)]
     least = [F.min(F.least(*[h.bitwiseXOR(F.lit(c)) for h in block])).alias(f"m{k}") for k, c in enumerate(targets())]
-    values = in_blocks(distinct, ["lid"]).groupBy("lid").agg(F.count_if(F.col("at") == 1).alias("c"), *least)
-    return values.select("lid", "c", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in places]) for b, places in enumerate(bands())]).alias("keys"))
+    values = in_blocks(distinct, distinct.columns).groupBy(*distinct.columns).agg(*least)
+    return values.select(*distinct.columns, F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in places]) for b, places in enumerate(bands())]).alias("keys"))
+
 
+def shingles_of(line: Column) -> Column:
+    """The hashes of a line's shingles, the ones of ``in_blocks``, repeats included, as an array made within its row.
 
-def set_of(line: Column) -> Column:
-    """The distinct hashes of a line's shingles, the ones of ``in_blocks``, as an array made within its row."""
+    What takes the array, as array_distinct, belongs outside of lambdas: there it is compiled.
+    """
     width = SHINGLE * UNIT
     places = lambda u: F.sequence(F.lit(1), F.greatest(F.length(u) - (width - 1), F.lit(1)), F.lit(UNIT))
     # bound as a lambda's argument, a line is encoded once, not for each shingle
-    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.array_distinct(F.transform(places(u), lambda at: F.xxhash64(F.substring(u, at, F.lit(width)))))), F.lit(0))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.transform(places(u), lambda at: F.xxhash64(F.substring(u, at, F.lit(width))))), F.lit(0))
 
 
 def maps_of(texts: DataFrame) -> DataFrame:
     """(lid, n, w0, w1, ...), staged: the size and the parity bitmap of each line's set of shingles."""
-    hashes = texts.repartition("lid").select("lid", F.explode(set_of(F.col("line"))).alias("h"))
+    sets = texts.repartition("lid").select("lid", F.array_distinct(shingles_of(F.col("line"))).alias("set"))
+    hashes = sets.select("lid", F.explode("set").alias("h"))
     words = hashes.groupBy("lid", (F.shiftrightunsigned("h", 6) % PARITY).alias("k")).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, CAST(h & 63 AS int))")).alias("bits"))
     of = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}")
     return stage(words.groupBy("lid").agg(F.sum("n").alias("n"), *map(of, range(PARITY))), "maps")
@@ -123,27 +135,30 @@ def folded(maps: DataFrame) -> DataFrame:
 
 
 def likely_pairs(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), staged: those of the staged pairs (a, b) that may be similar."""
-    x, y = maps.alias("x"), maps.alias("y")
-    met = pairs.join(x, F.col("a") == F.col("x.lid")).join(y, F.col("b") == F.col("y.lid"))
-    return stage(met.where(may_be_similar(threshold)).select("a", "b"), "likely")
+    """(a, b, n), staged: those of the staged pairs (a, b) that may be similar; n: the sum of their sets' sizes."""
+    few = pairs.count() * (PARITY + 4) <= BROADCAST_NUMBERS
+    side = F.broadcast if few else lambda df: df
+    x, y = (never_null(maps).alias(k) for k in "xy")
+    met = side(side(pairs).join(x, F.col("a") == F.col("x.lid"))).join(y, F.col("b") == F.col("y.lid"))
+    return stage(met.where(may_be_similar(threshold)).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n")), "likely")
+
+
+def least_shared(n: Column, threshold: float) -> Column:
+    """The smallest s with s >= threshold * (n - s), for sets of n elements in all: so many shared ones make them similar."""
+    near = F.floor(n * (threshold / (1 + threshold)))
+    return F.get(F.filter(F.sequence(near - 1, near + 2), lambda s: s >= threshold * (n - s)), F.lit(0))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of those of the staged pairs (a, b) whose sets of shingles are similar; staged.
+    """(a, b) of those of the staged pairs (a, b, n), from ``likely_pairs``, whose sets of shingles are similar; staged.
 
     Texts, an eighth of their sets, meet first and are dealt out by pairs, so that a line with many
     partners is dealt to many tasks; each pair's two sets are made there.
     """
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def similar(s):
-        shared = F.size(F.array_intersect(s["x"], s["y"]))
-        return shared >= threshold * (F.size(s["x"]) + F.size(s["y"]) - shared)
-
-    sets = F.array(F.struct(set_of(F.col("x")).alias("x"), set_of(F.col("y")).alias("y")))
-    return stage(both.repartition(tasks, "a", "b").where(F.exists(sets, similar)).select("a", "b"), "links")
+    shared = F.size(F.array_intersect(shingles_of(F.col("x")), shingles_of(F.col("y"))))
+    return stage(both.repartition(tasks, "a", "b").where(shared >= least_shared(F.col("n"), threshold)).select("a", "b"), "links")
 
 
 def open_rows(large: DataFrame, components: DataFrame) -> DataFrame:
@@ -172,16 +187,19 @@ def unmet_pairs(live: DataFrame, keyed: DataFrame, maps: DataFrame, threshold: f
     each: that one is live too, as it holds two components, or held no other line and was decided.
     """
     blocks = F.ceil(F.col("c") / TILE_ROWS).cast("int")
-    lines = stage(folded(maps).join(keyed.select("lid", "keys"), "lid"), "lines")
+    ids = stage(live.select("lid").distinct(), "ids")
+    keys = keyed.select("lid", "keys").join(small_side(ids), "lid", "left_semi")
+    lines = stage(folded(maps).join(keys, "lid"), "lines")
     dealt = stage(live.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("lid"), F.col("last") + 1).cast("int")).join(lines, "lid"), "dealt")
-    x = dealt.withColumnRenamed("own", "i").withColumn("j", F.explode(F.sequence("i", "last"))).alias("x")
-    y = dealt.withColumnRenamed("own", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).alias("y")
+    plain = never_null(dealt)
+    x = plain.withColumnRenamed("own", "i").withColumn("j", F.explode(F.sequence("i", "last"))).alias("x")
+    y = plain.withColumnRenamed("own", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).alias("y")
     tile = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     unmet = ((F.col("x.i") < F.col("x.j")) | (F.col("x.lid") > F.col("y.lid"))) & (F.col("x.label") != F.col("y.label"))
     first = F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("x.key")
     met = x.join(y, tile & unmet & may_be_similar(threshold, FOLDED) & first)
     rest = stage(met.select(F.greatest("x.lid", "y.lid").alias("a"), F.least("x.lid", "y.lid").alias("b")).distinct(), "rest")
-    forget(lines, dealt)
+    forget(ids, lines, dealt)
     return rest
 
 
@@ -189,16 +207,19 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
     """(lid, component), staged: distinct lines with a near-duplicate; component is the smallest lid reachable.
 
     distinct: (lid, line), keyed: (lid, keys), both staged. Similarity: Jaccard of the sets of shingles.
+    Most keys are alone: they are counted without their lines, which are looked up for the others only.
     In a bucket each line first meets the smallest, then, while buckets hold several components, one
     line after another: so large groups of similar lines are joined with few pairs. All pairs of
     different components that are left in a bucket are compared at last, so every pair in a bucket is
     decided.
     """
     entries = keyed.select("lid", F.explode("keys").alias("key"))
-    buckets = stage(entries.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.count("*").alias("c")).where("c > 1"), "buckets")
-    crowded = stage(buckets.where("c > 2").select("key", "least", "c"), "crowded")
-    large = stage(entries.join(small_side(crowded), "key").select("key", "lid", "least", "c"), "large")
-    stars = buckets.where("c = 2").select(F.col("most").alias("a"), F.col("least").alias("b")).unionByName(large.where("lid <> least").select(F.col("lid").alias("a"), F.col("least").alias("b")))
+    several = stage(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "several")
+    shared = stage(entries.join(small_side(several), "key").select("key", "lid"), "shared")
+    buckets = stage(shared.groupBy("key").agg(F.min("lid").alias("least"), F.count("*").alias("c")), "buckets")
+    met = stage(shared.join(buckets, "key").select("key", "lid", "least", "c"), "met")
+    large = met.where("c > 2").select("key", "lid", "c")
+    stars = met.where("lid <> least").select(F.col("lid").alias("a"), F.col("least").alias("b"))
     pairs = stage(stars.distinct(), "pairs")
     needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "needed")
     texts = stage(distinct.select("lid", "line").join(small_side(needed), "lid", "left_semi"), "texts")
@@ -206,8 +227,8 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
     likely = likely_pairs(pairs, maps, threshold)
     links = [verified(likely, texts, threshold)]
     components = connected_components(links[0])
-    live = open_rows(large.select("key", "lid", "c"), components.withColumnRenamed("node", "lid"))
-    forget(buckets, crowded, large, pairs, needed, likely)
+    live = open_rows(large, components.withColumnRenamed("node", "lid"))
+    forget(several, shared, buckets, met, pairs, needed, likely)
     rows, turn = live.count(), 0
     while rows:
         pairs = star_pairs(live, turn) if turn < STAR_ROUNDS else unmet_pairs(live, keyed, maps, threshold)
@@ -232,8 +253,8 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
     return out
 
 
-def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines (doc, rid, pos, line, lid); staged, the different ones (lid, line, n, first_doc) and (lid, c, keys).
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Lines (doc, rid, pos, line, lid); staged, the different ones (lid, line, n, first_doc, keys).
 
     Hashes name lines. Where two different lines have one hash, those of them are
     hashed anew until all are apart.
@@ -241,13 +262,12 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     clashes: list[DataFrame] = []
     while True:
         lines = split_lines(docs, id_col, text_col, clashes)
-        distinct = stage(lines.groupBy("lid", "line").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")), "distinct")
-        keyed = stage(signed(distinct), "keyed")
-        clash = stage(keyed.where("c > 1").select("lid"), "clash")
+        distinct = stage(signed(lines.groupBy("lid", "line").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))), "distinct")
+        clash = stage(distinct.groupBy("lid").agg(F.count("*").alias("c")).where("c > 1").select("lid"), "clash")
         if clash.isEmpty():
             forget(clash)
-            return lines, distinct, keyed
-        forget(distinct, keyed)
+            return lines, distinct
+        forget(distinct)
         clashes.append(clash)
 
 
@@ -257,11 +277,11 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, threshold: float
     Of each component of equal and similar lines the first one stays: in the document with the
     smallest id, at the first place there.
     """
-    lines, distinct, keyed = distinct_lines(docs, id_col, text_col)
-    components = near_lines(distinct, keyed, threshold)
+    lines, distinct = distinct_lines(docs, id_col, text_col)
+    components = near_lines(distinct, distinct, threshold)
     groups = distinct.join(components, "lid", "left").where("n > 1 OR component IS NOT NULL").select("lid", F.coalesce("component", "lid").alias("component"), "first_doc")
     groups = stage(groups, "groups")
-    forget(distinct, keyed, components)
+    forget(distinct, components)
     keepers = stage(groups.groupBy("component").agg(F.min("first_doc").alias("keeper")), "keepers")
     kept_in = stage(groups.select("lid", "component").join(keepers, "component"), "kept_in")
     there = stage(lines.select("doc", "rid", "pos", "lid").join(small_side(kept_in), "lid").select("doc", "rid", "pos", "component", "keeper"), "there")

@@ -655,3 +655,13 @@ def test_similar_lines_of_different_word_counts_are_found(spark):
     _, got = near(with_ids(spark, lines))
     ids = [x["lid"] for x in with_ids(spark, lines).collect()]
     assert got == {ids[0]: min(ids[:2]), ids[1]: min(ids[:2]), ids[2]: min(ids[2:]), ids[3]: min(ids[2:])}
+
+
+def test_distinct_lines_are_signed_where_they_are_and_few_keys_are_looked_up(spark):
+    lines = with_ids(spark, ["a line of some words", "a line of some words", "another one"])
+    signed = line_dedup.signed(lines.groupBy("lid", "line").agg(F.count("*").alias("n")))
+    plan = signed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((x["line"], x["n"], len(x["keys"])) for x in signed.collect()) == [("a line of some words", 2, 16), ("another one", 1, 16)]
+    got = spark.range(2, 3000).select("id", line_dedup.least_shared(F.col("id"), 0.8).alias("s")).collect()
+    assert all(x["s"] >= 0.8 * (x["id"] - x["s"]) and x["s"] - 1 < 0.8 * (x["id"] - x["s"] + 1) for x in got)
