@@ -72,8 +72,9 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str, clashes: list[DataF
     """(doc, rid, pos, line, lid) of all lines that are not blank. rid: a hash of the whole text; lid: a
     hash of the line, taken anew where ``clashes`` list it."""
     text = F.col(text_col)
-    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("rid"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.where("doc IS NOT NULL").where(F.btrim("line", F.lit(BLANKS)) != "").withColumn("lid", line_id(F.col("line")))
+    # the outer form: for the plain one Spark asks first whether arrays are empty, and so makes them twice
+    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("rid"), F.posexplode_outer(F.split(text, "\n")).alias("pos", "line"))
+    lines = lines.where("doc IS NOT NULL").where(F.ltrim("line", F.lit(BLANKS)) != "").withColumn("lid", line_id(F.col("line")))
     for salt, clash in enumerate(clashes, 1):
         marked = clash.select("lid", F.lit(True).alias("clash"))
         lines = lines.join(marked, "lid", "left").withColumn("lid", F.when(F.col("clash"), line_id(F.col("line"), salt)).otherwise(F.col("lid"))).drop("clash")
@@ -85,19 +86,21 @@ def in_blocks(lines: DataFrame, keep: list[str]) -> DataFrame:
     a line's first row. The last row repeats the last shingle; a line of fewer characters is its own only one."""
     width = SHINGLE * UNIT
     units = lines.select(*keep, F.encode("line", "UTF-16BE").alias("units")).withColumn("last", F.expr(f"greatest(length(units) - {width - 1}, 1)"))
-    rows = units.select(*keep, "units", "last", F.explode(F.expr(f"sequence(1, last, {UNIT * BLOCK})")).alias("at"))
+    rows = units.select(*keep, "units", "last", F.explode_outer(F.expr(f"sequence(1, last, {UNIT * BLOCK})")).alias("at"))
     return rows.select(*keep, "at", *[F.xxhash64(F.expr(f"substring(units, least(at + {UNIT * k}, last), {width})")).alias(f"h{k}") for k in range(BLOCK)])
 
 
-def signed(distinct: DataFrame) -> DataFrame:
-    """``distinct``, rows that differ in ``lid`` or ``line``, with ``keys``: one for each band of the line's signature.
+def signed(lines: DataFrame, by: list[str] | None = None, **more: Column) -> DataFrame:
+    """(*by, *more, keys) for each group of ``lines``, whose ``line`` is one; keys: one for each band of the line's signature.
 
-    The rows are grouped by all that they hold: what was dealt by (lid, line) is not dealt out again.
+    by: all columns, if not given; so what was dealt by them is not dealt out again. Without ``line`` among
+    them, no text is a key of the rows of work. more: aggregates of ``lines``, with ``at`` 1 in one row of work of each line.
     """
+    by = by or lines.columns
     block = [F.col(f"h{k}") for k in range(BLOCK)]
     least = [F.min(F.least(*[h.bitwiseXOR(F.lit(c)) for h in block])).alias(f"m{k}") for k, c in enumerate(targets())]
-    values = in_blocks(distinct, distinct.columns).groupBy(*distinct.columns).agg(*least)
-    return values.select(*distinct.columns, F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in places]) for b, places in enumerate(bands())]).alias("keys"))
+    values = in_blocks(lines, [c for c in lines.columns if c in by or c != "line"]).groupBy(*by).agg(*[c.alias(k) for k, c in more.items()], *least)
+    return values.select(*by, *more, F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in places]) for b, places in enumerate(bands())]).alias("keys"))
 
 
 def shingles_of(line: Column) -> Column:
@@ -114,7 +117,7 @@ def shingles_of(line: Column) -> Column:
 def maps_of(texts: DataFrame) -> DataFrame:
     """(lid, n, w0, w1, ...), staged: the size and the parity bitmap of each line's set of shingles."""
     sets = texts.repartition("lid").select("lid", F.array_distinct(shingles_of(F.col("line"))).alias("set"))
-    hashes = sets.select("lid", F.explode("set").alias("h"))
+    hashes = sets.select("lid", F.explode_outer("set").alias("h"))
     words = hashes.groupBy("lid", (F.shiftrightunsigned("h", 6) % PARITY).alias("k")).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, CAST(h & 63 AS int))")).alias("bits"))
     of = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}")
     return stage(words.groupBy("lid").agg(F.sum("n").alias("n"), *map(of, range(PARITY))), "maps")
@@ -206,7 +209,7 @@ def unmet_pairs(live: DataFrame, keyed: DataFrame, maps: DataFrame, threshold: f
 def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
     """(lid, component), staged: distinct lines with a near-duplicate; component is the smallest lid reachable.
 
-    distinct: (lid, line), keyed: (lid, keys), both staged. Similarity: Jaccard of the sets of shingles.
+    distinct: (lid, line), repeats allowed, keyed: (lid, keys), staged. Similarity: Jaccard of the sets of shingles.
     Most keys are alone: they are counted without their lines, which are looked up for the others only.
     In a bucket each line first meets the smallest, then, while buckets hold several components, one
     line after another: so large groups of similar lines are joined with few pairs. All pairs of
@@ -222,7 +225,7 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
     stars = met.where("lid <> least").select(F.col("lid").alias("a"), F.col("least").alias("b"))
     pairs = stage(stars.distinct(), "pairs")
     needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "needed")
-    texts = stage(distinct.select("lid", "line").join(small_side(needed), "lid", "left_semi"), "texts")
+    texts = stage(distinct.select("lid", "line").join(small_side(needed), "lid", "left_semi").distinct(), "texts")
     maps = maps_of(texts)
     likely = likely_pairs(pairs, maps, threshold)
     links = [verified(likely, texts, threshold)]
@@ -253,16 +256,23 @@ def near_lines(distinct: DataFrame, keyed: DataFrame, threshold: float) -> DataF
     return out
 
 
+def line_check(line: Column) -> Column:
+    """A hash that tells apart different lines with one ``line_id``: of the text after its own CRC and length."""
+    return F.xxhash64(F.crc32(line), F.octet_length(line), line)
+
+
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc, rid, pos, line, lid); staged, the different ones (lid, line, n, first_doc, keys).
+    """Lines (doc, rid, pos, line, lid); staged, the different ones (lid, check, n, first_doc, keys).
 
-    Hashes name lines. Where two different lines have one hash, those of them are
-    hashed anew until all are apart.
+    Lines are signed where documents are read, and only numbers are dealt out. Hashes name
+    lines: where two different ones, by a second hash, have one lid, those of them are hashed
+    anew until all are apart.
     """
     clashes: list[DataFrame] = []
     while True:
         lines = split_lines(docs, id_col, text_col, clashes)
-        distinct = stage(signed(lines.groupBy("lid", "line").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))), "distinct")
+        named = lines.select("doc", "line", "lid", line_check(F.col("line")).alias("check"))
+        distinct = stage(signed(named, ["lid", "check"], n=F.count(F.when(F.col("at") == 1, 1)), first_doc=F.min("doc")), "distinct")
         clash = stage(distinct.groupBy("lid").agg(F.count("*").alias("c")).where("c > 1").select("lid"), "clash")
         if clash.isEmpty():
             forget(clash)
@@ -278,7 +288,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, threshold: float
     smallest id, at the first place there.
     """
     lines, distinct = distinct_lines(docs, id_col, text_col)
-    components = near_lines(distinct, distinct, threshold)
+    components = near_lines(lines, distinct, threshold)
     groups = distinct.join(components, "lid", "left").where("n > 1 OR component IS NOT NULL").select("lid", F.coalesce("component", "lid").alias("component"), "first_doc")
     groups = stage(groups, "groups")
     forget(distinct, components)
@@ -315,7 +325,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added = ("n_lines", "n_dropped")
     return marked.select(
         *[F.when(F.col("drops").isNull(), of(c)).otherwise(left).alias(c) if c == text_col else of(c).alias(c) for c in docs.columns if c not in added],
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.octet_length(of(text_col)) - F.octet_length(F.replace(of(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
