@@ -139,10 +139,10 @@ def folded(maps: DataFrame) -> DataFrame:
 
 def likely_pairs(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, n), staged: those of the staged pairs (a, b) that may be similar; n: the sum of their sets' sizes."""
-    few = pairs.count() * (PARITY + 4) <= BROADCAST_NUMBERS
-    side = F.broadcast if few else lambda df: df
+    count = pairs.count()
+    side = lambda df, columns: F.broadcast(df) if count * columns <= BROADCAST_NUMBERS else df
     x, y = (never_null(maps).alias(k) for k in "xy")
-    met = side(side(pairs).join(x, F.col("a") == F.col("x.lid"))).join(y, F.col("b") == F.col("y.lid"))
+    met = side(side(pairs, 2).join(x, F.col("a") == F.col("x.lid")), PARITY + 4).join(y, F.col("b") == F.col("y.lid"))
     return stage(met.where(may_be_similar(threshold)).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n")), "likely")
 
 
@@ -191,8 +191,9 @@ def unmet_pairs(live: DataFrame, keyed: DataFrame, maps: DataFrame, threshold: f
     """
     blocks = F.ceil(F.col("c") / TILE_ROWS).cast("int")
     ids = stage(live.select("lid").distinct(), "ids")
-    keys = keyed.select("lid", "keys").join(small_side(ids), "lid", "left_semi")
-    lines = stage(folded(maps).join(keys, "lid"), "lines")
+    few = small_side(ids)
+    keys = keyed.select("lid", "keys").join(few, "lid", "left_semi")
+    lines = stage(folded(maps.join(few, "lid", "left_semi")).join(keys, "lid"), "lines")
     dealt = stage(live.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("lid"), F.col("last") + 1).cast("int")).join(lines, "lid"), "dealt")
     plain = never_null(dealt)
     x = plain.withColumnRenamed("own", "i").withColumn("j", F.explode(F.sequence("i", "last"))).alias("x")
@@ -262,7 +263,7 @@ def line_check(line: Column) -> Column:
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc, rid, pos, line, lid); staged, the different ones (lid, check, n, first_doc, keys).
+    """Lines (doc, rid, pos, line, lid); staged, the different ones (lid, n, first_doc, clash, keys).
 
     Lines are signed where documents are read, and only numbers are dealt out. Hashes name
     lines: where two different ones, by a second hash, have one lid, those of them are hashed
@@ -272,8 +273,9 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     while True:
         lines = split_lines(docs, id_col, text_col, clashes)
         named = lines.select("doc", "line", "lid", line_check(F.col("line")).alias("check"))
-        distinct = stage(signed(named, ["lid", "check"], n=F.count(F.when(F.col("at") == 1, 1)), first_doc=F.min("doc")), "distinct")
-        clash = stage(distinct.groupBy("lid").agg(F.count("*").alias("c")).where("c > 1").select("lid"), "clash")
+        groups = signed(named, ["lid"], n=F.count(F.when(F.col("at") == 1, 1)), first_doc=F.min("doc"), lo=F.min("check"), hi=F.max("check"))
+        distinct = stage(groups.select("lid", "n", "first_doc", (F.col("lo") != F.col("hi")).alias("clash"), "keys"), "distinct")
+        clash = stage(distinct.where("clash").select("lid"), "clash")
         if clash.isEmpty():
             forget(clash)
             return lines, distinct
@@ -319,9 +321,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = rows.join(F.broadcast(drops) if numbers <= BROADCAST_NUMBERS else drops, ["doc", "rid"], "left")
     of = lambda c: F.col("row").getField(c)
     parts = F.split(of(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops")
+    kept = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "drops")
     # bound as a lambda's argument, a text is split once, not for each line
-    left = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n")), F.lit(0))
+    left = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(kept(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
     added = ("n_lines", "n_dropped")
     return marked.select(
         *[F.when(F.col("drops").isNull(), of(c)).otherwise(left).alias(c) if c == text_col else of(c).alias(c) for c in docs.columns if c not in added],

@@ -665,3 +665,14 @@ def test_distinct_lines_are_signed_where_they_are_and_few_keys_are_looked_up(spa
     assert sorted((x["line"], x["n"], len(x["keys"])) for x in signed.collect()) == [("a line of some words", 2, 16), ("another one", 1, 16)]
     got = spark.range(2, 3000).select("id", line_dedup.least_shared(F.col("id"), 0.8).alias("s")).collect()
     assert all(x["s"] >= 0.8 * (x["id"] - x["s"]) and x["s"] - 1 < 0.8 * (x["id"] - x["s"] + 1) for x in got)
+
+
+def test_lines_are_signed_by_numbers_only(spark):
+    long = "a line of more than one row of work " * 4
+    df = spark.createDataFrame([(3, f"{long}\nx"), (1, "x\nx\n \t\n"), (None, "x"), (2, None)], DOCS)
+    lines, distinct = line_dedup.distinct_lines(df, "doc_id", "text")
+    assert "line" not in distinct.columns
+    texts = lines.select("lid", "line").distinct()
+    got = distinct.join(texts, "lid").collect()
+    assert sorted((x["line"], x["n"], x["first_doc"], x["clash"]) for x in got) == [(long, 1, 3, False), ("x", 3, 1, False)]
+    assert {x["line"]: x["keys"] for x in got} == {x["line"]: x["keys"] for x in line_dedup.signed(texts).collect()}
